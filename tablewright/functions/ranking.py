@@ -8,6 +8,7 @@ the number of rows in earlier buckets is added.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +17,12 @@ from pyspark.sql import functions as F
 from tablewright.functions.scalars import as_column
 from tablewright.session import checkpoint
 
-BUCKET_BITS = 10  # 1,024 hash buckets per group
+BUCKET_ROWS = 500_000  # rows a hash bucket should hold at most
+
+
+def bucket_bits(rows: int) -> int:
+    """Leading hash bits that make buckets of about the wanted size."""
+    return min(24, max(3, math.ceil(math.log2(max(1, rows / BUCKET_ROWS)))))
 
 
 def row_hash(keys: Sequence[str | Column], seed: int) -> Column:
@@ -30,15 +36,16 @@ def hashed_row_number(
     keys: Sequence[str],
     seed: int,
     name: str,
+    rows: int,
     at_most: Column | None = None,
-    bits: int = BUCKET_BITS,
 ) -> DataFrame:
     """Number the rows of each group in hash order, from 1.
 
     The leading bits of the hash are the bucket, so buckets of any group are
-    even in size. ``at_most`` drops buckets that lie wholly beyond a quota
+    even in size; ``rows``, the size of the table, sets how many bits. ``at_most`` drops buckets that lie wholly beyond a quota
     before anything is sorted.
     """
+    bits = bucket_bits(rows)
     keyed = df.withColumn("_hash", row_hash(keys, seed)).withColumn("_bucket", F.shiftright("_hash", 64 - bits))
     sizes = keyed.groupBy(*[as_column(g) for g in groups], "_bucket").agg(F.count(F.lit(1)).alias("_size"))
     earlier = Window.partitionBy(*[as_column(g) for g in groups]).orderBy("_bucket")

@@ -91,35 +91,38 @@ def fill_zero(df: DataFrame) -> DataFrame:
     return finite_table(df).na.fill(0).na.fill(UNKNOWN)
 
 
-def forward_fill(df: DataFrame, key: str, order_by: str, columns: Sequence[str], buckets: int = 256) -> DataFrame:
+def forward_fill(df: DataFrame, key: str, order_by: str, columns: Sequence[str]) -> DataFrame:
     """Gaps take the last earlier value of the same key.
 
-    ``order_by`` must be unique within a key. Each key is cut into consecutive
-    stretches by quantiles of the order, so a key with very many rows is filled
-    by many tasks; the last value of each stretch is carried into the next.
+    ``order_by`` must be unique within a key. Rows are range-partitioned by key
+    and order, so a key with very many rows is cut into consecutive stretches
+    that are filled by different tasks; the last value of each stretch is carried
+    into the next.
     """
-    order = as_column(order_by).cast("double") if is_numeric(df.schema[order_by].dataType) else F.unix_micros(
-        as_column(order_by).cast("timestamp")
-    ).cast("double")
-    ordered = df.withColumn("_at", order)
-    # sketched cuts only balance the stretches; any cuts give the same result
-    cuts = quantiles(ordered, ["_at"], [i / buckets for i in range(1, buckets)], exact=False)["_at"]
-    cuts = sorted({c for c in cuts if c is not None})
-    stretch = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("_at"))) if cuts else F.lit(0)
-    ordered = ordered.withColumn("_stretch", stretch)
-    tails = ordered.groupBy(as_column(key).alias("_key"), F.col("_stretch").alias("_s")).agg(
-        *[F.max_by(c, F.when(as_column(c).isNotNull(), as_column(order_by))).alias(f"_tail{i}") for i, c in enumerate(columns)]
+    ranged = df.repartitionByRange(as_column(key), as_column(order_by)).withColumn("_stretch", F.spark_partition_id())
+    # range bounds are sampled anew on each run, so the cut is pinned here
+    ranged = checkpoint(ranged)
+    tails = ranged.groupBy(as_column(key).alias("_key"), F.col("_stretch").alias("_s")).agg(
+        *[
+            F.max_by(as_column(c), F.when(as_column(c).isNotNull(), as_column(order_by))).alias(f"_tail{i}")
+            for i, c in enumerate(columns)
+        ]
     )
     before = Window.partitionBy("_key").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     carried = tails.select(
-        "_key", "_s", *[F.last(f"_tail{i}", ignorenulls=True).over(before).alias(f"_carry{i}") for i in range(len(columns))]
+        "_key",
+        "_s",
+        *[F.last(f"_tail{i}", ignorenulls=True).over(before).alias(f"_carry{i}") for i in range(len(columns))],
+    )
+    so_far = (
+        Window.partitionBy("_stretch", as_column(key)).orderBy(as_column(order_by)).rowsBetween(Window.unboundedPreceding, 0)
     )
-    so_far = Window.partitionBy(as_column(key), "_stretch").orderBy(order_by).rowsBetween(Window.unboundedPreceding, 0)
-    joined = ordered.join(
-        carried, as_column(key).eqNullSafe(F.col("_key")) & (F.col("_stretch") == F.col("_s")), "left"
+    joined = ranged.join(
+        carried, (F.col("_stretch") == F.col("_s")) & as_column(key).eqNullSafe(F.col("_key")), "left"
     )
     filled = {
-        c: F.coalesce(F.last(c, ignorenulls=True).over(so_far), F.col(f"_carry{i}")) for i, c in enumerate(columns)
+        c: F.coalesce(F.last(as_column(c), ignorenulls=True).over(so_far), F.col(f"_carry{i}"))
+        for i, c in enumerate(columns)
     }
     return joined.select(*[filled[c].alias(c) if c in filled else as_column(c) for c in df.columns])
 

@@ -105,7 +105,7 @@ def stratified_sample(
     quota = F.greatest(F.lit(1), F.floor(F.lit(rows) * F.col("_n") / F.lit(total)))
     quotas = sizes.where(F.col("_stratum").isNotNull()).select("_stratum", quota.alias("_quota"))
     joined = df.join(quotas, as_column(stratum) == F.col("_stratum")).drop("_stratum")
-    picked = hashed_row_number(joined, [stratum], key, seed, "_rn", at_most=F.col("_quota"))
+    picked = hashed_row_number(joined, [stratum], key, seed, "_rn", total, at_most=F.col("_quota"))
     return picked.select(*[as_column(c) for c in df.columns])
 
 
