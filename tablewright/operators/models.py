@@ -36,9 +36,12 @@ TREE_DEPTH, REPORT_DEPTH, RULE_DEPTH = 10, 5, 3
 MIN_LEAF = 2
 FOREST_TREES = 100
 LOGISTIC_ITERATIONS, LOGISTIC_C = 1000, 1.0
-SVM_COMPONENTS, SVM_ITERATIONS = 200, 100
+SVM_COMPONENTS, SVM_ITERATIONS, SVM_TOLERANCE = 100, 50, 1e-3
 FOLDS = 5
 
+SMALL_FIT = 1_000_000  # rows below which fits run on few partitions, as each step is a job
+ROWS_PER_TASK = 20_000
+
 ALGORITHMS = (
     ("decision_tree", "Decision Tree", "one tree of threshold tests", "classes with clear decision rules"),
     ("random_forest", "Random Forest", "vote of many randomised trees", "high accuracy on tabular data"),
@@ -108,7 +111,7 @@ class MarginCalibrator(Transformer, DefaultParamsReadable, DefaultParamsWritable
         return odds.withColumn("probability", array_to_vector(F.transform("_odds", lambda x: x / total))).drop("_odds")
 
 
-def _fit_svm(train: DataFrame, kernel: str, seed: int) -> PipelineModel:
+def _fit_svm(train: DataFrame, rows: int, kernel: str, seed: int) -> PipelineModel:
     """Linear one-against-rest machines on cosine features, with calibrated probabilities."""
     stages: list[Transformer] = []
     column = "features"
@@ -124,8 +127,18 @@ def _fit_svm(train: DataFrame, kernel: str, seed: int) -> PipelineModel:
         train = mapper.transform(train)
         column = "mapped"
     train = train.select("label_code", column).persist()
-    machine = LinearSVC(featuresCol=column, labelCol="label_code", maxIter=SVM_ITERATIONS, regParam=1e-4, standardization=False)
-    model = OneVsRest(classifier=machine, featuresCol=column, labelCol="label_code", rawPredictionCol="rawPrediction").fit(train)
+    machine = LinearSVC(
+        featuresCol=column,
+        labelCol="label_code",
+        maxIter=SVM_ITERATIONS,
+        tol=SVM_TOLERANCE,
+        regParam=1.0 / max(1, rows),
+        standardization=False,
+    )
+    rest = OneVsRest(
+        classifier=machine, featuresCol=column, labelCol="label_code", rawPredictionCol="rawPrediction", parallelism=4
+    )
+    model = rest.fit(train)
     margins = model.transform(train).select("label_code", vector_to_array(F.col("rawPrediction")).alias("m")).persist()
     slopes, shifts = [], []
     for k in range(len(model.models)):
@@ -158,7 +171,7 @@ def fit_classifier(
 ) -> Model:
     """Fit on columns ``features`` and ``label_code``."""
     if algorithm == "svm":
-        return _fit_svm(train, kernel, seed)
+        return _fit_svm(train, rows, kernel, seed)
     return make_classifier(algorithm, rows, depth, seed).fit(train)
 
 
@@ -189,7 +202,10 @@ def cross_validate(
     """Mean and population deviation of accuracy over stratified folds."""
     folds = max(2, min(folds, rows // 2))
     data = fold_numbers(df.select(as_column(key).alias("_key"), "features", "label_code"), "label_code", ["_key"], folds, seed)
-    data = data.select("features", "label_code", "fold").persist()
+    data = data.select("features", "label_code", "fold")
+    if rows < SMALL_FIT:
+        data = data.coalesce(max(1, rows // ROWS_PER_TASK))
+    data = data.persist()
     scorer = MulticlassClassificationEvaluator(labelCol="label_code", predictionCol="prediction", metricName="accuracy")
     if algorithm == "svm":
         values = []

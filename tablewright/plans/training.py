@@ -78,6 +78,8 @@ def train(
     classes = list(indexer.labels)
     ready = indexer.transform(prepare.transform(labelled)).select(key, target, "features", "label_code")
     split = adaptive_split(ready, target, [key]) if adaptive else stratified_split(ready, target, [key])
+    rows = df.count()
+    split = split.coalesce(max(1, rows // M.ROWS_PER_TASK)) if rows < M.SMALL_FIT else split
     split = split.persist()
     sizes = split.groupBy("is_test").count().collect()
     n_train = sum(r["count"] for r in sizes if not r["is_test"])
@@ -91,9 +93,9 @@ def train(
     report, confusion = E.class_report(tested, target, "prediction"), E.confusion(tested, target, "prediction")
     if cross_validation:
         pool = split if n_train + n_test > 50 else split.where(~F.col("is_test"))
-        rows = n_train + n_test if n_train + n_test > 50 else n_train
+        pool_rows = n_train + n_test if n_train + n_test > 50 else n_train
         # one row on each side
-        metrics = metrics.crossJoin(M.cross_validate(pool, algorithm, key, rows, kernel=kernel))
+        metrics = metrics.crossJoin(M.cross_validate(pool, algorithm, key, pool_rows, kernel=kernel))
     else:
         metrics = metrics.select(
             "*",
