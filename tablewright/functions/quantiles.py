@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ SMALL_TABLE = 200_000  # rows up to which the built-in aggregate is used
 SMALL_BRACKET = 100_000  # rows up to which a bracket is ranked
 SKETCH_SIZE = 1000
 SKETCH_SLACK = 0.006  # about twice the rank error of a sketch of that size
+REGION_BITS = 12  # room for the regions of one interval in a group-by code
 SKETCH_SHARDS = 64  # sketches merged in two steps, so no task merges one per input split
 
 
@@ -134,35 +136,47 @@ def _narrow(data: DataFrame, targets: list[_Target], small_bracket: int) -> None
             place = (ts[0].rank - ts[0].below) / ts[0].inside
             _, probs = asked.setdefault(interval, (F.when(_within(ts[0]), as_column(ts[0].column)), []))
             probs += [max(0.0, place - SKETCH_SLACK), min(1.0, place + SKETCH_SLACK)]
-        cuts = {interval: iter(found) for interval, found in _sketch_quantiles(data, asked).items()}
-        tallies, trials = [], []
-        for i, ((interval, _), ts) in enumerate(groups.items()):
-            lo, hi = next(cuts[interval]), next(cuts[interval])
-            trials.append((lo, hi))
-            c, inner = as_column(ts[0].column), _within(ts[0])
-            tallies += [
-                F.count_if(inner & (c < lo)).alias(f"before{i}"),
-                F.count_if(c == lo).alias(f"low{i}"),
-                F.count_if((c > lo) & (c < hi)).alias(f"between{i}"),
-                F.count_if((c == hi) & F.lit(lo < hi)).alias(f"high{i}"),
-            ]
-        counted = data.agg(*tallies).first()
-        for i, (ts, (lo, hi)) in enumerate(zip(groups.values(), trials)):
+        found = _sketch_quantiles(data, asked)
+        cuts = {interval: sorted(set(values)) for interval, values in found.items()}
+        regions = _count_regions(data, cuts)
+        for ts in groups.values():
             for t in ts:
-                at_low = t.below + counted[f"before{i}"]
-                between = at_low + counted[f"low{i}"]
-                at_high = between + counted[f"between{i}"]
-                after = at_high + counted[f"high{i}"]
-                if t.rank < at_low:
-                    t.high, t.inside = lo, at_low - t.below
-                elif t.rank < between:
-                    t.answer = lo
-                elif t.rank < at_high:
-                    t.low, t.high, t.below, t.inside = lo, hi, between, at_high - between
-                elif t.rank < after:
-                    t.answer = hi
-                else:
-                    t.low, t.inside, t.below = hi, t.below + t.inside - after, after
+                _step(t, cuts[t.interval], regions[t.interval])
+
+
+def _count_regions(data: DataFrame, cuts: dict[tuple, list[float]]) -> dict[tuple, dict[int, int]]:
+    """Rows in each region the cuts make of an interval.
+
+    Region ``2 j`` lies between cut ``j - 1`` and cut ``j``; region ``2 j + 1``
+    is cut ``j`` itself. One small group-by counts the regions of all intervals.
+    """
+    codes = []
+    for i, ((column, low, high), values) in enumerate(cuts.items()):
+        c = as_column(column)
+        code = sum([(c > F.lit(v)).cast("int") + (c >= F.lit(v)).cast("int") for v in values], F.lit(i << REGION_BITS))
+        codes.append(F.when((c > F.lit(low)) & (c < F.lit(high)), code))
+    counted = data.select(F.explode(F.array(*codes)).alias("code")).where("code IS NOT NULL").groupBy("code").count()
+    names = list(cuts)
+    regions: dict[tuple, dict[int, int]] = {name: {} for name in names}
+    for row in counted.collect():  # a row per region
+        regions[names[row["code"] >> REGION_BITS]][row["code"] & ((1 << REGION_BITS) - 1)] = row["count"]
+    return regions
+
+
+def _step(t: _Target, cuts: list[float], regions: dict[int, int]) -> None:
+    """Move a target into the region that holds its rank, or answer it."""
+    before = t.below
+    for region in range(2 * len(cuts) + 1):
+        size = regions.get(region, 0)
+        if t.rank < before + size:
+            break
+        before += size
+    at, on_cut = divmod(region, 2)
+    if on_cut:
+        t.answer = cuts[at]
+        return
+    t.low, t.high = cuts[at - 1] if at else t.low, cuts[at] if at < len(cuts) else t.high
+    t.below, t.inside = before, size
 
 
 def _settle(data: DataFrame, targets: list[_Target]) -> None:
@@ -180,8 +194,10 @@ def _settle(data: DataFrame, targets: list[_Target]) -> None:
             for i, ts in enumerate(groups.values())
         ]
     )
+    wanted_rows = reduce(lambda a, b: a | b, [_within(ts[0]) for ts in groups.values()])
     counts = (
-        data.select(F.explode(F.filter(cells, lambda s: s.isNotNull())).alias("cell"))
+        data.where(wanted_rows)
+        .select(F.explode(F.filter(cells, lambda s: s.isNotNull())).alias("cell"))
         .groupBy("cell.part", "cell.value")
         .count()
     )

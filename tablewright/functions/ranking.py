@@ -37,36 +37,37 @@ def hashed_row_number(
     seed: int,
     name: str,
     rows: int,
+    group_size: str = "_group_size",
     at_most: Column | None = None,
 ) -> DataFrame:
     """Number the rows of each group in hash order, from 1.
 
     The leading bits of the hash are the bucket, so buckets of any group are
-    even in size; ``rows``, the size of the table, sets how many bits. ``at_most`` drops buckets that lie wholly beyond a quota
-    before anything is sorted.
+    even in size; ``rows``, the size of the table, sets how many bits. The number
+    of rows of the group is added as ``group_size``. ``at_most``, which may use
+    it, drops buckets that lie wholly beyond a quota before anything is sorted.
     """
     bits = bucket_bits(rows)
-    keyed = df.withColumn("_hash", row_hash(keys, seed)).withColumn("_bucket", F.shiftright("_hash", 64 - bits))
-    sizes = keyed.groupBy(*[as_column(g) for g in groups], "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    earlier = Window.partitionBy(*[as_column(g) for g in groups]).orderBy("_bucket")
+    # a text form of the group is never null, so one shuffle serves join and window
+    group = F.to_json(F.struct(*[as_column(g) for g in groups]))
+    keyed = df.withColumn("_group", group).withColumn("_hash", row_hash(keys, seed))
+    keyed = keyed.withColumn("_bucket", F.shiftright("_hash", 64 - bits))
+    sizes = keyed.groupBy("_group", "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    whole = Window.partitionBy("_group")
     sizes = sizes.select(
-        *[as_column(g).alias(f"_g{i}") for i, g in enumerate(groups)],
-        F.col("_bucket").alias("_b"),
-        (F.sum("_size").over(earlier) - F.col("_size")).alias("_before"),
+        "_group",
+        "_bucket",
+        (F.sum("_size").over(whole.orderBy("_bucket")) - F.col("_size")).alias("_before"),
+        F.sum("_size").over(whole).alias(group_size),
     )
-    same = F.col("_bucket") == F.col("_b")
-    for i, g in enumerate(groups):
-        same = same & as_column(g).eqNullSafe(F.col(f"_g{i}"))
-    joined = keyed.join(sizes, same).drop("_b", *[f"_g{i}" for i in range(len(groups))])
+    joined = keyed.join(sizes, ["_group", "_bucket"])
     if at_most is not None:
         joined = joined.where(F.col("_before") < at_most)
-    inside = Window.partitionBy(*[as_column(g) for g in groups], "_bucket").orderBy(
-        "_hash", *[as_column(k) for k in keys]
-    )
+    inside = Window.partitionBy("_group", "_bucket").orderBy("_hash", *[as_column(k) for k in keys])
     numbered = joined.withColumn(name, F.col("_before") + F.row_number().over(inside))
     if at_most is not None:
         numbered = numbered.where(F.col(name) <= at_most)
-    return numbered.drop("_hash", "_bucket", "_before")
+    return numbered.drop("_group", "_hash", "_bucket", "_before")
 
 
 def ordered_row_number(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:

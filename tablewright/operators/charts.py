@@ -166,9 +166,9 @@ def box_plot(df: DataFrame, columns: Sequence[str] | None = None, exact: bool =
         low, high = q1 - IQR_FACTOR * (q3 - q1), q3 + IQR_FACTOR * (q3 - q1)
         return [
             F.min(v).alias("min"),
-            F.first(q1).alias("q1"),
-            F.first(median).alias("median"),
-            F.first(q3).alias("q3"),
+            q1.alias("q1"),
+            median.alias("median"),
+            q3.alias("q3"),
             F.max(v).alias("max"),
             F.min(F.when(v >= low, v)).alias("whisker_low"),
             F.max(F.when(v <= high, v)).alias("whisker_high"),

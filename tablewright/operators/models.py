@@ -177,9 +177,8 @@ def fit_classifier(
 
 def index_target(df: DataFrame, target: str) -> StringIndexer:
     """Fitted encoder of the class label, codes in value order."""
-    return StringIndexer(
-        inputCol=target, outputCol="label_code", stringOrderType="alphabetAsc", handleInvalid="keep"
-    ).fit(df)
+    # all labels are present at fitting time; "keep" would make room for one class more
+    return StringIndexer(inputCol=target, outputCol="label_code", stringOrderType="alphabetAsc").fit(df)
 
 
 def apply_model(model: Model | PipelineModel, df: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -191,8 +190,7 @@ def apply_model(model: Model | PipelineModel, df: DataFrame, labels: Sequence[st
     return scored.select(
         *keep,
         named.alias("prediction"),
-        # a class that was never seen in training has no column
-        F.slice(probabilities, 1, len(labels)).alias("probabilities"),
+        probabilities.alias("probabilities"),
     ).withColumn("confidence", F.array_max("probabilities"))
 
 

@@ -190,19 +190,16 @@ def stratified_split(
     df: DataFrame, target: str, key: Sequence[str], test_share: float = TEST_SHARE, seed: int = SEED
 ) -> DataFrame:
     """Add ``is_test``: the wanted share of every class, chosen by seeded hash of the key."""
-    rows = df.count()
-    sizes = df.groupBy(as_column(target).alias("_class")).agg(F.count(F.lit(1)).alias("_n"))
-    numbered = hashed_row_number(df, [target], key, seed, "_rn", rows)
-    quota = sizes.select("_class", F.round(F.col("_n") * F.lit(test_share)).cast("long").alias("_quota"))
-    joined = numbered.join(quota, as_column(target).eqNullSafe(F.col("_class")))
-    return joined.withColumn("is_test", F.col("_rn") <= F.col("_quota")).drop("_rn", "_class", "_quota")
+    numbered = hashed_row_number(df, [target], key, seed, "_rn", df.count())
+    quota = F.round(F.col("_group_size") * F.lit(test_share))
+    return numbered.withColumn("is_test", F.col("_rn") <= quota).drop("_rn", "_group_size")
 
 
 def plain_split(df: DataFrame, key: Sequence[str], test_share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
     """Add ``is_test`` without regard to class."""
     rows = df.count()
     numbered = hashed_row_number(df.withColumn("_all", F.lit(0)), ["_all"], key, seed, "_rn", rows)
-    return numbered.withColumn("is_test", F.col("_rn") <= round(rows * test_share)).drop("_rn", "_all")
+    return numbered.withColumn("is_test", F.col("_rn") <= round(rows * test_share)).drop("_rn", "_all", "_group_size")
 
 
 def adaptive_split(
@@ -220,4 +217,4 @@ def adaptive_split(
 def fold_numbers(df: DataFrame, target: str, key: Sequence[str], folds: int = 5, seed: int = SEED) -> DataFrame:
     """Add ``fold``: stratified cross-validation folds, from 0."""
     numbered = hashed_row_number(df, [target], key, seed, "_rn", df.count())
-    return numbered.withColumn("fold", F.pmod(F.col("_rn") - 1, F.lit(folds)).cast("int")).drop("_rn")
+    return numbered.withColumn("fold", F.pmod(F.col("_rn") - 1, F.lit(folds)).cast("int")).drop("_rn", "_group_size")

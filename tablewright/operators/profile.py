@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,10 +55,7 @@ def _long_stats(df: DataFrame, columns: Sequence[str], metrics) -> DataFrame:
         # one wide aggregate row, turned into a row per column
         wide = df.agg(*[F.struct(F.lit(c).alias("column"), *metrics(c)).alias(f"m{i}") for i, c in enumerate(batch)])
         parts.append(wide.select(F.inline(F.array(*[F.col(f"m{i}") for i in range(len(batch))]))))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -76,6 +75,12 @@ def _numeric_tie(df: DataFrame, columns: Sequence[str]) -> Column:
     return F.when(F.col("column").isin(*numbers), F.col("value").try_cast("double")) if numbers else F.lit(None).cast("double")
 
 
+def _sample_std(v: Column) -> Column:
+    """Sample deviation; zero for a single value."""
+    n = F.count(v)
+    return F.when(n == 1, 0.0).otherwise(F.sqrt(F.var_pop(v) * n / F.nullif(n - 1, F.lit(0))))
+
+
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """Profile of every column: one row per column.
 
@@ -87,24 +92,33 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, exact: b
     schema = df.schema
 
     def metrics(c: str) -> list[Column]:
+        # aggregates a column has no use for are plain nulls, so they cost nothing
         kind = column_kind(schema[c].dataType)
-        number = measure(df, c) if kind == "numeric" else F.lit(None).cast("double")
-        missing = number.isNull() if kind == "numeric" else as_column(c).isNull()
-        length = F.length(c if kind == "string" else F.lit(None).cast("string"))
-        text = as_column(c) if kind == "string" else F.lit(None).cast("string")
+        rows = F.count(F.lit(1))
+        nothing = F.lit(None).cast("double")
+        if kind == "numeric":
+            number = measure(df, c)
+            present = F.count(number)
+            numbers = [F.sum(number) / F.nullif(present, F.lit(0)), _sample_std(number), F.min(number), F.max(number)]
+        else:
+            present = F.count(as_column(c))
+            numbers = [nothing] * 4
+        if kind == "string":
+            text = as_column(c)
+            url, email = text.contains("http") | text.contains("www."), text.contains("@") & text.contains(".")
+            texts = [F.avg(F.length(text)), F.max(F.length(text)), F.avg(url.cast("int")), F.avg(email.cast("int"))]
+        else:
+            texts = [nothing] * 4
         out = [
             F.lit(columns.index(c)).alias("position"),
             F.lit(kind).alias("kind"),
-            F.count(F.lit(1)).alias("n_rows"),
-            F.count_if(missing).alias("n_missing"),
-            F.avg(number).alias("mean"),
-            F.coalesce(F.stddev_samp(number), F.when(F.count(number) == 1, 0.0)).alias("std"),
-            F.min(number).alias("min"),
-            F.max(number).alias("max"),
-            F.avg(length).alias("avg_length"),
-            F.max(length).cast("long").alias("max_length"),
-            F.avg((text.contains("http") | text.contains("www.")).cast("double")).alias("url_share"),
-            F.avg((text.contains("@") & text.contains(".")).cast("double")).alias("email_share"),
+            rows.alias("n_rows"),
+            (rows - present).alias("n_missing"),
+            *[v.cast("double").alias(n) for n, v in zip(("mean", "std", "min", "max"), numbers)],
+            texts[0].cast("double").alias("avg_length"),
+            texts[1].cast("long").alias("max_length"),
+            texts[2].cast("double").alias("url_share"),
+            texts[3].cast("double").alias("email_share"),
         ]
         if not exact:
             out.append(F.approx_count_distinct(text_cell(df, c), 0.01).alias("n_distinct"))
@@ -146,18 +160,23 @@ def fit_moments(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str
         v = measure(df, c)
         return [
             F.count(v).alias("count"),
-            F.count_if(v.isNull()).alias("nulls"),
-            F.avg(v).alias("mean"),
-            F.stddev_samp(v).alias("std"),
-            F.stddev_pop(v).alias("std_pop"),
-            F.var_samp(v).alias("var"),
+            (F.count(F.lit(1)) - F.count(v)).alias("nulls"),
+            F.sum(v).alias("sum"),
             F.var_pop(v).alias("var_pop"),
             F.min(v).alias("min"),
             F.max(v).alias("max"),
-            F.sum(v).alias("sum"),
         ]
 
-    return {r["column"]: r.asDict() for r in _long_stats(df, columns, metrics).collect()}
+    found = {}
+    for row in _long_stats(df, columns, metrics).collect():  # a row per column
+        m = row.asDict()
+        n, spread = m["count"], m["var_pop"]
+        m["mean"] = m["sum"] / n if n else None
+        m["std_pop"] = math.sqrt(spread) if n else None
+        m["var"] = spread * n / (n - 1) if n > 1 else None
+        m["std"] = math.sqrt(m["var"]) if n > 1 else None
+        found[row["column"]] = m
+    return found
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
@@ -269,29 +288,34 @@ def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     Null when either column is constant on those rows.
     """
     columns = numeric_columns(df) if columns is None else list(columns)
-    data = df.select(*[measure(df, c).alias(c) for c in columns])
     pairs = list(combinations(columns, 2))
+    if not pairs:
+        return _rows(df.sparkSession, [], "column1 string, column2 string, correlation double")
+    moments = fit_moments(df, columns)
+    # columns are centred and scaled first: exact to work with, and a pair without gaps is one sum
+    scaled = df.select(
+        *[
+            ((measure(df, c) - F.lit(m["mean"])) / F.lit(m["std_pop"] or None)).cast("double").alias(c)
+            if m["std_pop"]
+            else F.lit(None).cast("double").alias(c)
+            for c, m in moments.items()
+        ]
+    )
+    whole = {c for c, m in moments.items() if m["std_pop"] and not m["nulls"]}
     parts = []
     for start in range(0, len(pairs), PAIRS_PER_PASS):
-        batch = pairs[start : start + PAIRS_PER_PASS]
         cells = []
-        for a, b in batch:
+        for a, b in pairs[start : start + PAIRS_PER_PASS]:
             x, y = as_column(a), as_column(b)
-            spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
-            cells.append((a, b, F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))))
-        wide = data.agg(
-            *[
-                F.struct(F.lit(a).alias("column1"), F.lit(b).alias("column2"), r.alias("correlation")).alias(f"p{i}")
-                for i, (a, b, r) in enumerate(cells)
-            ]
-        )
+            if a in whole and b in whole:
+                r = F.sum(x * y) / F.nullif(F.count(F.lit(1)), F.lit(0))
+            else:
+                spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+                r = F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
+            cells.append(F.struct(F.lit(a).alias("column1"), F.lit(b).alias("column2"), r.alias("correlation")))
+        wide = scaled.agg(*[cell.alias(f"p{i}") for i, cell in enumerate(cells)])
         parts.append(wide.select(F.inline(F.array(*[F.col(f"p{i}") for i in range(len(cells))]))))
-    if not parts:
-        return _rows(df.sparkSession, [], "column1 string, column2 string, correlation double")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def correlation_cells(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -344,8 +368,8 @@ def iqr_outliers(
         return [
             count.alias("n_outliers"),
             F.coalesce(F.try_divide(count * 100, F.count(F.lit(1))), F.lit(0.0)).alias("pct_outliers"),
-            F.first(F.lit(low).cast("double")).alias("lower_bound"),
-            F.first(F.lit(high).cast("double")).alias("upper_bound"),
+            F.lit(low).cast("double").alias("lower_bound"),
+            F.lit(high).cast("double").alias("upper_bound"),
         ]
 
     return _long_stats(df, columns, metrics)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.ranking import hashed_row_number, ordered_row_number, row_hash
@@ -98,14 +98,12 @@ def stratified_sample(
     df: DataFrame, stratum: str, key: Sequence[str], rows: int = SAMPLE_ROWS, seed: int = SEED
 ) -> DataFrame:
     """Sample each stratum in proportion, at least one row each; rows without a stratum are left out."""
-    sizes = df.groupBy(as_column(stratum).alias("_stratum")).agg(F.count(F.lit(1)).alias("_n"))
     total = df.count()
     if total <= rows:
         return df
-    quota = F.greatest(F.lit(1), F.floor(F.lit(rows) * F.col("_n") / F.lit(total)))
-    quotas = sizes.where(F.col("_stratum").isNotNull()).select("_stratum", quota.alias("_quota"))
-    joined = df.join(quotas, as_column(stratum) == F.col("_stratum")).drop("_stratum")
-    picked = hashed_row_number(joined, [stratum], key, seed, "_rn", total, at_most=F.col("_quota"))
+    quota = F.greatest(F.lit(1), F.floor(F.lit(rows) * F.col("_group_size") / F.lit(total)))
+    present = df.where(as_column(stratum).isNotNull())
+    picked = hashed_row_number(present, [stratum], key, seed, "_rn", total, at_most=quota)
     return picked.select(*[as_column(c) for c in df.columns])
 
 
