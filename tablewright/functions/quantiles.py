@@ -13,7 +13,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -144,19 +143,32 @@ def _narrow(data: DataFrame, targets: list[_Target], small_bracket: int) -> None
                 _step(t, cuts[t.interval], regions[t.interval])
 
 
+def _cells(data: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The given columns as rows ``(at, value)``; ``at`` is the position in the list."""
+    return data.select(F.posexplode(F.array(*[as_column(c) for c in columns])).alias("at", "value"))
+
+
+def _per_cell(constants: Sequence[float]) -> Column:
+    """The constant that belongs to a cell's column."""
+    return F.array(*[F.lit(float(c)) for c in constants])[F.col("at")]
+
+
 def _count_regions(data: DataFrame, cuts: dict[tuple, list[float]]) -> dict[tuple, dict[int, int]]:
     """Rows in each region the cuts make of an interval.
 
     Region ``2 j`` lies between cut ``j - 1`` and cut ``j``; region ``2 j + 1``
     is cut ``j`` itself. One small group-by counts the regions of all intervals.
     """
-    codes = []
-    for i, ((column, low, high), values) in enumerate(cuts.items()):
-        c = as_column(column)
-        code = sum([(c > F.lit(v)).cast("int") + (c >= F.lit(v)).cast("int") for v in values], F.lit(i << REGION_BITS))
-        codes.append(F.when((c > F.lit(low)) & (c < F.lit(high)), code))
-    counted = data.select(F.explode(F.array(*codes)).alias("code")).where("code IS NOT NULL").groupBy("code").count()
-    names = list(cuts)
+    # one row per cell, so the generated code does not grow with the number of columns
+    names, inf = list(cuts), float("inf")
+    cells = _cells(data, [column for column, _, _ in names])
+    low, high = _per_cell([n[1] for n in names]), _per_cell([n[2] for n in names])
+    value = F.col("value")
+    code = F.shiftleft("at", REGION_BITS)
+    for j in range(max(len(values) for values in cuts.values())):
+        cut = _per_cell([cuts[n][j] if j < len(cuts[n]) else inf for n in names])
+        code = code + (value > cut).cast("int") + (value >= cut).cast("int")
+    counted = cells.where((value > low) & (value < high)).groupBy(code.alias("code")).count()
     regions: dict[tuple, dict[int, int]] = {name: {} for name in names}
     for row in counted.collect():  # a row per region
         regions[names[row["code"] >> REGION_BITS]][row["code"] & ((1 << REGION_BITS) - 1)] = row["count"]
@@ -181,29 +193,27 @@ def _step(t: _Target, cuts: list[float], regions: dict[int, int]) -> None:
 
 def _settle(data: DataFrame, targets: list[_Target]) -> None:
     """Rank the values left inside each interval."""
-    groups: dict[tuple, list[_Target]] = {}
+    groups: dict[str, dict[tuple, list[_Target]]] = {}
     for t in targets:
         if t.answer is None:
-            groups.setdefault(t.interval, []).append(t)
+            groups.setdefault(t.column, {}).setdefault(t.interval, []).append(t)
     if not groups:
         return
+    # the intervals of a column are disjoint, as all were cut from the same one
+    columns, most = list(groups), max(len(g) for g in groups.values())
+    value, inf = F.col("value"), float("inf")
+    part = F.lit(None).cast("int")
+    for k in range(most):
+        ends = [list(groups[c])[k] if k < len(groups[c]) else (c, inf, inf) for c in columns]
+        low, high = _per_cell([e[1] for e in ends]), _per_cell([e[2] for e in ends])
+        part = F.when((value > low) & (value < high), F.col("at") * most + k).otherwise(part)
     # heavy ties collapse in the map-side half of this count
-    cells = F.array(
-        *[
-            F.when(_within(ts[0]), F.struct(F.lit(i).alias("part"), as_column(ts[0].column).alias("value")))
-            for i, ts in enumerate(groups.values())
-        ]
-    )
-    wanted_rows = reduce(lambda a, b: a | b, [_within(ts[0]) for ts in groups.values()])
-    counts = (
-        data.where(wanted_rows)
-        .select(F.explode(F.filter(cells, lambda s: s.isNotNull())).alias("cell"))
-        .groupBy("cell.part", "cell.value")
-        .count()
-    )
+    counts = _cells(data, columns).select(part.alias("part"), "value").where("part IS NOT NULL").groupBy("part", "value").count()
     running = "sum(count) over (partition by part order by value rows unbounded preceding)"
     ranked = counts.selectExpr("part", "value", f"{running} as upto")
-    wanted = [(i, t) for i, ts in enumerate(groups.values()) for t in ts]
+    wanted = [
+        (i * most + k, t) for i, c in enumerate(columns) for k, ts in enumerate(groups[c].values()) for t in ts
+    ]
     picked = ranked.agg(
         *[
             F.min(F.when((F.col("part") == i) & (F.col("upto") > t.rank - t.below), F.col("value")))
