@@ -143,11 +143,15 @@ def keep_one(df: DataFrame, key: Sequence[str], order_by: str, keep: str = "firs
     return df.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") == 1).drop("_rn")
 
 
-def _inside(df: DataFrame, fences: dict[str, tuple[float, float] | None]) -> Column:
+def _inside(fences: dict[str, tuple[float, float] | None]) -> Column:
+    """Rows within all fences.
+
+    A non-finite cell fails a finite range by itself, so the bare column is
+    compared and the filter reaches the scan.
+    """
     keep = F.lit(True)
     for c, fence in fences.items():
-        low, high = fence or (None, None)
-        keep = keep & measure(df, c).between(F.lit(low).cast("double"), F.lit(high).cast("double"))
+        keep = keep & (as_column(c).between(*map(F.lit, fence)) if fence else F.lit(False))
     return keep
 
 
@@ -161,10 +165,10 @@ def remove_outliers(
     """
     columns = numeric_columns(df) if columns is None else list(columns)
     if simultaneous:
-        return df.where(_inside(df, fit_iqr_bounds(df, columns, exact)))
+        return df.where(_inside(fit_iqr_bounds(df, columns, exact)))
     # the filters are constants that collapse into one, so lineage stays flat
     for c in columns:
-        df = df.where(_inside(df, fit_iqr_bounds(df, [c], exact)))
+        df = df.where(_inside(fit_iqr_bounds(df, [c], exact)))
     return df
 
 

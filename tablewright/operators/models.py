@@ -157,7 +157,9 @@ def make_classifier(algorithm: str, rows: int, depth: int = TREE_DEPTH, seed: in
     if algorithm == "decision_tree":
         return DecisionTreeClassifier(**common, maxDepth=depth, minInstancesPerNode=MIN_LEAF, maxBins=128, seed=seed)
     if algorithm == "random_forest":
-        return RandomForestClassifier(**common, numTrees=FOREST_TREES, maxDepth=depth, maxBins=128, seed=seed)
+        return RandomForestClassifier(
+            **common, numTrees=FOREST_TREES, maxDepth=depth, maxBins=128, maxMemoryInMB=1024, seed=seed
+        )
     if algorithm == "logistic_regression":
         penalty = 1.0 / (LOGISTIC_C * max(1, rows))
         return LogisticRegression(
