@@ -443,7 +443,8 @@ def _(spark, folder):
 
 @query(
     "r3_stratified_sample_with_gaps",
-    f"SELECT event_type, CAST(least(n, greatest(1, floor(1000 * n / total))) AS BIGINT) AS n, true AS all_from_table FROM (SELECT event_type, count(*) AS n, (SELECT count(*) FROM events) AS total FROM {EVENTS_GAPS} WHERE event_type IS NOT NULL GROUP BY event_type)",
+    # a table of up to a thousand rows is left as it is
+    f"SELECT event_type, CASE WHEN total <= 1000 THEN n ELSE CAST(least(n, greatest(1, floor(1000 * n / total))) AS BIGINT) END AS n, true AS all_from_table FROM (SELECT event_type, count(*) AS n, (SELECT count(*) FROM events) AS total FROM {EVENTS_GAPS} GROUP BY event_type) WHERE event_type IS NOT NULL OR total <= 1000",
 )
 def _(spark, folder):
     df = events_gaps(spark, folder)
