@@ -118,7 +118,8 @@ def _(spark, folder):
     "m9_classification_report",
     f"""WITH c AS (SELECT k AS "class", (SELECT count(*) FROM {GUESSED} WHERE kind = k) AS support, (SELECT count(*) FROM {GUESSED} WHERE guess = k) AS predicted,
     (SELECT count(*) FROM {GUESSED} WHERE guess = k AND kind = k) AS hit FROM (SELECT DISTINCT kind AS k FROM {GUESSED})),
-    p AS (SELECT "class", support, hit / predicted AS pr, hit / support AS re FROM c), f AS (SELECT *, 2 * pr * re / (pr + re) AS f1 FROM p)
+    p AS (SELECT "class", support, CASE WHEN predicted = 0 THEN 0.0 ELSE hit / predicted END AS pr, CASE WHEN support = 0 THEN 0.0 ELSE hit / support END AS re FROM c),
+    f AS (SELECT *, CASE WHEN pr + re = 0 THEN 0.0 ELSE 2 * pr * re / (pr + re) END AS f1 FROM p)
     SELECT "class", {r('pr')} AS precision, {r('re')} AS recall, {r('f1')} AS f1, support FROM f
     UNION ALL SELECT 'macro avg', {r('avg(pr)')}, {r('avg(re)')}, {r('avg(f1)')}, CAST(sum(support) AS BIGINT) FROM f
     UNION ALL SELECT 'weighted avg', {r('sum(pr * support) / sum(support)')}, {r('sum(re * support) / sum(support)')}, {r('sum(f1 * support) / sum(support)')}, CAST(sum(support) AS BIGINT) FROM f""",
