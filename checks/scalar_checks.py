@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.common import EVENTS_GAPS, NUMERIC, events_gaps, query, r, table
+from checks.common import EVENTS_GAPS, events_gaps, query, r, table
 from tablewright.functions import scalars as S
 from tablewright.operators import prepare
 from tablewright.session import scratch_path

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.functions.scalars import as_column, finite, is_numeric, numeric_columns, row_key, string_columns
+from tablewright.functions.scalars import as_column, finite, numeric_columns, row_key, string_columns
 from tablewright.operators import profile as P
 
 # Thresholds of the report.
