@@ -26,7 +26,7 @@ from tablewright.llm.common import input_partitions, table, written
 MAGIC = b"TWM1"
 SHARD_TOKENS = 1 << 21
 END_ID = 0
-_LOOSE = re.compile(r" (?:\s|$)")
+_LOOSE = re.compile(r"\s(?:\s|\Z)")
 
 
 class WaveletMatrix:
@@ -39,9 +39,9 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray, ends: np.ndarray) -> WaveletMatrix:
         bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-        zeros, planes, now = [], [], ids
+        zeros, planes, now = [], [], ids.astype(np.uint16) if bits <= 16 else ids
         for level in range(bits - 1, -1, -1):
-            one = (now >> level & 1).astype(bool)
+            one = (now & now.dtype.type(1 << level)).astype(bool)
             planes.append(cls._pack(one))
             now = np.concatenate([now[~one], now[one]])
             zeros.append(len(now) - int(one.sum()))
@@ -138,33 +138,45 @@ class WaveletMatrix:
 class ChunkEncoder:
     """Whole texts through a byte-level tokenizer, each distinct space-led chunk only once.
 
-    The tokenizer's own word pattern never reaches across a space that a non-space follows, so a text may be cut there.
-    Texts where white space or nothing follows a space are given to the tokenizer whole.
+    The tokenizer's own word pattern never reaches across a line end, or a space, that stands between other characters,
+    so a text may be cut there. New chunks go to the tokenizer many at a time, as lines of one text. Texts with two
+    white-space characters in a row, or one at their end, are given to it whole.
     """
 
-    def __init__(self, path: str, cached: int = 500_000):
+    def __init__(self, path: str, cached: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        (self.line_end,) = self._ids("\n")
         self.cached, self.cache = cached, {}
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, chunks: list[str]) -> None:
+        lines = ["\n".join(chunks[i : i + 2000]) for i in range(0, len(chunks), 2000)]
+        at = iter(chunks)
+        for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False):
+            ids = np.array(e.ids, "<u4")
+            data, start = ids.tobytes(), 0
+            for end in [*np.flatnonzero(ids == self.line_end).tolist(), len(ids)]:
+                self.cache[next(at)] = data[4 * start : 4 * end]
+                start = end + 1
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as uint32."""
         cache, chunks, whole = self.cache, [], {}
         if len(cache) > self.cached:
             cache.clear()
+        cache[""], cache["\n"] = b"", np.array([self.line_end], "<u4").tobytes()
         for i, text in enumerate(texts):
-            if _LOOSE.search(text):
+            if _LOOSE.search(text) or "\0" in text:
                 whole[i] = text
                 chunks.append(())
-            elif text:
-                first, *rest = text.split(" ")
-                chunks.append([first, *[" " + c for c in rest]] if first else [" " + c for c in rest])
             else:
-                chunks.append(())
-        new = list({c for cs in chunks for c in cs if c not in cache})
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            cache[c] = np.array(e.ids, "<u4").tobytes()
+                chunks.append(text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"))
+        new = set().union(*chunks) - cache.keys()
+        self._learn(list(new))
         get = cache.__getitem__
         out = [np.frombuffer(b"".join(map(get, cs)), "<u4") for cs in chunks]
         for i, e in zip(whole, self.tokenizer.encode_batch_fast(list(whole.values()), add_special_tokens=False)):
