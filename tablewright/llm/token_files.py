@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -139,44 +140,31 @@ class ChunkEncoder:
     """Whole texts through a byte-level tokenizer, each distinct space-led chunk only once.
 
     The tokenizer's own word pattern never reaches across a line end, or a space, that stands between other characters,
-    so a text may be cut there. New chunks go to the tokenizer many at a time, as lines of one text. Texts with two
-    white-space characters in a row, or one at their end, are given to it whole.
+    so a text may be cut there. Texts with two white-space characters in a row, or one at their end, are given to it
+    whole. The encodings of ``cached`` chunks are kept (about 200 MB), also from one task of a worker to the next.
     """
 
-    def __init__(self, path: str, cached: int = 600_000):
+    def __init__(self, path: str, cached: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        (self.line_end,) = self._ids("\n")
         self.cached, self.cache = cached, {}
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _learn(self, chunks: list[str]) -> None:
-        lines = ["\n".join(chunks[i : i + 2000]) for i in range(0, len(chunks), 2000)]
-        at = iter(chunks)
-        for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False):
-            ids = np.array(e.ids, "<u4")
-            data, start = ids.tobytes(), 0
-            for end in [*np.flatnonzero(ids == self.line_end).tolist(), len(ids)]:
-                self.cache[next(at)] = data[4 * start : 4 * end]
-                start = end + 1
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as uint32."""
         cache, chunks, whole = self.cache, [], {}
         if len(cache) > self.cached:
             cache.clear()
-        cache[""], cache["\n"] = b"", np.array([self.line_end], "<u4").tobytes()
+        cache[""] = b""
         for i, text in enumerate(texts):
             if _LOOSE.search(text) or "\0" in text:
                 whole[i] = text
                 chunks.append(())
             else:
                 chunks.append(text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"))
-        new = set().union(*chunks) - cache.keys()
-        self._learn(list(new))
+        new = [c for c in set().union(*chunks) if c not in cache]
+        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            cache[c] = array("I", e.ids).tobytes()
         get = cache.__getitem__
         out = [np.frombuffer(b"".join(map(get, cs)), "<u4") for cs in chunks]
         for i, e in zip(whole, self.tokenizer.encode_batch_fast(list(whole.values()), add_special_tokens=False)):
@@ -184,12 +172,18 @@ class ChunkEncoder:
         return out
 
 
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
 def _shards(path: str, end_id: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
-        encoder, ids, keys, ends, total = ChunkEncoder(path), [], [], [], 0
+        ids, keys, ends, total = [], [], [], 0
+        if path not in _ENCODERS:
+            _ENCODERS[path] = ChunkEncoder(path)
+        encoder = _ENCODERS[path]
 
         def shard() -> pa.RecordBatch:
             made = WaveletMatrix.build(np.concatenate(ids), np.array(ends)).to_bytes()
