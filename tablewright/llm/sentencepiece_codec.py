@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from tablewright.llm.common import table
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-CACHED_WORDS = 300_000  # encodings a task keeps between batches
+CACHED_WORDS = 600_000  # encodings a task keeps between batches
 
 
 class Pieces:
@@ -43,11 +44,11 @@ class Pieces:
         self.id = {self.text[i]: i for i in range(size) if self.plain[i]}
         self.fits: dict[tuple[str, str], bool] = {}
         whole = {p for p in self.id if len(p) == 1 or self._merged(p) == [p]}
-        by_last: dict[str, set[int]] = {}
-        for p in whole:
-            by_last.setdefault(p[-1], set()).add(len(p))
         self.whole = whole
-        self.lengths = {c: sorted(n, reverse=True) for c, n in by_last.items()}
+        # all parts of pieces, and for those met the pieces they end with
+        self.endings = {p[i:j] for p in whole for i in range(len(p)) for j in range(i + 1, len(p) + 1)}
+        self.inside: dict[str, list[str]] = {}
+        self.utf8 = [bytes([self.of_byte[i]]) if i in self.of_byte else t.encode() for i, t in enumerate(self.text)]
 
     def _merged(self, text: str) -> list[str]:
         """Plain merging, best pair first; only for pieces and pairs of pieces, which are short."""
@@ -64,7 +65,7 @@ class Pieces:
         """Whether the two pieces stay apart when they meet."""
         known = self.fits.get((a, b))
         if known is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > 1_000_000:
                 self.fits.clear()
             known = self.fits[a, b] = self._merged(a + b) == [a, b]
         return known
@@ -73,42 +74,52 @@ class Pieces:
         """Encodings of distinct words, walked in sorted order so that shared prefixes are scored once."""
         out: dict[str, list[int]] = {}
         last: list[str | None] = [None]  # last piece of the encoding of each prefix
-        before, whole, lengths, follows = "", self.whole, self.lengths, self.follows
+        reach = [""]  # longest ending of each prefix that is part of a piece
+        before, ids, endings, inside, fits, follows = "", self.id, self.endings, self.inside, self.fits, self.follows
         for word in sorted(words):
             n, shared = len(word), 0
             for a, b in zip(before, word):
                 if a != b:
                     break
                 shared += 1
-            del last[shared + 1 :]
+            del last[shared + 1 :], reach[shared + 1 :]
+            ending = reach[shared]
             for end in range(shared + 1, n + 1):
-                c = word[end - 1]
-                found = c
-                for size in lengths.get(c, ()):
-                    if size <= end:
-                        piece = word[end - size : end]
-                        if piece in whole and (size == end or follows(last[end - size], piece)):
-                            found = piece
-                            break
+                found = word[end - 1]
+                ending += found
+                while ending and ending not in endings:
+                    ending = ending[1:]
+                reach.append(ending)
+                here = inside.get(ending)
+                if here is None:
+                    here = inside[ending] = [ending[i:] for i in range(len(ending)) if ending[i:] in self.whole]
+                for piece in here:  # longest first
+                    left = last[end - len(piece)]
+                    if left is None:
+                        found = piece
+                        break
+                    apart = fits.get((left, piece))
+                    if follows(left, piece) if apart is None else apart:
+                        found = piece
+                        break
                 last.append(found)
             before = word
             path, end = [], n
             while end:
-                path.append(last[end])
-                end -= len(last[end])
-            ids: list[int] = []
-            for piece in reversed(path):
-                known = self.id.get(piece)
-                ids.extend([known] if known is not None else [self.byte[b] for b in piece.encode()])
-            out[word] = ids
+                piece = last[end]
+                known = ids.get(piece)
+                if known is None:
+                    path.extend(self.byte[b] for b in reversed(piece.encode()))
+                else:
+                    path.append(known)
+                end -= len(piece)
+            path.reverse()
+            out[word] = path
         return out
 
     def decode(self, ids) -> str:
         """The text of a sequence of ids: marks become spaces, runs of byte pieces are read as UTF-8."""
-        out = bytearray()
-        for i in ids:
-            b = self.of_byte.get(i)
-            out += self.text[i].encode() if b is None else bytes([b])
+        out = b"".join(map(self.utf8.__getitem__, ids))
         text = out.decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
@@ -118,9 +129,19 @@ def marked_words(text: str) -> list[str]:
     return _WORD.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
+_OPEN: dict[str, tuple[Pieces, dict[str, bytes]]] = {}
+
+
+def _opened(path: str) -> tuple[Pieces, dict[str, bytes]]:
+    """The vocabulary and the encodings so far, kept from one task of a worker to the next."""
+    if path not in _OPEN:
+        _OPEN[path] = Pieces(path), {}
+    return _OPEN[path]
+
+
 def _codec(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, cache = Pieces(path), {}
+        pieces, cache = _opened(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -128,15 +149,14 @@ def _codec(path: str):
                 words = [marked_words(t) for t in texts]
                 if len(cache) > CACHED_WORDS:
                     cache.clear()
-                new = {w for ws in words for w in ws if w not in cache}
-                cache.update((w, np.array(ids, np.int32)) for w, ids in pieces.encode_words(list(new)).items())
-                none = np.empty(0, np.int32)
-                ids = [np.concatenate([cache[w] for w in ws]) if ws else none for ws in words]
+                new = [w for w in set().union(*words) if w not in cache]
+                cache.update((w, array("i", ids).tobytes()) for w, ids in pieces.encode_words(new).items())
+                ids = [np.frombuffer(b"".join(map(cache.__getitem__, ws)), np.int32) for ws in words]
                 ends = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else none)),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))),
                         pa.array([len(x) for x in ids], pa.int64()),
                         pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
                         pa.array([pieces.decode(x.tolist()) == t.replace(MARK, " ") for x, t in zip(ids, texts)], pa.bool_()),
@@ -164,7 +184,7 @@ def decode(encoded: DataFrame, model: str, key: str = "doc_id", ids: str = "ids"
     """``(key, text)`` of rows of ids; null or empty ids give the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
+        pieces, _ = _opened(model)
         for batch in batches:
             texts = [pieces.decode(x or ()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["key", "text"])
