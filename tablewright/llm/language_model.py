@@ -211,11 +211,12 @@ class Trie:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_open"}
 
-    def part(self, level: int, kind: str, shard: int) -> Mapped:
+    def part(self, level: int, kind: str, shard: int) -> Mapped | None:
+        """A file; there is none for a shard whose contexts have no successors at all."""
         opened = self.__dict__.setdefault("_open", {})
         name = f"{self.folder}/{level}-{kind}-{shard}"
         if name not in opened:
-            opened[name] = Mapped(name)
+            opened[name] = Mapped(name) if kind == "nodes" or os.path.exists(name) else None
         return opened[name]
 
     def bases(self, level: int) -> np.ndarray:
@@ -262,7 +263,7 @@ class Trie:
         # one count of every word goes to the words and the unknown one alike
         p = (np.maximum(count - 1, 0) + self.words / (self.words + 1)) / self.tokens
         for level, context in enumerate(before, 2):
-            rest = self.per_node(level - 1, context, "rest", lambda f, at: _value(f.rest[at]))
+            rest = self.per_node(level - 1, context, "rest", lambda f, at: _value(f.rest[at]) if f else np.ones(len(at)))
             _, share = self.children(level, context, words)
             p = np.where(context >= 0, share + rest * p, p)
         return p, count
@@ -478,7 +479,8 @@ def _score(trie: Trie):
             doc = np.repeat(np.arange(len(each)), each)
             if trie.tokens:
                 words = trie.words_of(hashes)[tokens]
-                before = _contexts(trie, words, each, len(trie.sizes) - 1)
+                order = len(trie.sizes)
+                before = _contexts(trie, words, each, order - 1)[: order - 1]
                 # the same n-gram is looked up once
                 grams, at = _distinct([*before, words])
                 p, count = (x[at] for x in trie.probabilities(grams[-1], grams[:-1]))
