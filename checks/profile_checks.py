@@ -19,6 +19,7 @@ from checks.common import (
     r,
     table,
 )
+from tablewright.functions.quantiles import order_statistics
 from tablewright.operators import profile as P
 from tablewright.operators import quality as Q
 
@@ -421,3 +422,23 @@ def _(spark, folder):
 )
 def _(spark, folder):
     return P.describe_with_quality(table(spark, folder, "lineitem"))
+
+
+@query("d12_dotted_names", "SELECT 'a.b' AS \"column\", event_type AS value, count(*) AS n FROM events GROUP BY event_type")
+def _(spark, folder):
+    counts = P.value_counts(table(spark, folder, "events").select(F.col("event_type").alias("a.b")))
+    return counts.select("column", "value", F.col("count").alias("n"))
+
+
+@query(
+    "d5_quantiles_many_rounds",
+    each(
+        ["l_quantity", "l_extendedprice", "l_discount"],
+        " UNION ALL ".join(f"SELECT '{{c}}' AS \"column\", {p}::DOUBLE AS p, {r(f'quantile_cont({{c}}, {p})')} AS value FROM lineitem" for p in (0.01, 0.25, 0.5, 0.99)),
+    ),
+)
+def _(spark, folder):
+    columns, probs = ["l_quantity", "l_extendedprice", "l_discount"], [0.01, 0.25, 0.5, 0.99]
+    found = order_statistics(table(spark, folder, "lineitem"), columns, probs, small_bracket=20)
+    rows = [(c, p, v) for c in columns for p, v in zip(probs, found[c])]
+    return spark.createDataFrame(rows, "column string, p double, value double")

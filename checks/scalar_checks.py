@@ -156,12 +156,16 @@ def _(spark, folder):
 
 @query(
     "p3_text_to_scalar",
-    "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE props END AS cell FROM events",
+    "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '[\"' || event_type || '\"]' WHEN event_id % 3 = 1 THEN CAST(event_id AS VARCHAR) "
+    "ELSE props END AS cell FROM events",
 )
 def _(spark, folder):
-    listed = F.when(
-        F.col("event_id") % 2 == 0, F.to_json(F.array("event_type", "props"))
-    ).otherwise(F.col("props"))
+    e = F.col("event_id")
+    listed = (
+        F.when(e % 3 == 0, F.to_json(F.array("event_type")))
+        .when(e % 3 == 1, F.concat(F.lit("["), e.cast("string"), F.lit(', "x"]')))
+        .otherwise(F.col("props"))
+    )
     df = table(spark, folder, "events").select("event_id", listed.alias("cell"))
     return df.select("event_id", S.scalar_cell(df, "cell").alias("cell"))
 

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.scalars import as_column, measure
 
-SMALL_TABLE = 200_000  # rows up to which the built-in aggregate is used
 SMALL_BRACKET = 100_000  # rows up to which a bracket is ranked
 SKETCH_SIZE = 1000
 SKETCH_SLACK = 0.006  # about twice the rank error of a sketch of that size
@@ -81,7 +80,6 @@ def order_statistics(
     columns: Sequence[str],
     probs: Sequence[float],
     interpolate: bool = True,
-    small_table: int = SMALL_TABLE,
     small_bracket: int = SMALL_BRACKET,
 ) -> dict[str, list[float | None]]:
     """Exact quantiles of numeric columns as fitted constants.
@@ -99,10 +97,6 @@ def order_statistics(
     result: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
     if not filled:
         return result
-    if interpolate and max(counts.values()) <= small_table:
-        row = data.agg(*[F.percentile(as_column(c), [float(p) for p in probs]) for c in filled]).first()
-        return {**result, **{c: list(row[i]) for i, c in enumerate(filled)}}
-
     places = {(c, p): _ranks(counts[c], p, interpolate) for c in filled for p in probs}
     targets = {
         (c, p, rank): _Target(c, p, rank, counts[c]) for (c, p), place in places.items() for rank in set(place[:2])

@@ -103,7 +103,8 @@ def scalar_cell(df: DataFrame, name: str) -> Column:
 
     Numeric arrays give their first element (0.0 if it is not finite). Other
     arrays give their only element, or the whole list as JSON text. Maps and
-    structs become JSON text. Text holding a JSON array gives its first element.
+    structs become JSON text. Text holding a JSON array whose first element is a
+    number gives that number as written; any other text, also ``[]``, stays whole.
     """
     c = as_column(name)
     data_type = df.schema[name].dataType
@@ -118,10 +119,8 @@ def scalar_cell(df: DataFrame, name: str) -> Column:
     if isinstance(data_type, (T.MapType, T.StructType)):
         return F.to_json(c)
     if isinstance(data_type, T.StringType):
-        parsed = F.from_json(c, "array<string>")
-        return F.when(
-            F.startswith(c, F.lit("[")) & parsed.isNotNull(), F.get(parsed, F.lit(0))
-        ).otherwise(c)
+        number = F.regexp_extract(c, r"^\[\s*(-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)\s*[,\]]", 1)
+        return F.when((number != "") & F.from_json(c, "array<string>").isNotNull(), number).otherwise(c)
     return c
 
 

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.quantiles import quantiles
-from tablewright.functions.ranking import row_hash
 from tablewright.functions.scalars import as_column, measure
 from tablewright.operators.profile import fit_moments
 
@@ -74,24 +73,18 @@ def tree_samples(
 ) -> DataFrame:
     """Rows of each tree's sample: ``min(tree_rows, rows)`` different rows per tree.
 
-    A row is drawn by seeded hash. On a large table one hash picks the few rows
-    that are in any sample and a second one assigns them to a tree; on a small
-    table each tree draws on its own.
+    Each tree draws on its own by a seeded hash of row and tree, the same way at
+    every size; a row that no tree draws goes no further.
     """
     wanted = min(tree_rows, rows)
     unit = F.lit(float(2**63))
     kept = df.select(as_column(key).alias("_key"), *[as_column(f) for f in features])
-    share = OVERSAMPLE * trees * wanted / max(1, rows)
-    if share < 0.5:
-        drawn = kept.where(F.abs(row_hash(["_key"], seed).cast("double")) < F.lit(share) * unit)
-        drawn = drawn.withColumn("tree", F.pmod(row_hash(["_key"], seed + 1), F.lit(trees)).cast("int"))
-    else:
-        # here rows < 2 * OVERSAMPLE * trees * tree_rows, so the blow-up is bounded
-        drawn = kept.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        per_tree = min(1.0, OVERSAMPLE * wanted / max(1, rows))
-        if per_tree < 1.0:
-            own = F.xxhash64(F.lit(seed), F.col("_key"), F.col("tree")).cast("double")
-            drawn = drawn.where(F.abs(own) < F.lit(per_tree) * unit)
+    share = min(1.0, OVERSAMPLE * wanted / max(1, rows))
+
+    def drawn_by(tree: Column) -> Column:
+        return F.abs(F.xxhash64(F.lit(seed), F.col("_key"), tree).cast("double")) <= F.lit(share) * unit
+
+    drawn = kept.withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), drawn_by)))
     order = F.xxhash64(F.lit(seed + 2), F.col("_key"), F.col("tree"))
     # the limit is applied before the shuffle too, so a task sends few rows per tree
     ranked = drawn.withColumn("_rn", F.row_number().over(Window.partitionBy("tree").orderBy(order, "_key")))

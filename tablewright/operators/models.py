@@ -39,8 +39,7 @@ LOGISTIC_ITERATIONS, LOGISTIC_C = 1000, 1.0
 SVM_COMPONENTS, SVM_ITERATIONS, SVM_TOLERANCE = 100, 50, 1e-3
 FOLDS = 5
 
-SMALL_FIT = 1_000_000  # rows below which fits run on few partitions, as each step is a job
-ROWS_PER_TASK = 20_000
+FIT_PARTITIONS = 8  # one layout of training rows at every size; raise it with the table
 
 ALGORITHMS = (
     ("decision_tree", "Decision Tree", "one tree of threshold tests", "classes with clear decision rules"),
@@ -196,26 +195,40 @@ def apply_model(model: Model | PipelineModel, df: DataFrame, labels: Sequence[st
     ).withColumn("confidence", F.array_max("probabilities"))
 
 
+def fit_layout(df: DataFrame, key: str, partitions: int = FIT_PARTITIONS) -> DataFrame:
+    """Rows dealt by the hash of their key and ordered in each partition.
+
+    Bootstrap samples are seeded per partition, so a fitted forest depends on the layout; this one depends on nothing
+    but the keys and ``partitions``.
+    """
+    return df.repartition(partitions, as_column(key)).sortWithinPartitions(as_column(key))
+
+
 def cross_validate(
-    df: DataFrame, algorithm: str, key: str, rows: int, folds: int = FOLDS, kernel: str = "rbf", seed: int = SEED
+    df: DataFrame,
+    algorithm: str,
+    key: str,
+    rows: int,
+    folds: int = FOLDS,
+    kernel: str = "rbf",
+    seed: int = SEED,
+    partitions: int = FIT_PARTITIONS,
 ) -> DataFrame:
     """Mean and population deviation of accuracy over stratified folds."""
     folds = max(2, min(folds, rows // 2))
     data = fold_numbers(df.select(as_column(key).alias("_key"), "features", "label_code"), "label_code", ["_key"], folds, seed)
-    data = data.select("features", "label_code", "fold")
-    if rows < SMALL_FIT:
-        data = data.coalesce(max(1, rows // ROWS_PER_TASK))
-    data = data.persist()
+    data = fit_layout(data, "_key", partitions).select("features", "label_code", "fold").persist()
+    fitted_rows = rows - rows // folds  # the penalty of a fold's model is that of the rows it sees
     scorer = MulticlassClassificationEvaluator(labelCol="label_code", predictionCol="prediction", metricName="accuracy")
     if algorithm == "svm":
         values = []
         for k in range(folds):
-            model = fit_classifier(data.where(F.col("fold") != k), algorithm, rows, kernel=kernel, seed=seed)
+            model = fit_classifier(data.where(F.col("fold") != k), algorithm, fitted_rows, kernel=kernel, seed=seed)
             values.append(scorer.evaluate(model.transform(data.where(F.col("fold") == k))))
         mean, std = float(np.mean(values)), float(np.std(values))
     else:
         search = CrossValidator(
-            estimator=make_classifier(algorithm, rows, seed=seed),
+            estimator=make_classifier(algorithm, fitted_rows, seed=seed),
             estimatorParamMaps=ParamGridBuilder().build(),
             evaluator=scorer,
             numFolds=folds,
@@ -227,7 +240,7 @@ def cross_validate(
 
 
 def feature_importance(spark: SparkSession, model: Model | PipelineModel, features: Sequence[str]) -> DataFrame:
-    """Importance per feature: impurity-based for trees, absolute weight for linear models."""
+    """Importance per feature: impurity-based for trees, absolute weight for linear models, null where there is none."""
     if isinstance(model, PipelineModel):
         model = next(s for s in model.stages if hasattr(s, "models"))
     if hasattr(model, "featureImportances"):
@@ -237,9 +250,9 @@ def feature_importance(spark: SparkSession, model: Model | PipelineModel, featur
     else:
         values = np.abs(model.models[0].coefficients.toArray())
         if len(values) != len(features):  # weights of cosine features name no input
-            values = []
+            values = [None] * len(features)
     return _rows(
-        spark, [(f, float(v)) for f, v in zip(features, values)], "feature string, importance double"
+        spark, [(f, None if v is None else float(v)) for f, v in zip(features, values)], "feature string, importance double"
     )
 
 

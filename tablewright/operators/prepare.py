@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tablewright.functions.quantiles import quantiles
 from tablewright.functions.ranking import hashed_row_number
 from tablewright.functions.scalars import (
+    NUMBER,
     UNKNOWN,
     as_column,
     finite_table,
@@ -171,7 +172,9 @@ def fit_feature_pipeline(
             good = f"IF(isnan({cell}) OR abs({cell}) = double('Infinity'), NULL, {cell})"
             parts.append(f"coalesce({good}, {float(medians[c][0] or 0.0)!r}D) AS {name}")
         elif c in voted:
-            parts.append(f"coalesce(try_cast(trim(coalesce(`{c}`, {_literal(modes[c] or UNKNOWN)})) AS DOUBLE), 0D) AS {name}")
+            text = f"trim(coalesce(`{c}`, {_literal(modes[c] or UNKNOWN)}))"
+            number = f"IF({text} RLIKE {_literal(f'^{NUMBER}$')}, try_cast({text} AS DOUBLE), NULL)"
+            parts.append(f"coalesce(IF(abs({number}) = double('Infinity'), NULL, {number}), 0D) AS {name}")
         elif categories.get(c):
             listed = ", ".join(_literal(v) for v in categories[c])
             filled = f"coalesce(`{c}`, {_literal(modes[c] or UNKNOWN)})"

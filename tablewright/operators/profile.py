@@ -64,8 +64,8 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     One shuffle serves all columns. Values travel as text; nulls are left out.
     """
     columns = list(columns or df.columns)
-    texts = df.select(*[text_cell(df, c).alias(c) for c in columns])
-    long = texts.unpivot([], columns, "column", "value").where(F.col("value").isNotNull())
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), text_cell(df, c).alias("value")) for c in columns])
+    long = df.select(F.inline(cells)).where(F.col("value").isNotNull())
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 

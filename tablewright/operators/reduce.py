@@ -20,7 +20,6 @@ SAMPLE_ROWS = 1000
 ENCODE_SHARE = 0.8
 SEED = 42
 
-LOOKUP_ROWS = 100_000  # dictionary size up to which it is broadcast
 
 
 @dataclass(frozen=True)
@@ -120,8 +119,6 @@ def dictionary_encode(df: DataFrame, order_by: str, columns: Sequence[str] | Non
     total = df.count()
     for c in [c for c in columns if distinct[c] < ENCODE_SHARE * total]:
         lookup = first_seen(df, c, order_by).select(F.col("value").alias("_value"), F.col("code").alias(f"{c}_encoded"))
-        if distinct[c] <= LOOKUP_ROWS:
-            lookup = F.broadcast(lookup)
         df = df.join(lookup, as_column(c).eqNullSafe(F.col("_value")), "left").drop("_value")
     return df
 

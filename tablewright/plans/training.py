@@ -68,8 +68,12 @@ def train(
     depth: int = M.TREE_DEPTH,
     adaptive: bool = False,
     fit_on: str = "train",
+    partitions: int = M.FIT_PARTITIONS,
 ) -> Trained:
-    """Fit on a stratified share of the rows, evaluate on the rest, predict all rows."""
+    """Fit on a stratified share of the rows, evaluate on the rest, predict all rows.
+
+    ``partitions``: tasks per fitting step, whatever the size of the table; raise it for large tables.
+    """
     spark = df.sparkSession
     names = usable_features(df, features or training_features(df.drop(key), target))
     prepare, used = fit_feature_pipeline(df, names)
@@ -78,9 +82,7 @@ def train(
     classes = list(indexer.labels)
     ready = indexer.transform(prepare.transform(labelled)).select(key, target, "features", "label_code")
     split = adaptive_split(ready, target, [key]) if adaptive else stratified_split(ready, target, [key])
-    rows = df.count()
-    split = split.coalesce(max(1, rows // M.ROWS_PER_TASK)) if rows < M.SMALL_FIT else split
-    split = split.persist()
+    split = M.fit_layout(split, key, partitions).persist()
     sizes = split.groupBy("is_test").count().collect()
     n_train = sum(r["count"] for r in sizes if not r["is_test"])
     n_test = sum(r["count"] for r in sizes if r["is_test"])
@@ -95,7 +97,7 @@ def train(
         pool = split if n_train + n_test > 50 else split.where(~F.col("is_test"))
         pool_rows = n_train + n_test if n_train + n_test > 50 else n_train
         # one row on each side
-        metrics = metrics.crossJoin(M.cross_validate(pool, algorithm, key, pool_rows, kernel=kernel))
+        metrics = metrics.crossJoin(M.cross_validate(pool, algorithm, key, pool_rows, kernel=kernel, partitions=partitions))
     else:
         metrics = metrics.select(
             "*",

@@ -27,7 +27,7 @@ def _table(spark):
 def test_narrowing_gives_exact_quantiles(spark, small_bracket):
     pdf = _table(spark)
     df = spark.createDataFrame(pdf).repartition(7)
-    got = order_statistics(df, list(pdf), PROBS, small_table=0, small_bracket=small_bracket)
+    got = order_statistics(df, list(pdf), PROBS, small_bracket=small_bracket)
     for c in pdf:
         assert np.allclose(got[c], pdf[c].quantile(PROBS)), c
 
@@ -42,4 +42,4 @@ def test_small_table_and_missing_values(spark):
     df = df.union(spark.createDataFrame([(float("nan"), None), (float("inf"), None)], df.schema))
     got = order_statistics(df, ["v", "e"], [0.25])
     assert got == {"v": [1.75], "e": [None]}
-    assert order_statistics(df, ["v", "e"], [0.25], small_table=0) == got
+    assert order_statistics(df, ["v", "e"], [0.25], small_bracket=1) == got
