@@ -10,7 +10,6 @@ end places of the documents (u64 each), the zeros of each plane (u64 each) and t
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from array import array
@@ -18,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,7 +27,10 @@ from tablewright.llm.common import input_partitions, table, written
 MAGIC = b"TWM1"
 SHARD_TOKENS = 1 << 21
 END_ID = 0
-_LOOSE = re.compile(r"\s(?:\s|\Z)")
+BATCH_BYTES = 8 << 20  # of texts encoded at a time; a longer text is encoded alone
+_SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\p{Z}]"
+_LOOSE = rf"{_SPACE}(?:{_SPACE}|\z)"
+_STOP_IN_RUN = r"(?:^|[^\p{L}\p{N}])[.,]"  # a stop that does not follow a letter or number
 
 
 class WaveletMatrix:
@@ -126,22 +129,24 @@ class WaveletMatrix:
 
     def all(self) -> np.ndarray:
         """The whole sequence: planes undone from the last to the first."""
-        out = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        out = np.zeros(self.n, kind)
         for level in range(self.bits - 1, -1, -1):
-            one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
-            back, zeros = np.empty(self.n, np.uint32), int(self.zeros[level])
+            one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            back, zeros = np.empty(self.n, kind), int(self.zeros[level])
             back[~one] = out[:zeros]
-            back[one] = out[zeros:] | np.uint32(1 << (self.bits - 1 - level))
+            back[one] = out[zeros:] | kind(1 << (self.bits - 1 - level))
             out = back
-        return out
+        return out.astype(np.uint32)
 
 
 class ChunkEncoder:
     """Whole texts through a byte-level tokenizer, each distinct space-led chunk only once.
 
     The tokenizer's own word pattern never reaches across a line end, or a space, that stands between other characters,
-    so a text may be cut there. Texts with two white-space characters in a row, or one at their end, are given to it
-    whole. The encodings of ``cached`` chunks are kept (about 200 MB), also from one task of a worker to the next.
+    so a text may be cut there; nor across the start of a stop or comma that follows a letter or number. Texts with two
+    white-space characters in a row, or one at their end, are given to it whole; those where a stop or comma follows
+    something else are cut at spaces and line ends alone. The encodings of ``cached`` chunks are kept (about 200 MB), also from one task of a worker to the next.
     """
 
     def __init__(self, path: str, cached: int = 1_000_000):
@@ -150,25 +155,37 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.cached, self.cache = cached, {}
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text as uint32."""
-        cache, chunks, whole = self.cache, [], {}
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text as uint32; a null text has none."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        loose = pc.or_(pc.match_substring_regex(texts, _LOOSE), pc.match_substring(texts, "\0"))
+        cut = pc.if_else(loose, "", texts)
+        cut = pc.replace_substring(pc.replace_substring(cut, " ", "\0 "), "\n", "\0\n\0")
+        words = pc.replace_substring(pc.replace_substring(cut, ".", "\0."), ",", "\0,")
+        cut = pc.if_else(pc.match_substring_regex(texts, _STOP_IN_RUN), cut, words)
+        chunks = pc.split_pattern(cut, "\0")
+        flat, ends = chunks.flatten().dictionary_encode(), chunks.offsets.to_numpy()
+        names, at, cache = flat.dictionary.to_pylist(), flat.indices.to_numpy(), self.cache
         if len(cache) > self.cached:
             cache.clear()
         cache[""] = b""
-        for i, text in enumerate(texts):
-            if _LOOSE.search(text) or "\0" in text:
-                whole[i] = text
-                chunks.append(())
-            else:
-                chunks.append(text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"))
-        new = [c for c in set().union(*chunks) if c not in cache]
+        new = [c for c in names if c not in cache]
         for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
             cache[c] = array("I", e.ids).tobytes()
-        get = cache.__getitem__
-        out = [np.frombuffer(b"".join(map(get, cs)), "<u4") for cs in chunks]
-        for i, e in zip(whole, self.tokenizer.encode_batch_fast(list(whole.values()), add_special_tokens=False)):
-            out[i] = np.array(e.ids, np.uint32)
+        found = list(map(cache.__getitem__, names))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first, known = np.cumsum(size) - size, np.frombuffer(b"".join(found), "<u4")
+        # each chunk's ids in the place of the chunk
+        each = size[at]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        ids = known[np.arange(upto[-1]) + np.repeat(first[at] - upto[:-1], each)]
+        out = np.split(ids, upto[ends[1:-1] - ends[0]])
+        whole = np.flatnonzero(loose.to_numpy(zero_copy_only=False)).tolist()
+        for i, x in zip(whole, self._whole(texts.take(whole).to_pylist()) if whole else ()):
+            out[i] = x
         return out
 
 
@@ -195,10 +212,12 @@ def _shards(path: str, end_id: int, shard_tokens: int):
         kind = pa.int64()
         for batch in batches:
             kind = batch.column(0).type
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for key, x in zip(part.column(0).to_pylist(), encoder.encode(texts)):
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())
+            at = 0
+            while at < batch.num_rows:
+                stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BATCH_BYTES, "right")))
+                part, at = batch.slice(at, stop - at), stop
+                for key, x in zip(part.column(0).to_pylist(), encoder.encode(part.column(1))):
                     ids += [x, np.array([end_id], np.uint32)]
                     total += len(x) + 1
                     keys.append(key)

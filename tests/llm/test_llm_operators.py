@@ -302,6 +302,22 @@ def test_token_files(edge, empty, documents):
     assert token_files.read_token_files(token_files.write_token_files(empty, path)).count() == 0
 
 
+def test_chunks_encode_as_whole_texts():
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path, draw = token_files.public_tokenizer(), random.Random(1)
+    letters = ["a", "B", "1", " ", "\n", "\t", "'", "s", ".", ",", "é", " ", "\x1c", "\u3000", "😀", "\r", "<|endoftext|>", "\u200d", "\0"]
+    texts = [None, "", *("".join(draw.choices(letters, k=draw.randint(0, 14))) for _ in range(20_000))]
+    want = Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)
+    got = token_files.ChunkEncoder(path, cached=1000)
+    for at in range(0, len(texts), 5000):
+        part = pa.array(texts).slice(at, 5000)
+        assert [x.tolist() for x in got.encode(part)] == [w.ids for w in want[at : at + 5000]]
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(3)
     for ids in (np.zeros(1, np.uint32), rng.integers(0, 9, 500).astype(np.uint32), rng.integers(0, 70_000, 300).astype(np.uint32)):
