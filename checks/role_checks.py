@@ -322,3 +322,24 @@ def _(spark, folder):
     from tablewright.plans.analyze import analyze
 
     return analyze(table(spark, folder, "events"))["correlation"]
+
+
+@query(
+    "t1f_dates_mixed_formats",
+    """SELECT 'order_date' AS "column", CASE WHEN 2 * count_if(event_id % 3 = 0) >= count(*) THEN 'MM/DD/YYYY_or_DD/MM/YYYY' ELSE 'YYYY-MM-DD' END AS subtype,
+    2 * count_if(event_id % 5 = 0) >= count(*) AS has_time FROM events""",
+)
+def _(spark, folder):
+    day = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "MM/dd/yyyy")).otherwise(F.date_format("ts", "yyyy-MM-dd"))
+    text = F.when(F.col("event_id") % 5 == 0, F.concat(day, F.lit(" 10:00"))).otherwise(day)
+    found = R._sniffed(table(spark, folder, "events").select(text.alias("order_date")), ["order_date"], None)
+    return found.select("column", F.col("date_format").alias("subtype"), "has_time")
+
+
+@query(
+    "t1_roles_estimated",
+    f"""SELECT "column", role, lo AS first_value, hi AS last_value FROM {rich_sql('lineitem')} WHERE role = 'binary'""",
+)
+def _(spark, folder):
+    roles = R.column_roles(table(spark, folder, "lineitem"), exact=False)
+    return roles.where("role = 'binary'").select("column", "role", "first_value", "last_value")

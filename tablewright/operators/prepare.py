@@ -31,6 +31,7 @@ from tablewright.operators.roles import column_roles
 
 # Fixed values of feature preparation and splitting.
 MAX_CATEGORIES = 100
+CLEARLY_MORE = 2  # an estimate beyond so many times the limit settles that a column has too many values
 VOTE_SHARE = 0.5
 IDENTIFIER_RATIO = 0.95
 TEST_SHARE = 0.2
@@ -59,12 +60,16 @@ def coerce_by_vote(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 def fit_categories(df: DataFrame, columns: Sequence[str], limit: int = MAX_CATEGORIES) -> dict[str, list[str] | None]:
     """Sorted values of each text column, or None where there are more than ``limit``.
 
-    At most ``limit + 1`` values per column are looked at: the row-number limit
-    is applied in the map-side half of the shuffle.
+    Columns that one scan estimates at far more values are ruled out first, by a
+    margin of many times the estimate's error; only the rest are listed.
     """
-    columns = list(columns)
-    if not columns:
+    wanted = list(columns)
+    if not wanted:
         return {}
+    guess = df.agg(*[F.approx_count_distinct(as_column(c), 0.02).alias(f"n{i}") for i, c in enumerate(wanted)]).first()
+    columns = [c for i, c in enumerate(wanted) if guess[i] <= CLEARLY_MORE * limit + 10]
+    if not columns:
+        return dict.fromkeys(wanted)
     values = (
         df.select(*[as_column(c) for c in columns])
         .unpivot([], columns, "column", "value")
@@ -75,7 +80,8 @@ def fit_categories(df: DataFrame, columns: Sequence[str], limit: int = MAX_CATEG
     found: dict[str, list[str] | None] = {c: [] for c in columns}
     for row in ranked.where(F.col("_rn") <= limit + 1).collect():
         found[row["column"]].append(row["value"])
-    return {c: sorted(v) if len(v) <= limit else None for c, v in found.items()}
+    listed = {c: sorted(v) if len(v) <= limit else None for c, v in found.items()}
+    return {c: listed.get(c) for c in wanted}
 
 
 def category_code(c: str | Column, categories: Sequence[str]) -> Column:

@@ -27,6 +27,8 @@ from tablewright.functions.scalars import (
 PAIRS_PER_PASS = 400  # correlation pairs per aggregate, to bound generated code
 COLUMNS_PER_PASS = 100  # profiled columns per aggregate, likewise
 IQR_FACTOR = 1.5
+ENDS = (("first_value", False), ("last_value", True))
+HEAD = 128  # characters of a text that are counted as they are; a digest stands for what follows
 
 
 def column_kind(data_type: T.DataType) -> str:
@@ -61,7 +63,8 @@ def _long_stats(df: DataFrame, columns: Sequence[str], metrics) -> DataFrame:
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Count of every distinct value of every column, as ``(column, value, count)``.
 
-    One shuffle serves all columns. Values travel as text; nulls are left out.
+    One shuffle serves all columns. Values travel as whole text, as the caller
+    wants them all; nulls are left out.
     """
     columns = list(columns or df.columns)
     cells = F.array(*[F.struct(F.lit(c).alias("column"), text_cell(df, c).alias("value")) for c in columns])
@@ -69,10 +72,82 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
-def _numeric_tie(df: DataFrame, columns: Sequence[str]) -> Column:
-    """Numeric order for values of numeric columns, so ties break by size, not text."""
-    numbers = [c for c in columns if is_numeric(df.schema[c].dataType)]
-    return F.when(F.col("column").isin(*numbers), F.col("value").try_cast("double")) if numbers else F.lit(None).cast("double")
+def _may_be_long(df: DataFrame, name: str) -> bool:
+    return column_kind(df.schema[name].dataType) in ("string", "complex")
+
+
+def _cell_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Count of every distinct value, as ``(at, head, digest, n)``; ``at`` is the column's position in the list.
+
+    ``head`` is the start of the value's text. Only a text that goes on has a
+    digest, so documents and pages never cross the network themselves.
+    """
+
+    def cell(at: int, c: str) -> Column:
+        text = text_cell(df, c)
+        digest = F.when(F.length(text) > HEAD, F.sha2(text, 256)) if _may_be_long(df, c) else F.lit(None).cast("string")
+        head = F.substring(text, 1, HEAD) if _may_be_long(df, c) else text
+        return F.struct(F.lit(at).alias("at"), head.alias("head"), digest.alias("digest"))
+
+    cells = df.select(F.inline(F.array(*[cell(i, c) for i, c in enumerate(columns)]))).where(F.col("head").isNotNull())
+    return cells.groupBy("at", "head", "digest").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _with_text(df: DataFrame, columns: Sequence[str], picked: DataFrame) -> DataFrame:
+    """The picked cells with their whole ``value``; the few that travelled as digests are looked up in the table."""
+    long = [(i, c) for i, c in enumerate(columns) if _may_be_long(df, c)]
+    if not long:
+        return picked.withColumn("value", F.col("head"))
+    cells = F.array(*[F.struct(F.lit(i).alias("at"), text_cell(df, c).alias("value")) for i, c in long])
+    texts = df.select(F.inline(cells)).where(F.length("value") > HEAD).select("at", F.sha2("value", 256).alias("digest"), "value")
+    wanted = picked.where(F.col("digest").isNotNull()).select("at", "digest").distinct()
+    found = texts.join(wanted, ["at", "digest"]).groupBy("at", "digest").agg(F.min("value").alias("value"))
+    return picked.join(found, ["at", "digest"], "left").withColumn("value", F.coalesce("value", "head"))
+
+
+def _names(columns: Sequence[str]) -> Column:
+    """The name of the column at position ``at``."""
+    return F.get(F.array(*[F.lit(c) for c in columns]), F.col("at")).alias("column")
+
+
+def _number(df: DataFrame, columns: Sequence[str]) -> Column:
+    """Numeric order for cells of numeric columns, so ties break by size, not text."""
+    numbers = [i for i, c in enumerate(columns) if is_numeric(df.schema[c].dataType)]
+    return F.when(F.col("at").isin(*numbers), F.col("head").try_cast("double")) if numbers else F.lit(None).cast("double")
+
+
+def _distinct_and_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(at, n_distinct, n_singleton, mode_count, mode)``; the mode is null where no value repeats.
+
+    Ties go to the smallest value. Distinct cells are aggregated by hash only:
+    counts per column first, then the smallest of those with the highest count.
+    """
+    counts = _cell_counts(df, columns)
+    levels = counts.groupBy("at").agg(
+        F.count(F.lit(1)).alias("n_distinct"), F.count_if(F.col("n") == 1).alias("n_singleton"), F.max("n").alias("mode_count")
+    )
+    # both broadcast tables have a row per column at most
+    repeated = F.broadcast(levels.where("mode_count > 1").select("at", F.col("mode_count").alias("n")))
+    tops = counts.join(repeated, ["at", "n"]).select("at", "head", "digest", _number(df, columns).alias("number"))
+    best = []
+    for start in range(0, len(columns), COLUMNS_PER_PASS):
+        part = range(start, min(start + COLUMNS_PER_PASS, len(columns)))
+        least = tops.agg(*[F.min(F.when(F.col("at") == i, F.struct("number", "head"))).alias(f"b{i}") for i in part])
+        best.append(least.select(F.inline(F.array(*[F.struct(F.lit(i).alias("at"), F.col(f"b{i}.head").alias("head")) for i in part]))))
+    winners = tops.join(F.broadcast(reduce(DataFrame.unionByName, best)), ["at", "head"])
+    modes = _with_text(df, columns, winners).groupBy("at").agg(F.min("value").alias("mode"))
+    return levels.join(modes, "at", "left")
+
+
+def _extreme(df: DataFrame, name: str, largest: bool = False) -> Column:
+    """Smallest or largest value of a column as text; numbers and times are compared as such."""
+    pick = F.max if largest else F.min
+    data_type = df.schema[name].dataType
+    if _may_be_long(df, name):
+        return pick(text_cell(df, name))
+    if isinstance(data_type, (T.FloatType, T.DoubleType)):
+        return (pick(finite(name)) + F.lit(0.0)).cast("string")
+    return pick(as_column(name)).cast("string")
 
 
 def _sample_std(v: Column) -> Column:
@@ -84,9 +159,10 @@ def _sample_std(v: Column) -> Column:
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """Profile of every column: one row per column.
 
-    One scan gives counts, moments and lengths; one unpivoted group-by gives
-    distinct and singleton counts, the mode and the smallest and largest value.
-    ``exact=False`` skips the group-by and estimates distinct counts.
+    One scan gives counts, moments, lengths and the smallest and largest value;
+    one unpivoted group-by gives distinct and singleton counts and the mode.
+    ``exact=False`` skips the group-by and estimates distinct counts; singletons
+    and modes are then not known and their columns are left out.
     """
     columns = list(columns or df.columns)
     schema = df.schema
@@ -119,29 +195,25 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, exact: b
             texts[1].cast("long").alias("max_length"),
             texts[2].cast("double").alias("url_share"),
             texts[3].cast("double").alias("email_share"),
+            *[(nothing.cast("string") if _may_be_long(df, c) else _extreme(df, c, last)).alias(n) for n, last in ENDS],
         ]
         if not exact:
             out.append(F.approx_count_distinct(text_cell(df, c), 0.01).alias("n_distinct"))
         return out
 
     stats = _long_stats(df, columns, metrics)
+    texts = [c for c in columns if _may_be_long(df, c)]
+    if texts:
+        # apart from the numbers, whose aggregates would lose generated code beside minima of texts
+        ends = _long_stats(df, texts, lambda c: [F.lit(columns.index(c)).alias("position"), *[_extreme(df, c, last).alias(f"text_{n}") for n, last in ENDS]])
+        stats = stats.join(F.broadcast(ends.drop("column")), "position", "left").withColumns({n: F.coalesce(n, f"text_{n}") for n, _ in ENDS}).drop(*[f"text_{n}" for n, _ in ENDS])
     if exact:
-        tie = F.struct(-F.col("count"), _numeric_tie(df, columns), F.col("value"))
-        counted = (
-            value_counts(df, columns)
-            .groupBy("column")
-            .agg(
-                F.count(F.lit(1)).alias("n_distinct"),
-                F.count_if(F.col("count") == 1).alias("n_singleton"),
-                F.min_by("value", tie).alias("mode"),
-                F.max("count").alias("mode_count"),
-                F.min("value").alias("first_value"),
-                F.max("value").alias("last_value"),
-            )
-        )
-        stats = stats.join(counted, "column", "left").withColumns(
+        counted = _distinct_and_mode(df, columns).withColumnRenamed("at", "position")
+        stats = stats.join(F.broadcast(counted), "position", "left").withColumns(
             {c: F.coalesce(F.col(c), F.lit(0)) for c in ("n_distinct", "n_singleton", "mode_count")}
         )
+        # where nothing repeats, the smallest value is the mode
+        stats = stats.withColumn("mode", F.coalesce("mode", "first_value"))
     return stats.withColumns(
         {
             "ratio": F.try_divide(F.col("n_distinct"), F.col("n_rows")),
@@ -186,7 +258,7 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, exact:
         return _long_stats(
             df, columns, lambda c: [F.approx_count_distinct(text_cell(df, c), 0.01).alias("n_distinct")]
         )
-    found = value_counts(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
+    found = _cell_counts(df, columns).groupBy("at").agg(F.count(F.lit(1)).alias("n_distinct")).select(_names(columns), "n_distinct")
     names = _rows(df.sparkSession, [(c,) for c in columns], "column string")
     return names.join(found, "column", "left").withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)))
 
@@ -201,9 +273,10 @@ def fit_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
     columns = list(columns)
     if not columns:
         return {}
-    tie = F.struct(-F.col("count"), _numeric_tie(df, columns), F.col("value"))
-    found = value_counts(df, columns).groupBy("column").agg(F.min_by("value", tie).alias("mode"))
-    return {c: None for c in columns} | {r["column"]: r["mode"] for r in found.collect()}
+    found = {columns[r["at"]]: r for r in _distinct_and_mode(df, columns).collect()}  # a row per column
+    single = [c for c in columns if c in found and found[c]["mode_count"] == 1]
+    least = df.agg(*[_extreme(df, c).alias(f"m{i}") for i, c in enumerate(single)]).first() if single else []
+    return {c: found[c]["mode"] if c in found else None for c in columns} | dict(zip(single, least))
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
@@ -258,9 +331,18 @@ def missing_counts(df: DataFrame) -> DataFrame:
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10) -> DataFrame:
     """The ``k`` most frequent values of each column; ties in value order."""
     columns = string_columns(df) if columns is None else list(columns)
-    order = [F.col("count").desc(), _numeric_tie(df, columns).asc(), F.col("value").asc()]
-    ranked = value_counts(df, columns).withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(*order)))
-    return ranked.where(F.col("rank") <= k).select("column", "rank", "value", "count")
+    if not columns:
+        return _rows(df.sparkSession, [], "column string, rank int, value string, count long")
+    counts = _cell_counts(df, columns).withColumn("number", _number(df, columns))
+    place = F.struct((-F.col("n")).alias("n"), "number", "head")
+    # the last place that counts; cells that tie with it stay until their whole texts are known
+    by_head = Window.partitionBy("at").orderBy(place)
+    first = counts.withColumn("rank", F.row_number().over(by_head)).where(F.col("rank") <= k)
+    last = F.broadcast(first.groupBy("at").agg(F.max(place).alias("last")))
+    kept = counts.join(last, "at").where(place <= F.col("last")).drop("last")
+    order = [F.col("n").desc(), F.col("number").asc(), F.col("value").asc()]
+    ranked = _with_text(df, columns, kept).withColumn("rank", F.row_number().over(Window.partitionBy("at").orderBy(*order)))
+    return ranked.where(F.col("rank") <= k).select(_names(columns), "rank", "value", F.col("n").alias("count"))
 
 
 def categorical_summary(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5) -> DataFrame:

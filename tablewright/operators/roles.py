@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.quantiles import quantiles
 from tablewright.functions.scalars import as_column, string_columns
-from tablewright.operators.profile import _rows, column_profile, top_values
+from tablewright.operators.profile import _long_stats, _rows, column_profile, top_values
 
 # Name patterns and word lists of the role rules.
 IDENTIFIER_NAME = r"id$|^id|_id$|^id_|no$|^no|number$|^number"
@@ -157,15 +157,38 @@ def _simple(profile: DataFrame) -> DataFrame:
     return profile.withColumn("role", role).withColumn("subtype", subtype).withColumn("confidence", confidence)
 
 
-def _samples(df: DataFrame, columns: Sequence[str], order_by: str | None, k: int = 3) -> dict[str, list[str]]:
-    """A few present values of each column: the first by ``order_by``, else any."""
-    found = {}
-    for c in columns:
-        present = df.where(as_column(c).isNotNull())
-        if order_by:
-            present = present.orderBy(order_by)
-        found[c] = [r[0] for r in present.select(as_column(c).cast("string")).limit(k).collect()]
-    return found
+# Marks that tell the format of a date, the first that fits.
+FORMATS = (("T", "ISO_8601"), ("/", "MM/DD/YYYY_or_DD/MM/YYYY"), ("-", "YYYY-MM-DD"))
+
+
+def _sniffed(df: DataFrame, columns: Sequence[str], order_by: str | None, k: int = 3) -> DataFrame:
+    """``(column, date_format, has_time, url, email)`` of each column.
+
+    One scan counts the values that hold each mark. A format, or a time of day, needs half of the present values. With
+    ``order_by`` one of the first ``k`` present values is enough.
+    """
+    schema = "column string, date_format string, has_time boolean, url boolean, email boolean"
+    if not columns:
+        return _rows(df.sparkSession, [], schema)
+
+    def holds(c: str) -> list[Column]:
+        text = as_column(c).cast("string")
+        tests = [text.contains(mark) for mark, _ in FORMATS]
+        tests += [text.contains(":"), text.contains("http") | text.contains("www."), text.contains("@") & text.contains(".")]
+        return [F.count(text).alias("n"), *[F.count_if(t).alias(f"t{i}") for i, t in enumerate(tests)]]
+
+    if order_by:
+        firsts = [df.where(as_column(c).isNotNull()).orderBy(order_by).limit(k) for c in columns]
+        counted = [first.agg(*holds(c)).first() for c, first in zip(columns, firsts)]
+    else:
+        counted = sorted(_long_stats(df, columns, holds).collect(), key=lambda r: columns.index(r["column"]))  # a row per column
+    records = []
+    for c, row in zip(columns, counted):
+        enough = 1 if order_by else max(1, row["n"] / 2)
+        found = [row[f"t{i}"] >= enough for i in range(len(FORMATS) + 3)]
+        label = next((label for (_, label), hit in zip(FORMATS, found) if hit), "unknown")
+        records.append((c, label, *found[len(FORMATS) :]))
+    return _rows(df.sparkSession, records, schema)
 
 
 def column_roles(
@@ -174,38 +197,20 @@ def column_roles(
     """One role per column, with the counts the rule was based on.
 
     ``rules="rich"`` looks at names and values, ``rules="simple"`` at types and
-    distinct counts only. URL and e-mail columns are those where at least half
-    the values match; with ``order_by`` the first three values decide instead.
+    distinct counts only. URL and e-mail columns and date formats are those that
+    at least half the values match; with ``order_by`` the first three values
+    decide instead. ``exact=False`` estimates distinct counts and leaves
+    ``n_singleton`` null.
     """
     profile = column_profile(df, exact=exact)
     if not exact:
-        profile = profile.withColumns(
-            {"n_singleton": F.lit(None).cast("long"), "first_value": F.lit(None).cast("string"), "last_value": F.lit(None).cast("string")}
-        )
+        profile = profile.withColumn("n_singleton", F.lit(None).cast("long"))
     profile = profile.withColumn("physical", physical_kind(profile))
     temporal = [f.name for f in df.schema if f.dataType.simpleString() in ("date", "timestamp", "timestamp_ntz")]
     named = [c for c in string_columns(df) if any(w in c.lower() for w in DATE_NAME.split("|"))]
     texts = string_columns(df) if order_by else []
-    samples = _samples(df, list(dict.fromkeys(temporal + named + texts)), order_by)
-
-    def date_format(values: list[str]) -> str:
-        for mark, label in (("T", "ISO_8601"), ("/", "MM/DD/YYYY_or_DD/MM/YYYY"), ("-", "YYYY-MM-DD")):
-            if any(mark in v for v in values):
-                return label
-        return "unknown"
-
-    def is_url(values: list[str]) -> bool:
-        return any("http" in v or "www." in v for v in values)
-
-    def is_email(values: list[str]) -> bool:
-        return any("@" in v and "." in v for v in values)
-
-    sniffed = _rows(
-        df.sparkSession,
-        [(c, date_format(v), any(":" in x for x in v), is_url(v), is_email(v)) for c, v in samples.items()],
-        "column string, date_format string, has_time boolean, url boolean, email boolean",
-    )
-    profile = profile.join(sniffed, "column", "left")
+    sniffed = _sniffed(df, list(dict.fromkeys(temporal + named + texts)), order_by)
+    profile = profile.join(F.broadcast(sniffed), "column", "left")
     by_share = not order_by
     profile = profile.withColumn(
         "is_url", F.coalesce(F.col("url_share") >= 0.5 if by_share else F.col("url"), F.lit(False))

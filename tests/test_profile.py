@@ -77,3 +77,18 @@ def test_quality_score(spark):
     row = quality.quality_score(df).first()
     assert (row["missing_cells"], row["duplicates"]) == (2, 1) and row["score"] == 0.0
     assert quality.duplicate_records(df).first()["n_records"] == 2
+
+
+def test_long_texts_are_told_apart_behind_their_start(spark):
+    start = "<html>" * 40
+    rows = [(start + x, n) for n, x in enumerate("bbaaccd")] + [(None, 9), ("short", 10)]
+    df = spark.createDataFrame(rows, "`page.html` string, n int")
+    got = by_column(profile.column_profile(df))
+    page = got["page.html"]
+    assert (page["n_distinct"], page["n_singleton"], page["mode_count"]) == (5, 2, 2)
+    assert page["mode"] == start + "a" and page["first_value"] == start + "a" and page["last_value"] == "short"
+    assert got["n"]["mode"] == "0" and got["n"]["last_value"] == "10"
+    top = {r["rank"]: (r["value"], r["count"]) for r in profile.top_values(df, ["page.html"], 4).collect()}
+    assert top == {1: (start + "a", 2), 2: (start + "b", 2), 3: (start + "c", 2), 4: (start + "d", 1)}
+    assert profile.fit_modes(df, ["page.html", "n"]) == {"page.html": start + "a", "n": "0"}
+    assert profile.fit_modes(df.where("false"), ["page.html"]) == {"page.html": None}
