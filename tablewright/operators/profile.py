@@ -28,6 +28,7 @@ PAIRS_PER_PASS = 400  # correlation pairs per aggregate, to bound generated code
 COLUMNS_PER_PASS = 100  # profiled columns per aggregate, likewise
 IQR_FACTOR = 1.5
 ENDS = (("first_value", False), ("last_value", True))
+SKETCH_BITS = 14  # distinct counts are estimated to about a percent
 HEAD = 128  # characters of a text that are counted as they are; a digest stands for what follows
 
 
@@ -72,6 +73,17 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
+def _estimated_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(at, n_distinct)``: estimated distinct values, good to a percent; a column without values has no row."""
+
+    def cell(at: int, c: str) -> Column:
+        text = text_cell(df, c)
+        return F.struct(F.lit(at).alias("at"), F.when(text.isNotNull(), F.xxhash64(text)).alias("cell"))
+
+    cells = df.select(F.inline(F.array(*[cell(i, c) for i, c in enumerate(columns)]))).where(F.col("cell").isNotNull())
+    return cells.groupBy("at").agg(F.hll_sketch_estimate(F.hll_sketch_agg("cell", SKETCH_BITS)).alias("n_distinct"))
+
+
 def _may_be_long(df: DataFrame, name: str) -> bool:
     return column_kind(df.schema[name].dataType) in ("string", "complex")
 
@@ -197,8 +209,6 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, exact: b
             texts[3].cast("double").alias("email_share"),
             *[(nothing.cast("string") if _may_be_long(df, c) else _extreme(df, c, last)).alias(n) for n, last in ENDS],
         ]
-        if not exact:
-            out.append(F.approx_count_distinct(text_cell(df, c), 0.01).alias("n_distinct"))
         return out
 
     stats = _long_stats(df, columns, metrics)
@@ -214,6 +224,9 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, exact: b
         )
         # where nothing repeats, the smallest value is the mode
         stats = stats.withColumn("mode", F.coalesce("mode", "first_value"))
+    else:
+        guess = F.broadcast(_estimated_counts(df, columns).withColumnRenamed("at", "position"))
+        stats = stats.join(guess, "position", "left").withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)))
     return stats.withColumns(
         {
             "ratio": F.try_divide(F.col("n_distinct"), F.col("n_rows")),
@@ -254,11 +267,8 @@ def fit_moments(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """Distinct non-null values per column."""
     columns = list(columns or df.columns)
-    if not exact:
-        return _long_stats(
-            df, columns, lambda c: [F.approx_count_distinct(text_cell(df, c), 0.01).alias("n_distinct")]
-        )
-    found = _cell_counts(df, columns).groupBy("at").agg(F.count(F.lit(1)).alias("n_distinct")).select(_names(columns), "n_distinct")
+    counted = _cell_counts(df, columns).groupBy("at").agg(F.count(F.lit(1)).alias("n_distinct")) if exact else _estimated_counts(df, columns)
+    found = counted.select(_names(columns), "n_distinct")
     names = _rows(df.sparkSession, [(c,) for c in columns], "column string")
     return names.join(found, "column", "left").withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)))
 
