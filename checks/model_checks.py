@@ -386,3 +386,29 @@ def _(spark, folder):
 @query("v7_cluster_scatter", DBSCAN.format(eps=0.06, ms=5) + "SELECT c_custkey, cluster FROM final ORDER BY c_custkey LIMIT 200")
 def _(spark, folder):
     return V.first_points(clustered(spark, folder, 0.06, 5), "c_custkey").select("c_custkey", "cluster")
+
+
+@query("v7_anomaly_scatter", "SELECT event_id, value, user_id, true AS flag_follows_score FROM events ORDER BY event_id LIMIT 200")
+def _(spark, folder):
+    df = table(spark, folder, "events").select("event_id", "value", "user_id")
+    scored = A.isolation_forest(df, ["value", "user_id"], "event_id")
+    points = V.first_points(scored, "event_id")
+    return points.select("event_id", "value", "user_id", (F.col("is_anomaly") == (F.col("anomaly_score") < 0)).alias("flag_follows_score"))
+
+
+@query(
+    "m29_isolation_forest_ranks",
+    """SELECT count(*) AS n_total, CAST(floor(0.1 * (count(*) - 1)) AS BIGINT) + 1 AS most_flagged, true AS fewer_by_ties_only, CAST(0 AS BIGINT) AS out_of_order FROM events""",
+)
+def _(spark, folder):
+    df = table(spark, folder, "events").select("event_id", "value", "user_id")
+    scored = A.isolation_forest(df, ["value", "user_id"], "event_id")
+    n = F.count(F.lit(1))
+    cut = (F.floor((n - 1) * F.lit(0.1)) + 1).cast("long")
+    return scored.agg(
+        n.alias("n_total"),
+        cut.alias("most_flagged"),
+        # rows at the cut itself are not flagged, all below are
+        ((F.count_if("is_anomaly") <= cut) & (F.count_if(F.col("anomaly_score") <= 0) >= cut)).alias("fewer_by_ties_only"),
+        F.count_if(F.col("is_anomaly") != (F.col("anomaly_score") < 0)).alias("out_of_order"),
+    )

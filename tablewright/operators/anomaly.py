@@ -167,9 +167,8 @@ def isolation_forest(
     nodes = grow_forest(samples, features, seed).toPandas()  # at most trees * 511 nodes
     score = _scorer(df.sparkSession, nodes, min(tree_rows, rows))
     scored = prepared.withColumn("_score", score(*[F.col(f) for f in features])).drop(*features)
-    # scored once, read by the quantile search and by the caller
-    scored = scored.persist()
-    offset = quantiles(scored, ["_score"], [contamination], exact)["_score"][0]
+    # the search for the cut reads a column of scores; the table itself is scored as the caller reads it
+    offset = quantiles(scored.select("_score").checkpoint(), ["_score"], [contamination], exact)["_score"][0]
     value = F.col("_score") - F.lit(offset)
     return scored.withColumn("anomaly_score", value).withColumn("is_anomaly", value < 0).drop("_score")
 
