@@ -57,6 +57,9 @@ def main() -> None:
         "c7_remove_outliers": lambda: run(clean.remove_outliers(lineitem)),
         "c9_clean_table": lambda: run(clean_table(orders, CleanOptions(outliers="remove"))),
         "c13_forward_fill": lambda: run(clean.forward_fill(events, "user_id", "event_id", ["event_type", "value"])),
+        "c2_fill_mean": lambda: run(clean.fill_mean(events)),
+        "d20_quality_findings": lambda: run(quality.findings(orders)),
+        "r5_dictionary_encode": lambda: run(reduction.dictionary_encode(orders, "o_orderkey")),
         "x1_zscore": lambda: run(transform.zscore(lineitem)),
         "x2_equal_width_bins": lambda: run(transform.bin_equal_width(lineitem)),
         "x4_aggregate": lambda: run(transform.aggregate_by_first_text(lineitem)),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.common import (
@@ -169,6 +172,29 @@ def _(spark, folder):
     )
 
 
+@query(
+    "c9_clean_quality_reports",
+    f"""{CLEANED} SELECT 'before' AS stage, 'n_missing' AS finding, CAST(sum((event_type IS NULL)::INT + (value IS NULL)::INT) AS BIGINT) AS total FROM {DIRTY}
+    UNION ALL SELECT 'after', 'n_missing', CAST(0 AS BIGINT)
+    UNION ALL SELECT 'before', 'n_rows', count(*) FROM {DIRTY} UNION ALL SELECT 'after', 'n_rows', count(*) FROM {_clean_last}
+    UNION ALL SELECT 'after', 'n_distinct_values', CAST(count(DISTINCT event_type) AS BIGINT) FROM {_clean_last}""",
+)
+def _(spark, folder):
+    from tablewright.plans.cleaning import CleanOptions, clean_with_reports
+
+    run = clean_with_reports(dirty(spark, folder), CleanOptions(outliers="remove"))
+
+    def totals(stage: str, report, finding: str, measure):
+        return report.agg(measure.cast("long").alias("total")).select(F.lit(stage).alias("stage"), F.lit(finding).alias("finding"), "total")
+
+    parts = []
+    for stage, found in (("before", run.before), ("after", run.after)):
+        parts.append(totals(stage, found["missing"], "n_missing", F.sum("n_missing")))
+        parts.append(totals(stage, found["roles"], "n_rows", F.max("n_rows")))
+    parts.append(totals("after", run.after["roles"].where("column = 'event_type'"), "n_distinct_values", F.max("n_distinct")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("c10_fill_zero", filled("0", "'Unknown'"))
 def _(spark, folder):
     return C.fill_zero(events_gaps(spark, folder))

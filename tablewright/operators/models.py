@@ -39,6 +39,7 @@ LOGISTIC_ITERATIONS, LOGISTIC_C = 1000, 1.0
 SVM_COMPONENTS, SVM_ITERATIONS, SVM_TOLERANCE = 100, 50, 1e-3
 FOLDS = 5
 
+MAX_CLASSES = 1000  # classes a target may have
 FIT_PARTITIONS = 8  # one layout of training rows at every size; raise it with the table
 
 ALGORITHMS = (
@@ -176,8 +177,14 @@ def fit_classifier(
     return make_classifier(algorithm, rows, depth, seed).fit(train)
 
 
-def index_target(df: DataFrame, target: str) -> StringIndexer:
-    """Fitted encoder of the class label, codes in value order."""
+def index_target(df: DataFrame, target: str, max_classes: int = MAX_CLASSES) -> StringIndexer:
+    """Fitted encoder of the class label, codes in value order.
+
+    Labels come to the driver, so a target with more than ``max_classes`` of them is an error; no row is dropped.
+    """
+    classes = df.select(as_column(target)).distinct().limit(max_classes + 1).count()
+    if classes > max_classes:
+        raise ValueError(f"{target!r} has more than {max_classes} classes; it is not a class label, or max_classes must be raised")
     # all labels are present at fitting time; "keep" would make room for one class more
     return StringIndexer(inputCol=target, outputCol="label_code", stringOrderType="alphabetAsc").fit(df)
 

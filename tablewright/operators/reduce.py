@@ -123,6 +123,16 @@ def dictionary_encode(df: DataFrame, order_by: str, columns: Sequence[str] | Non
     return df
 
 
+def dictionaries(before: DataFrame, encoded: DataFrame) -> dict[str, DataFrame]:
+    """``(value, code)`` of every column of ``encoded`` that :func:`dictionary_encode` has added to those ``before``."""
+    found = {}
+    for c in string_columns(before):
+        code = f"{c}_encoded"
+        if c in encoded.columns and code in encoded.columns and code not in before.columns:
+            found[c] = encoded.select(as_column(c).alias("value"), as_column(code).alias("code")).distinct()
+    return found
+
+
 def reduction_summary(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows and columns before and after, and the share of cells saved."""
     n0, n1 = before.agg(F.count(F.lit(1)).alias("rows_before")), after.agg(F.count(F.lit(1)).alias("rows_after"))

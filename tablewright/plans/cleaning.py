@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.scalars import finite_table, string_columns
 from tablewright.operators import clean as C
-from tablewright.operators.quality import quality_score
-from tablewright.operators.reduce import ReduceOptions, reduce_table
+from tablewright.operators.quality import quality_report, quality_score
+from tablewright.operators.reduce import ReduceOptions, dictionaries, reduce_table, reduction_summary
 from tablewright.operators.transform import TransformOptions, transform
 
 
@@ -77,16 +77,54 @@ def _outliers(df: DataFrame, options: CleanOptions) -> DataFrame:
     raise ValueError(f"unknown outlier strategy {options.outliers!r}")
 
 
-def clean(df: DataFrame, options: CleanOptions = CleanOptions()) -> DataFrame:
-    """Apply the chosen steps in order. Jobs run only for the constants a step fits."""
+@dataclass(frozen=True)
+class CleanRun:
+    """A cleaned table with everything that is reported about the run.
+
+    before, after: all findings of the quality report, by name.
+    aggregate: the table of group measures, if that step was chosen.
+    reduction: size before and after the reduction steps, if there were any.
+    dictionaries: value and code of every encoded column.
+    """
+
+    table: DataFrame
+    before: dict[str, DataFrame]
+    after: dict[str, DataFrame]
+    aggregate: DataFrame | None
+    reduction: DataFrame | None
+    dictionaries: dict[str, DataFrame]
+
+
+def _steps(df: DataFrame, options: CleanOptions) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """The cleaned table, the aggregate, and the table as it was before reduction."""
+    aggregate = None
     df = _outliers(_duplicates(_missing(finite_table(df), options), options), options)
     if options.transform:
-        df, _ = transform(df, options.transform)
+        df, aggregate = transform(df, options.transform)
+    whole = df
     if options.reduce:
         if not options.key:
             raise ValueError("reduction needs key")
         df = reduce_table(df, options.key, options.reduce)
-    return df
+    return df, aggregate, whole
+
+
+def clean(df: DataFrame, options: CleanOptions = CleanOptions()) -> DataFrame:
+    """Apply the chosen steps in order. Jobs run only for the constants a step fits."""
+    return _steps(df, options)[0]
+
+
+def clean_with_reports(df: DataFrame, options: CleanOptions = CleanOptions()) -> CleanRun:
+    """Apply the chosen steps and report on the table before and after them."""
+    table, aggregate, whole = _steps(df, options)
+    return CleanRun(
+        table,
+        quality_report(df),
+        quality_report(table),
+        aggregate,
+        reduction_summary(whole, table) if options.reduce else None,
+        dictionaries(whole, table) if options.reduce and options.reduce.compress else {},
+    )
 
 
 def compare(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -47,6 +47,11 @@ class Trained:
     importance: DataFrame
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """A report of a few rows, computed now and independent of the tables behind it."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def usable_features(df: DataFrame, features: Sequence[str]) -> list[str]:
     """Leave out numeric columns that are row identifiers by name and uniqueness."""
     named = [
@@ -105,6 +110,9 @@ def train(
             F.lit(None).cast("double").alias("cv_mean"),
             F.lit(None).cast("double").alias("cv_std"),
         )
+    metrics, report, confusion = _kept(metrics), _kept(report), _kept(confusion)  # rows by class, at most classes squared
+    tested.unpersist()
+    split.unpersist()
     importance = M.feature_importance(spark, fitted, used)
     model = PipelineModel([*prepare.stages, *(fitted.stages if isinstance(fitted, PipelineModel) else [fitted])])
     result = Trained(model, algorithm, target, used, classes, df, metrics, report, confusion, importance)
