@@ -87,3 +87,16 @@ def test_key_survives_pca(spark):
     df = spark.range(50).select(F.col("id"), *[(F.col("id") * i % 11).cast("double").alias(f"v{i}") for i in (2, 3, 5)])
     out = reduce.reduce_table(df, "id", reduce.ReduceOptions(pca=True))
     assert dict(out.dtypes)["id"] == "bigint" and out.agg(F.count_distinct("id")).first()[0] == 50
+
+
+def test_reports_of_a_cleaning_run(spark):
+    from tablewright.operators.reduce import ReduceOptions
+    from tablewright.plans.cleaning import CleanOptions, clean_with_reports
+
+    rows = [(i, float(i % 7) if i % 5 else None, "ab"[i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, v double, c string")
+    run = clean_with_reports(df, CleanOptions(key="k", reduce=ReduceOptions(feature_selection=False, pca=False, sampling=False, compress=True)))
+    missing = [{r["column"]: r["n_missing"] for r in found["missing"].collect()} for found in (run.before, run.after)]
+    assert missing[0]["v"] == 12 and missing[1]["v"] == 0
+    assert {r["value"]: r["code"] for r in run.dictionaries["c"].collect()} == {"a": 0, "b": 1}
+    assert run.reduction.first()["rows_after"] == 60 and run.aggregate is None

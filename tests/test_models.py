@@ -86,3 +86,10 @@ def test_samples_on_a_large_table(spark):
     df = spark.range(400_000).select(F.col("id"), F.rand(1).alias("a"))
     sizes = anomaly.tree_samples(df, "id", ["a"], 400_000).groupBy("tree").count().toPandas()
     assert len(sizes) == 100 and (sizes["count"] == 256).all()
+
+
+def test_a_key_is_no_class_label(spark):
+    df = spark.range(30).selectExpr("id", "string(id) as label")
+    with pytest.raises(ValueError, match="more than 10 classes"):
+        models.index_target(df, "label", max_classes=10)
+    assert len(models.index_target(df, "label", max_classes=30).labels) == 30
