@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import table, written
+from tablewright.llm.near_copies import components
 from tablewright.operators.cluster import connected_components
 
 RADIUS = 2
@@ -185,12 +186,17 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
 
 
 def keep_one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, all columns, with only the smallest key of each component.
+    """The documents, all columns, with one row of each group of near copies.
 
-    Rows that share a key stand or fall together. A row without a key can't be named as a copy and stays.
+    Near copies share four fifths or more of their five-word shingles (:mod:`near_copies`), whatever the settings of
+    :func:`near_duplicates`. The row with the smallest key stays; a null key comes last, and of equal keys one row stays.
     """
-    gone = near_duplicates(documents, key, text).where(f"`{key}` != component_id").select(F.col(key).alias("_gone")).distinct()
-    return documents.join(gone, F.col(f"`{key}`") == F.col("_gone"), "left_anti")
+    numbered = written(documents.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    rooted = components(numbered.select(F.col("_row").alias("row"), F.col(f"`{text}`").alias("text")))
+    rooted = written(rooted.toDF("_row", "_root"), "near-components")
+    named = numbered.select("_row", F.col(f"`{key}`").alias("_key")).join(rooted, "_row")
+    kept = named.groupBy("_root").agg(F.min(F.struct(F.isnull("_key").alias("last"), F.col("_key"), F.col("_row")))["_row"].alias("_row"))
+    return numbered.join(kept.select("_row"), "_row", "left_semi").drop("_row")
 
 
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:

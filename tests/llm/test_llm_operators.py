@@ -260,6 +260,42 @@ def test_simhash_against_brute_force(edge, empty, documents):
     assert simhash_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_copies_against_brute_force(spark, documents):
+    from tablewright.llm import near_copies
+
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in rng.integers(0, 10**6, 120)]
+    near = [(50_000, " ".join(base))]
+    for i in range(1, 60):  # one to four changed words: similarity 0.92 down to 0.7 with the base, less among each other
+        copy = list(base)
+        for at in rng.choice(120, 1 + i % 4, replace=False):
+            copy[at] = f"x{i}"
+        near.append((50_000 + i, " ".join(copy)))
+    near += [(None, near[0][1]), (None, "alone and without a key in the table"), (7, "same key other text of six words"), (7, "quite another text under one key again")]
+    docs = documents.select("doc_id", "text").unionByName(spark.createDataFrame(near, "doc_id long, text string"))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    sets = [set(zip(*(w[i:] for i in range(5)))) if len(w) >= 5 else {tuple(w)} - {()} for w in (words(t) for _, t in rows)]
+    up = list(range(len(rows)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or min(len(a), len(sets[j])) > 0 and 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                up[find(i)] = find(j)
+    least = {}
+    for i, (key, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), (True, 0)), (key is None, key or 0))
+    want = sorted(str(None if last else key) for last, key in least.values())
+    assert sorted(str(r["doc_id"]) for r in simhash_dedup.keep_one_of_each(docs).collect()) == want
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "text").localCheckpoint()
+    assert near_copies.components(numbered, block_nodes=7).select("root").distinct().count() == len(want)
+    assert near_copies.components(numbered.limit(0)).count() == 0
+
+
 def test_bk_tree():
     rng = np.random.default_rng(2)
     codes = np.unique(np.concatenate([rng.integers(0, 2**10, 300, dtype=np.uint64), rng.integers(0, 2**63, 300, dtype=np.uint64)]))
