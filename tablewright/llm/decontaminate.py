@@ -2,8 +2,8 @@
 
 Numbers, units and names become typed placeholders, so a question with other values has the same template. Windows of
 five template words of the benchmark are matched against those of all documents. A match counts only if its slots are
-consistent: along one alignment, a value of the benchmark item always stands for the same value of the document, and
-the other way round.
+consistent: along one alignment, a value of the benchmark item stands for one value of the document, the one it meets
+most often; windows with another value are dropped, those that are equal word for word always count.
 """
 
 from __future__ import annotations
@@ -99,14 +99,20 @@ def contaminated(
         (F.col("pos") - F.col("item_pos")).alias("shift"),
         F.zip_with(F.split("item_slots", " "), F.split("slots", " "), lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("pairs"),
     )
-    aligned = met.groupBy("key", "item", "shift").agg(
-        F.collect_set("window").alias("windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
-    )
+    aligned = met.groupBy("key", "item", "shift").agg(F.collect_set(F.struct("window", "pairs")).alias("met"))
+    consistent = aligned.select("key", "item", "shift", F.transform("met", lambda m: m["window"]).alias("all"), "met", F.flatten(F.transform("met", lambda m: m["pairs"])).alias("pairs"))
+
+    def agrees(pair: Column) -> Column:
+        """No other value for the same item value is met more often; equal counts prefer the value itself, then the smaller."""
+        def weight(p: Column) -> Column:
+            return F.struct(F.size(F.filter("pairs", lambda q: q == p)).alias("n"), (p["a"] == p["b"]).alias("same"))
 
-    def distinct(side: str) -> Column:
-        return F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
+        rivals = F.filter(F.array_distinct("pairs"), lambda q: (q["a"] == pair["a"]) & (q["b"] != pair["b"]))
+        return ~F.exists(rivals, lambda q: (weight(q) > weight(pair)) | ((weight(q) == weight(pair)) & (q["b"] < pair["b"])))
 
-    consistent = aligned.where((distinct("a") == F.size("pairs")) & (distinct("b") == F.size("pairs")))
+    one_each = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size(F.array_distinct("pairs"))
+    right = F.filter("met", lambda m: F.forall(m["pairs"], lambda p: p["a"] == p["b"]) | F.forall(m["pairs"], agrees))
+    consistent = consistent.select("key", "item", F.when(one_each, F.col("all")).otherwise(F.transform(right, lambda m: m["window"])).alias("windows"))
     found = consistent.select("key", "item", F.explode("windows").alias("window")).distinct().groupBy("key", "item").agg(F.count(F.lit(1)).alias("n_found"))
     scored = found.join(sizes, "item").withColumn("similarity", F.col("n_found") / F.col("n_windows"))
     return scored.where(F.col("similarity") >= similarity).select(F.col("key").alias(key), F.col("item").alias("item_id"), "n_windows", "n_found", "similarity")

@@ -88,6 +88,19 @@ def test_decontamination_slots(spark, empty):
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_with_single_contradictions(spark):
+    long = " ".join(["word" + "abcdefghijklmnopqrstuvwxyz"[i % 26] + "xyz"[i // 26] for i in range(42)]).split()
+    long = " ".join([*long[:10], "2", *long[10:30], "2", *long[30:]])
+    pens = "there were 3 red pens and 4 blue pens in a big box of wood today"
+    docs = spark.createDataFrame(
+        [(1, "2 ".join([*long.split("2 ")[:2], ""])[:-2] + "3 " + long.split("2 ")[2]), (2, pens.replace("3", "5").replace("4", "5")), (3, "nothing")],
+        "doc_id long, text string",
+    )
+    items = spark.createDataFrame([(7, long), (8, pens)], "item_id int, text string")
+    got = {r["doc_id"]: (r["item_id"], r["n_windows"], r["n_found"]) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got[1] == (7, 40, 35) and got[2][0] == 8 and set(got) == {1, 2}
+
+
 def test_decontamination_against_brute_force(spark, documents):
     import re
 
