@@ -81,7 +81,8 @@ def contaminated(
     """Documents that hold a benchmark item: ``(key, item_id, n_windows, n_found, similarity)``, one row per pair.
 
     ``similarity`` is the share of the item's distinct template windows found in the document with consistent slots.
-    Whole texts are compared. Documents that share a key are judged together, those with a null key as one. Items whose
+    Whole texts are compared. Every row is judged by itself; of rows that share a key, or have none, the one that holds
+    most of the item gives the figures. Items whose
     template has fewer than five words, or no window with two plain words, can't be told from chance and match nothing;
     null and empty texts likewise. Items with equal ids are pooled, repeated rows change nothing, other columns are
     ignored, and an empty table on either side gives no rows. The benchmark's windows are broadcast only if there are at
@@ -90,7 +91,8 @@ def contaminated(
     asked = template_windows(benchmark, item, item_text).toDF("item", "item_pos", "window", "item_slots").distinct()
     asked = written(asked, "benchmark-windows")
     sizes = asked.groupBy("item").agg(F.countDistinct("window").alias("n_windows"))
-    told = template_windows(documents, key, text)
+    row = F.struct(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("id")).alias("key")
+    told = template_windows(documents.select(row, F.col(f"`{text}`").alias("text")), "key", "text")
     side = F.broadcast(asked) if asked.count() <= broadcast_windows else asked
     met = told.join(side, "window").select(
         "key",
@@ -114,15 +116,20 @@ def contaminated(
     right = F.filter("met", lambda m: F.forall(m["pairs"], lambda p: p["a"] == p["b"]) | F.forall(m["pairs"], agrees))
     consistent = consistent.select("key", "item", F.when(one_each, F.col("all")).otherwise(F.transform(right, lambda m: m["window"])).alias("windows"))
     found = consistent.select("key", "item", F.explode("windows").alias("window")).distinct().groupBy("key", "item").agg(F.count(F.lit(1)).alias("n_found"))
+    found = found.groupBy(F.col("key")["id"].alias("key"), "item").agg(F.max("n_found").alias("n_found"))
     scored = found.join(sizes, "item").withColumn("similarity", F.col("n_found") / F.col("n_windows"))
     return scored.where(F.col("similarity") >= similarity).select(F.col("key").alias(key), F.col("item").alias("item_id"), "n_windows", "n_found", "similarity")
 
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", broadcast_keys: int = 1_000_000) -> DataFrame:
-    """The documents, all columns, without those that hold a benchmark item. See :func:`contaminated`."""
-    bad = written(contaminated(documents, benchmark, key).select(F.col(key).alias("_bad_key")).distinct(), "contaminated")
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, broadcast_keys: int = 1_000_000) -> DataFrame:
+    """The documents, all columns, without the rows that hold a benchmark item. See :func:`contaminated`.
+
+    Rows are judged and dropped by a number of their own, whatever keys they share or lack.
+    """
+    numbered = written(documents.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    bad = written(contaminated(numbered, benchmark, "_row").select(F.col("_row")).distinct(), "contaminated")
     side = F.broadcast(bad) if bad.count() <= broadcast_keys else bad
-    return documents.join(side, F.col(f"`{key}`").eqNullSafe(F.col("_bad_key")), "left_anti")
+    return numbered.join(side, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:

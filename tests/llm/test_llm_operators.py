@@ -101,6 +101,15 @@ def test_decontamination_with_single_contradictions(spark):
     assert got[1] == (7, 40, 35) and got[2][0] == 8 and set(got) == {1, 2}
 
 
+def test_decontamination_judges_rows(spark):
+    item = "we counted 3 red pens and 4 blue pens in a big box of wood"
+    other = item.replace("3", "7")
+    docs = spark.createDataFrame([(None, item), (None, "a clean text"), (1, "clean too"), (1, other), (1, item)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id int, text string")
+    assert sorted(r["text"] for r in decontaminate.drop_contaminated(docs, items).collect()) == ["a clean text", "clean too"]
+    assert {(r["doc_id"], r["n_found"]) for r in decontaminate.contaminated(docs, items).collect()} == {(None, 10), (1, 10)}
+
+
 def test_decontamination_against_brute_force(spark, documents):
     import re
 
