@@ -26,46 +26,84 @@ UNITS = (
 ).split()
 
 # A token is a run of letters and digits, or a marked slot: mark, then the value.
-NUMBER, NAME, UNIT = "\u0001", "\u0002", "\u0003"
+NUMBER, NAME, UNIT, MAYBE = "\u0001", "\u0002", "\u0003", "\u0004"
 _NUMBER = r"(?<![\p{L}\p{N}])\p{Nd}+(?:[.,:/]\p{Nd}+)*"
-_NAME = r"(?<=[\p{Ll}\p{Nd},;:)] )\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
+_CAPITALISED = r"\p{Lu}\p{L}*\p{Ll}\p{L}*(?![\p{L}\p{N}])"
+_NAME = rf"(?<=[\p{{Ll}}\p{{Nd}},;:)]\s{{1,3}}){_CAPITALISED}"
+_MAYBE = rf"(?<![\p{{L}}\p{{N}}{NAME}]){_CAPITALISED}"
 _UNIT = rf"({NUMBER}[\p{{Nd}}.,:/]+)\s?({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
-_TOKEN = rf"{NUMBER}\p{{Nd}}+(?:[.,:/]\p{{Nd}}+)*|[{NAME}{UNIT}]?[\p{{L}}\p{{N}}]+"
+_TOKEN = rf"{NUMBER}\p{{Nd}}+(?:[.,:/]\p{{Nd}}+)*|[{NAME}{UNIT}{MAYBE}]?[\p{{L}}\p{{N}}]+"
 
 
 def marked_tokens(text: Column) -> Column:
-    """Lower-cased tokens of a text; numbers, names (capitalised inside a sentence) and units start with their mark."""
-    plain = F.translate(F.coalesce(text, F.lit("")), NUMBER + NAME + UNIT, "   ")
-    named = F.regexp_replace(plain, _NAME, f"{NAME}$0")
+    """Lower-cased tokens of a text; numbers, names (capitalised inside a sentence), other capitalised words and units start with their mark."""
+    plain = F.translate(F.coalesce(text, F.lit("")), NUMBER + NAME + UNIT + MAYBE, "    ")
+    named = F.regexp_replace(F.regexp_replace(plain, _NAME, f"{NAME}$0"), _MAYBE, f"{MAYBE}$0")
     numbered = F.regexp_replace(named, _NUMBER, f"{NUMBER}$0")
     units = F.regexp_replace(numbered, _UNIT, f"$1 {UNIT}$2")
     return F.regexp_extract_all(F.lower(units), F.lit(_TOKEN), F.lit(0))
 
 
+def vocabulary(benchmark: DataFrame, text: str) -> tuple[list[str], list[str]]:
+    """The words the benchmark writes in lower case, and all its words. They grow with its vocabulary, not with its rows."""
+    tokens = benchmark.select(F.explode(marked_tokens(F.col(f"`{text}`"))).alias("t")).distinct()
+    found = [r["t"] for r in tokens.where(~F.col("t").startswith(NUMBER) & ~F.col("t").startswith(UNIT)).collect()]
+    return sorted(t for t in found if t[0] > MAYBE), sorted({t.lstrip(NAME + MAYBE) for t in found})
+
+
 def _is_slot(token: Column) -> Column:
     return token < F.lit("\u0004")
 
 
-def template_windows(df: DataFrame, key: str, text: str) -> DataFrame:
+def template_windows(df: DataFrame, key: str, text: str, common: list[str], words: list[str], asked: bool = False) -> DataFrame:
     """``(key, pos, window, slots)`` for every window of five template words that holds two plain words or more.
 
-    ``window`` hashes the template, ``slots`` has the marked values in order, separated by spaces.
+    ``window`` hashes the template, ``slots`` has the marked values in order, separated by spaces. A capitalised word
+    at the start of a sentence or line is a name unless it is one of ``common``. A window whose names are all among
+    ``words`` also comes with its names as plain words, so that copies with other case or line ends meet it. With
+    ``asked`` there is a last column ``counts``, the template's hash, and the template alone must hold two plain words.
     """
-    tokens = df.select(F.col(f"`{key}`").alias("key"), marked_tokens(F.col(f"`{text}`")).alias("raw")).where(F.size("raw") >= WINDOW)
-    shaped = tokens.select(
-        "key",
-        "raw",
-        F.transform("raw", lambda t: F.when(_is_slot(t), F.substring(t, 1, 1)).otherwise(t)).alias("form"),
-        F.exists("raw", _is_slot).alias("slotted"),
-    )
+    raw = marked_tokens(F.col(f"`{text}`"))
+    tokens = df.select(F.col(f"`{key}`").alias("key"), raw.alias("raw")).where(F.size("raw") >= WINDOW)
+
+    def settled(t: Column) -> Column:
+        word = F.substring(t, 2, 1_000_000)
+        return F.when(t.startswith(MAYBE), F.when(word.isin(common), word).otherwise(F.concat(F.lit(NAME), word))).otherwise(t)
+
+    tokens = tokens.select("key", F.transform("raw", settled).alias("raw"))
+
+    def without_name(t: Column) -> Column:
+        word = F.substring(t, 2, 1_000_000)
+        return F.when(t.startswith(NAME), F.when(word.isin(words), word)).otherwise(t)
+
+    def form(t: Column) -> Column:
+        return F.when(_is_slot(t), F.substring(t, 1, 1)).otherwise(t)
+
+    shaped = tokens.select("key", "raw", F.transform("raw", form).alias("form"), F.exists("raw", _is_slot).alias("slotted"), F.transform("raw", without_name).alias("plain"))
+    shaped = shaped.select("*", F.transform("plain", form).alias("plain_form"))
+
+    def part(name: str, i: Column) -> Column:
+        return F.slice(name, i, WINDOW)
+
+    def values(name: str, i: Column) -> Column:
+        return F.when(F.col("slotted"), F.array_join(F.filter(part(name, i), _is_slot), " ")).otherwise(F.lit(""))
+
+    def window(tokens: str, forms: str):
+        def at(i: Column) -> Column:
+            own = [F.xxhash64(part("form", i)).alias("counts"), values("raw", i).alias("full")] if asked else []
+            return F.struct(i.alias("pos"), F.xxhash64(part(forms, i)).alias("window"), values(tokens, i).alias("slots"), *own)
+
+        return at
 
-    def window(i: Column) -> Column:
-        values = F.when(F.col("slotted"), F.array_join(F.filter(F.slice("raw", i, WINDOW), _is_slot), " ")).otherwise(F.lit(""))
-        return F.struct(i.alias("pos"), F.xxhash64(F.slice("form", i, WINDOW)).alias("window"), values.alias("slots"))
+    def named_known(i: Column) -> Column:
+        return F.array_contains(part("form", i), NAME) & ~F.exists(part("plain", i), F.isnull)
 
-    windows = F.transform(F.sequence(F.lit(1), F.size("raw") - WINDOW + 1), window)
-    plain_words = WINDOW - F.when(F.col("slots") == "", 0).otherwise(F.size(F.split("slots", " ")))
-    return shaped.select("key", F.inline(windows)).where(plain_words >= 2)
+    places = F.sequence(F.lit(1), F.size("raw") - WINDOW + 1)
+    known = F.filter(places, named_known)
+    windows = F.concat(F.transform(places, window("raw", "form")), F.transform(known, window("plain", "plain_form")))
+    marks = "full" if asked else "slots"
+    plain_words = WINDOW - F.when(F.col(marks) == "", 0).otherwise(F.size(F.split(marks, " ")))
+    return shaped.select("key", F.inline(windows)).where(plain_words >= 2).drop("full")
 
 
 def contaminated(
@@ -88,16 +126,17 @@ def contaminated(
     ignored, and an empty table on either side gives no rows. The benchmark's windows are broadcast only if there are at
     most ``broadcast_windows`` (25 MB); beyond, both sides are shuffled by the window.
     """
-    asked = template_windows(benchmark, item, item_text).toDF("item", "item_pos", "window", "item_slots").distinct()
+    common, words = vocabulary(benchmark, item_text)
+    asked = template_windows(benchmark, item, item_text, common, words, True).toDF("item", "item_pos", "window", "item_slots", "counts").distinct()
     asked = written(asked, "benchmark-windows")
-    sizes = asked.groupBy("item").agg(F.countDistinct("window").alias("n_windows"))
+    sizes = asked.groupBy("item").agg(F.countDistinct("counts").alias("n_windows"))
     row = F.struct(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("id")).alias("key")
-    told = template_windows(documents.select(row, F.col(f"`{text}`").alias("text")), "key", "text")
+    told = template_windows(documents.select(row, F.col(f"`{text}`").alias("text")), "key", "text", common, words)
     side = F.broadcast(asked) if asked.count() <= broadcast_windows else asked
     met = told.join(side, "window").select(
         "key",
         "item",
-        "window",
+        F.col("counts").alias("window"),
         (F.col("pos") - F.col("item_pos")).alias("shift"),
         F.zip_with(F.split("item_slots", " "), F.split("slots", " "), lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("pairs"),
     )
@@ -105,9 +144,10 @@ def contaminated(
     consistent = aligned.select("key", "item", "shift", F.transform("met", lambda m: m["window"]).alias("all"), "met", F.flatten(F.transform("met", lambda m: m["pairs"])).alias("pairs"))
 
     def agrees(pair: Column) -> Column:
-        """No other value for the same item value is met more often; equal counts prefer the value itself, then the smaller."""
+        """No other value for the same item value is met in more windows; equal counts prefer the value itself, then the smaller."""
         def weight(p: Column) -> Column:
-            return F.struct(F.size(F.filter("pairs", lambda q: q == p)).alias("n"), (p["a"] == p["b"]).alias("same"))
+            holds = F.transform(F.filter("met", lambda m: F.array_contains(m["pairs"], p)), lambda m: m["window"])
+            return F.struct(F.size(F.array_distinct(holds)).alias("n"), (p["a"] == p["b"]).alias("same"))
 
         rivals = F.filter(F.array_distinct("pairs"), lambda q: (q["a"] == pair["a"]) & (q["b"] != pair["b"]))
         return ~F.exists(rivals, lambda q: (weight(q) > weight(pair)) | ((weight(q) == weight(pair)) & (q["b"] < pair["b"])))

@@ -107,7 +107,23 @@ def test_decontamination_judges_rows(spark):
     docs = spark.createDataFrame([(None, item), (None, "a clean text"), (1, "clean too"), (1, other), (1, item)], "doc_id long, text string")
     items = spark.createDataFrame([(7, item)], "item_id int, text string")
     assert sorted(r["text"] for r in decontaminate.drop_contaminated(docs, items).collect()) == ["a clean text", "clean too"]
-    assert {(r["doc_id"], r["n_found"]) for r in decontaminate.contaminated(docs, items).collect()} == {(None, 10), (1, 10)}
+    assert {(r["doc_id"], r["n_found"]) for r in decontaminate.contaminated(docs, items).collect()} == {(None, 11), (1, 11)}
+
+
+def test_decontamination_of_names_at_any_place(spark):
+    item = "Tom has 3 apples. Tom buys 4 more apples. How many apples does Tom have now?"
+    docs = spark.createDataFrame(
+        [
+            (1, item.replace("Tom", "Mary").replace("3", "8").replace("4", "6")),
+            (2, item.lower()),
+            (3, item.replace(". ", ".\n").replace("does ", "does\n")),
+            (4, "Q: " + item.replace("Tom", "McAdam").replace("does ", "does  ")),
+            (5, "Tom has no apples. Anna buys 4 pears. How many pears does she have?"),
+        ],
+        "doc_id long, text string",
+    )
+    items = spark.createDataFrame([(7, item)], "item_id int, text string")
+    assert {r["doc_id"] for r in decontaminate.contaminated(docs, items).collect()} == {1, 2, 3, 4}
 
 
 def test_decontamination_against_brute_force(spark, documents):
