@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from tablewright.llm import chat_snapshots, decontaminate, language_model, main_text, nearest, sentencepiece_codec, simhash_dedup, token_files, toxicity, url_filters
+from tablewright.llm import (
+    chat_snapshots,
+    decontaminate,
+    importance_resampling,
+    interaction_audit,
+    language_model,
+    main_text,
+    nearest,
+    ngram_join,
+    sentencepiece_codec,
+    simhash_dedup,
+    token_files,
+    toxicity,
+    url_filters,
+)
 from tablewright.llm.common import Query
 
 QUERIES: dict[str, Query] = {
@@ -16,9 +30,13 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": simhash_dedup.op8_simhash,
     "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
     "op10_token_files": token_files.op10_token_files,
+    "op11_ngram_join": ngram_join.op11_ngram_join,
+    "op12_interaction_audit": interaction_audit.op12_interaction_audit,
+    "op13_resampling": importance_resampling.op13_resampling,
 }
 
 ORACLES = {
     "op1_url_filters": " ".join(url_filters.OP1_SQL.split()),
     "op4_chat_snapshots": " ".join(chat_snapshots.OP4_SQL.split()),
+    "op12_interaction_audit": " ".join(interaction_audit.OP12_SQL.split()),
 }

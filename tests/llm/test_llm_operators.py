@@ -39,7 +39,7 @@ def words(text):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("pages", "conversations"):
+    for t in ("pages", "conversations", "documents", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     want = con.sql(ORACLES[name])
     got = QUERIES[name](spark, FOLDER)
