@@ -23,6 +23,20 @@ def crc_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, name: str = "_row") -> tuple[DataFrame, str]:
+    """``df``, written, with a distinct long for every row, and the name of that column, which no other has."""
+    row = free_name(df, name)
+    return written(df.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: a cut in the lineage that survives lost executors."""
     path = scratch_path(df.sparkSession, name)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import written
+from tablewright.llm.common import numbered, written
 from tablewright.operators.cluster import connected_components
 
 SHINGLE = 5
@@ -130,3 +130,16 @@ def components(rows: DataFrame, block_nodes: int = BLOCK_NODES, block_shingles:
     member = connected_components(written(links, "near-links"))
     of_set = written(same.join(member, "node", "left").select("digest", F.coalesce("root", "node").alias("root")), "roots")
     return marks.select("row", "digest").join(of_set, "digest").select("row", "root")
+
+
+def keep_one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents, all columns, with one row of each group of near copies.
+
+    The row with the smallest key stays; a null key comes last, and of equal keys one row stays.
+    """
+    rows, row = numbered(documents)
+    rooted = components(rows.select(F.col(row).alias("row"), F.col(f"`{text}`").alias("text")))
+    rooted = written(rooted, "near-components")
+    named = rows.select(F.col(row).alias("row"), F.col(f"`{key}`").alias("key")).join(rooted, "row")
+    kept = named.groupBy("root").agg(F.min(F.struct(F.isnull("key").alias("last"), "key", "row"))["row"].alias("kept"))
+    return rows.join(kept.select(F.col("kept").alias(row)), row, "left_semi").drop(row)

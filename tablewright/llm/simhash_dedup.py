@@ -18,8 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import table, written
-from tablewright.llm.near_copies import components
+from tablewright.llm.common import numbered, table, written
 from tablewright.operators.cluster import connected_components
 
 RADIUS = 2
@@ -185,18 +184,17 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     return marked.join(of_code, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
-def keep_one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, all columns, with one row of each group of near copies.
+def keep_one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The documents, all columns, with one row of each component of :func:`near_duplicates`.
 
-    Near copies share four fifths or more of their five-word shingles (:mod:`near_copies`), whatever the settings of
-    :func:`near_duplicates`. The row with the smallest key stays; a null key comes last, and of equal keys one row stays.
+    Rows are judged by a number of their own, whatever keys they share or lack, so repeated rows go too. The row with
+    the smallest key stays; a null key comes last. All texts without words are copies of each other.
     """
-    numbered = written(documents.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    rooted = components(numbered.select(F.col("_row").alias("row"), F.col(f"`{text}`").alias("text")))
-    rooted = written(rooted.toDF("_row", "_root"), "near-components")
-    named = numbered.select("_row", F.col(f"`{key}`").alias("_key")).join(rooted, "_row")
-    kept = named.groupBy("_root").agg(F.min(F.struct(F.isnull("_key").alias("last"), F.col("_key"), F.col("_row")))["_row"].alias("_row"))
-    return numbered.join(kept.select("_row"), "_row", "left_semi").drop("_row")
+    rows, row = numbered(documents)
+    found = near_duplicates(rows, row, text, radius).select(F.col(row).alias("row"), F.col("component_id").alias("root"))
+    named = rows.select(F.col(row).alias("row"), F.col(f"`{key}`").alias("key")).join(found, "row")
+    kept = named.groupBy("root").agg(F.min(F.struct(F.isnull("key").alias("last"), "key", "row"))["row"].alias("kept"))
+    return rows.join(kept.select(F.col("kept").alias(row)), row, "left_semi").drop(row)
 
 
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:

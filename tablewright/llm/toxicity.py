@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tablewright.llm.common import crc_of_id, table, written
+from tablewright.llm.common import crc_of_id, free_name, table, written
 
 THRESHOLD = 0.3
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000  # bounds of the fitted sample; scoring covers every row
@@ -201,7 +202,7 @@ def fit(sample: DataFrame, kinds=IDENTITY_TERMS, features: int = FEATURES, ridge
     return Model({f: float(v) for f, v in zip(chosen, w) if v}, float(b))
 
 
-def _scorer(model: Model, column: int):
+def _scorer(model: Model, column: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
         for batch in batches:
@@ -210,7 +211,7 @@ def _scorer(model: Model, column: int):
                 if len(cache) > CACHED_WORDS:
                     cache.clear()
                 scores = pa.array(model.score_all(part.column(column).to_pylist(), cache), pa.float64())
-                yield pa.RecordBatch.from_arrays([*part.columns, scores], [*part.schema.names, SCORE])
+                yield pa.RecordBatch.from_arrays([*part.columns, scores], [*part.schema.names, name])
 
     return run
 
@@ -218,10 +219,13 @@ def _scorer(model: Model, column: int):
 SCORE = "_toxicity"
 
 
-def with_score(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All rows and columns with ``_toxicity``, between 0 and 1. Null and empty texts get the score of no words."""
-    shape = documents.drop(SCORE).schema.add(SCORE, "double")
-    return documents.drop(SCORE).mapInArrow(_scorer(model, documents.drop(SCORE).columns.index(text)), shape)
+def with_score(documents: DataFrame, model: Model, text: str = "text", name: str = SCORE) -> DataFrame:
+    """All rows and columns with the score, between 0 and 1, as ``name``; a column that has this name is replaced.
+
+    Null and empty texts get the score of no words.
+    """
+    rows = documents.drop(name)
+    return rows.mapInArrow(_scorer(model, rows.columns.index(text), name), StructType([*rows.schema, StructField(name, DoubleType())]))
 
 
 def trained(documents: DataFrame, labels: DataFrame) -> Model:
@@ -231,7 +235,8 @@ def trained(documents: DataFrame, labels: DataFrame) -> Model:
 
 def drop_toxic(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, all columns, whose score stays below the threshold."""
-    return with_score(documents, model).where(F.col(SCORE) < threshold).select(*[f"`{c}`" for c in documents.columns])
+    name = free_name(documents, SCORE)
+    return with_score(documents, model, name=name).where(F.col(name) < threshold).drop(name)
 
 
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:

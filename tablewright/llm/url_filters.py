@@ -121,18 +121,17 @@ def judge_captures(captures: DataFrame, entries: DataFrame, url: str = "url", fe
     strength = F.when(F.col("key").startswith("prefix "), 2).when(F.col("key").startswith("host "), 1).otherwise(0)
     order = F.struct((-strength).alias("s"), (-F.length("key")).alias("l"), "list_name", "key", "starts")
     verdicts = met.groupBy("url", "t").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("best"))
-    # names that no column of the captures has
-    verdicts = verdicts.select(F.col("url").alias("_v_url"), F.col("t").alias("_v_t"), F.col("n").alias("_v_n"), F.col("best").alias("_v_best"))
-    judged = captures.select(*[F.col(f"`{c}`") for c in own], _ticks(captures, fetched_at).alias("_c_t"), F.col(f"`{url}`").alias("_c_url"))
-    judged = judged.join(verdicts, (F.col("_c_url") == F.col("_v_url")) & (F.col("_c_t") == F.col("_v_t")), "left")
-    known = F.col("_c_url").isNotNull() & F.col("_c_t").isNotNull()
+    # the capture travels as one struct, so no column of its meets another's name
+    judged = captures.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("capture"), F.col(f"`{url}`").alias("url"), _ticks(captures, fetched_at).alias("t"))
+    judged = judged.join(verdicts, ["url", "t"], "left")
+    known = F.col("url").isNotNull() & F.col("t").isNotNull()
     return judged.select(
-        *[F.col(f"`{c}`") for c in own],
-        F.when(known, F.col("_v_n").isNotNull()).alias("blocked"),
-        F.coalesce("_v_n", F.lit(0)).cast("long").alias("n_matches"),
-        F.col("_v_best.key").alias("match_key"),
-        F.col("_v_best.list_name").alias("match_list"),
-        F.col("_v_best.starts").alias("match_since"),
+        *[F.col("capture").getField(c).alias(c) for c in own],
+        F.when(known, F.col("n").isNotNull()).alias("blocked"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("n_matches"),
+        F.col("best.key").alias("match_key"),
+        F.col("best.list_name").alias("match_list"),
+        F.col("best.starts").alias("match_since"),
     )
 
 

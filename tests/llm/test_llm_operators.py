@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.llm import chat_snapshots, decontaminate, language_model, main_text, nearest, sentencepiece_codec, simhash_dedup, token_files, toxicity, url_filters
+from tablewright.llm.common import written
 from tablewright.llm.queries import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -110,6 +111,50 @@ def test_decontamination_judges_rows(spark):
     assert {(r["doc_id"], r["n_found"]) for r in decontaminate.contaminated(docs, items).collect()} == {(None, 11), (1, 11)}
 
 
+def test_decontamination_of_number_words_units_and_short_items(spark):
+    items = spark.createDataFrame(
+        [
+            (1, "He pours three liters of water and then two liters of milk into one large bowl"),
+            (2, "Der Zug fährt 80 Kilometer in einer Stunde und braucht danach drei Stunden bis zum Ziel"),
+            (3, "drei plus vier macht zusammen eine schöne Zahl"),
+            (4, "quite short items count"),
+            (5, "a b"),
+            (6, "42"),
+        ],
+        "item_id int, text string",
+    )
+    docs = spark.createDataFrame(
+        [
+            (1, "He pours seven liters of water and then four liters of milk into one large bowl"),
+            (2, "Der Zug fährt 95 km in einer Stunde und braucht danach 2 Stunden bis zum Ziel"),
+            (3, "acht plus fünf macht zusammen eine schöne Zahl"),
+            (4, "so Quite short\nitems count here"),
+            (5, "quite short items don't count"),
+            (6, "42"),
+        ],
+        "doc_id long, text string",
+    )
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(i, i) for i in (1, 2, 3, 4)}
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items, listed_clues=0).collect()} == got
+
+
+def test_clues_rule_out_no_match(spark, documents):
+    """The documents that clues leave hold all that is found without them, also with edited words."""
+    items = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
+    rng = np.random.default_rng(4)
+    texts = [r["text"] for r in items.collect()]
+    edited = []
+    for i, t in enumerate(texts * 6):
+        part = t.split(" ")
+        for at in rng.choice(len(part), min(len(part), 1 + i % 3), replace=False):
+            part[at] = rng.choice(["17", "Berta", "word", part[at].upper(), part[at].title()])
+        edited.append((10_000 + i, "before " + " ".join(part)))
+    docs = documents.select("doc_id", "text").unionByName(spark.createDataFrame(edited, "doc_id long, text string"))
+    fast, slow = ({tuple(r) for r in decontaminate.contaminated(docs, items, similarity=s, listed_clues=n).collect()} for s, n in ((0.5, 100_000), (0.5, 0)))
+    assert fast == slow and len(fast) > len(texts)
+
+
 def test_decontamination_of_names_at_any_place(spark):
     item = "Tom has 3 apples. Tom buys 4 more apples. How many apples does Tom have now?"
     docs = spark.createDataFrame(
@@ -293,8 +338,13 @@ def test_simhash_against_brute_force(edge, empty, documents):
         if i is not None:
             least[find(f)] = min(i, least.get(find(f), i))
     assert all(c == least.get(find(f)) for _, f, c in rows)
+    # one of each component stays: the smallest id, none comes last; texts without words are copies of each other
+    prints = [simhash_dedup.fingerprint(words(t)) & (2**64 - 1) for _, t in EDGE]
+    best = {}
+    for (k, _), f in zip(EDGE, prints):
+        best[find(f)] = min(best.get(find(f), (True, 0)), (k is None, k or 0))
     kept = simhash_dedup.keep_one_of_each(edge)
-    assert kept.columns == edge.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "6", "7", "None"]
+    assert kept.columns == edge.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(None if last else k) for last, k in best.values())
     assert simhash_dedup.near_duplicates(empty).count() == 0
 
 
@@ -328,8 +378,8 @@ def test_near_copies_against_brute_force(spark, documents):
     for i, (key, _) in enumerate(rows):
         least[find(i)] = min(least.get(find(i), (True, 0)), (key is None, key or 0))
     want = sorted(str(None if last else key) for last, key in least.values())
-    assert sorted(str(r["doc_id"]) for r in simhash_dedup.keep_one_of_each(docs).collect()) == want
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "text").localCheckpoint()
+    assert sorted(str(r["doc_id"]) for r in near_copies.keep_one_of_each(docs).collect()) == want
+    numbered = written(docs.select(F.monotonically_increasing_id().alias("row"), "text"), "rows")
     assert near_copies.components(numbered, block_nodes=7).select("root").distinct().count() == len(want)
     assert near_copies.components(numbered.limit(0)).count() == 0
 
@@ -413,3 +463,35 @@ def test_pipeline(spark):
         assert after.columns == docs.columns
         assert not after.join(docs, "doc_id", "left_anti").limit(1).count()
     assert corpus_pipeline.run(spark, FOLDER).where("NOT restored").count() == 0
+
+
+CLASHES = ["_row", "_ROW_", "_toxicity", "fp", "row", "key", "root", "kept", "bad", "component_id", "window", "item", "url", "t"]
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, empty and repeated rows, extra columns with clashing names, and empty tables through every stage."""
+    import corpus_pipeline
+
+    item = "we counted 3 red pens and 4 blue pens in a big box of wood today"
+    texts = [(1, "a clean text of some words that stand here"), (1, "a clean text of some words that stand here"), (2, None), (None, ""), (None, item), (3, f"so {item} it is"), (4, "other words than those of all the rest"), (None, "other words than those of all the rest")]
+    extra = ", ".join(f"`{c}` int" for c in CLASHES)
+    docs = spark.createDataFrame([(k, t, "en", None, 1, *range(len(CLASHES))) for k, t in texts], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, item), (8, None)], "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    left = {"toxicity": 8, "near_duplicates": 5, "decontamination": 6}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, str(tmp_path))
+        assert after.columns == docs.columns and after.count() == left[name]
+        assert {tuple(r[5:]) for r in after.collect()} == {tuple(range(len(CLASHES)))}
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    kept = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "4"]
+
+
+def test_columns_with_the_names_used_inside(spark):
+    captures = spark.createDataFrame([(1, "http://bad.com/a", 5, "mine", "its", 7)], "id int, url string, fetched_at long, _v_url string, `_c.t` string, t int")
+    entries = spark.createDataFrame([("l", "host", "bad.com", "add", 3)], "list_name string, kind string, pattern string, action string, at long")
+    row = url_filters.judge_captures(captures, entries).first()
+    assert (row["blocked"], row["_v_url"], row["_c.t"], row["t"]) == (True, "mine", "its", 7)
