@@ -9,22 +9,29 @@ from tablewright.llm.common import table, written
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject; it learns from the labels of these documents."""
+    """Documents that the classifier does not reject; it learns from the labels of these documents.
+
+    Rows are judged by their texts alone: repeated rows and rows without an id or text are judged like any other.
+    """
     return toxicity.drop_toxic(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash component."""
+    """One document of each SimHash component, the one with the smallest id: three-word shingles, two bits at most.
+
+    Repeated rows are copies of each other, and so are all texts without words; rows without an id stay only if no copy
+    has one.
+    """
     return simhash_dedup.keep_one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Rows are judged one by one, whatever ids they share or lack."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every document that is left."""
+    """The ids of every document that is left, row by row; a document without text has none."""
     return sentencepiece_codec.encode(docs, sentencepiece_codec.public_model())
 
 
@@ -42,7 +49,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``; what a stage keeps is written before the next one reads it.
 
-    Every stage keeps repeated rows, null ids and extra columns as its operator says; an empty table stays empty.
+    All stages but the last return the columns they got, extra ones included. An empty table stays empty. What becomes
+    of repeated rows, null ids and null texts is said at each stage.
     """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
