@@ -40,8 +40,9 @@ SHARD_SIGNATURES = 2_000_000
 CROWD = 64  # nodes with one signature among the texts of one slice from which the signature counts as crowded
 BUCKETS = 64
 BLOCK = 1_000  # nodes of a side of a tile
+BROADCAST_ROWS = 1_000_000  # of one long each
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD, _LOW = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 48) - 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -189,21 +190,25 @@ def _signed_entries(shards: int, crowd: int):
                 found.append(sig)
                 of.append(node[at + row])
             sig, who = np.concatenate(found), np.concatenate(of)
+            # shards are ranges of the upper half; 48 bits travel, and the shard stands for the rest
+            shard = ((sig >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+            sig = sig & _LOW | shard.astype(np.uint64) << np.uint64(48)
             order = np.argsort(sig)
-            sig, who = sig[order], who[order]
-            new = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, np.int64)
+            new = np.flatnonzero(np.concatenate([[True], np.diff(sig[order]) != 0])) if len(sig) else np.empty(0, np.int64)
             size = np.diff(np.append(new, len(sig)))
-            crowded = np.repeat(size >= crowd, size)
-            parts = [(1 + int(_mix(node[:1].astype(np.uint64))[0] >> np.uint64(40)), sig[crowded], who[crowded])] if crowded.any() else []
-            one = new[size >= crowd]
-            sig, who = np.concatenate([sig[~crowded], sig[one]]), np.concatenate([who[~crowded], np.full(len(one), -1)])
-            # shards are ranges of the signatures' upper half
-            shard = ((sig >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            sig, who, shard = sig[order], who[order], shard[order]
+            crowded = np.zeros(len(sig), bool)
+            crowded[order] = np.repeat(size >= crowd, size)
+            one = order[new[size >= crowd]]
+            rows = []
+            if len(one):
+                salt = 1 + int(_mix(node[:1].astype(np.uint64))[0] >> np.uint64(40))
+                rows.append((0, salt, sig[crowded].tobytes(), who[crowded].tobytes()))
+            plain = np.concatenate([np.flatnonzero(~crowded), one])
+            plain = plain[np.argsort(shard[plain], kind="stable")]  # a text's entries stay together
+            sig, who, shard = sig[plain], np.where(crowded[plain], -1, who[plain]), shard[plain]
             cut = np.searchsorted(shard, np.arange(shards + 1))
-            rows = [(s, 0, sig[a:b].tobytes(), who[a:b].tobytes()) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
-            rows += [(0, salt, s.tobytes(), w.tobytes()) for salt, s, w in parts]
+            low = sig.view(np.uint8).reshape(-1, 8)[:, :6]
+            rows += [(s, 0, low[a:b].tobytes(), who[a:b].tobytes()) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 4, kinds)], names)
 
@@ -212,9 +217,14 @@ def _signed_entries(shards: int, crowd: int):
 
 def _shared_entries(shard: pa.Table) -> pa.Table:
     """The entries whose signature occurs more than once."""
-    sig = np.frombuffer(b"".join(shard["signatures"].to_pylist()), np.uint64)
+    raw = b"".join(shard["signatures"].to_pylist())
     node = np.frombuffer(b"".join(shard["nodes"].to_pylist()), np.int64)
-    if not shard["salt"][0].as_py():
+    if shard["salt"][0].as_py():
+        sig = np.frombuffer(raw, np.uint64)
+    else:
+        whole = np.zeros((len(node), 8), np.uint8)
+        whole[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+        sig = whole.view(np.uint64).ravel() | np.uint64(shard["shard"][0].as_py() << 48 & (1 << 64) - 1)
         order = np.argsort(sig, kind="stable")
         sig, node = sig[order], node[order]
         same = sig[1:] == sig[:-1]
@@ -227,16 +237,40 @@ def _shared_entries(shard: pa.Table) -> pa.Table:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The whole set and the bucket counts of each node."""
+    """The whole set of each node."""
     for batch in batches:
         for at, data, offsets in byte_slices(batch.column(1)):
             rows = len(offsets) - 1
             h, row = shingle_hashes(data, offsets)
             cut = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))])
             raw = memoryview(h.tobytes())
-            counts = np.bincount(row * BUCKETS + (h % np.uint64(BUCKETS)).astype(np.int64), minlength=rows * BUCKETS).astype("<i4").reshape(rows, BUCKETS)
             sets = [raw[8 * a : 8 * b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), pa.array(sets, pa.binary()), pa.array([c.tobytes() for c in counts], pa.binary())], ["node", "hashes", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), pa.array(sets, pa.binary())], ["node", "hashes"])
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Set size and bucket counts of each node."""
+    for batch in batches:
+        for at, data, offsets in byte_slices(batch.column(1)):
+            rows = len(offsets) - 1
+            h, row = shingle_hashes(data, offsets)
+            counts = np.bincount(row * BUCKETS + (h % np.uint64(BUCKETS)).astype(np.int64), minlength=rows * BUCKETS)
+            counts = np.minimum(counts, 65_535).astype("<u2").reshape(rows, BUCKETS)
+            columns = [batch.column(0).slice(at, rows), pa.array(np.bincount(row, minlength=rows)), pa.array([c.tobytes() for c in counts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "counts"])
+
+
+def _matrix(counts: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(counts.to_pylist()), "<u2").reshape(-1, BUCKETS).astype(np.int32)
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sizes and bucket counts do not rule them out."""
+    for batch in batches:
+        a, b, m, n, x, y = batch.columns
+        apart = np.abs(_matrix(x) - _matrix(y)).sum(axis=1)
+        at = pa.array(np.flatnonzero(9 * apart <= m.to_numpy() + n.to_numpy()))
+        yield pa.RecordBatch.from_arrays([a.take(at), b.take(at)], ["a", "b"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,11 +291,11 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([a.take(at), b.take(at)], ["a", "b"])
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs of ``(a, b)`` whose sets are similar. Sets are brought together by Spark, a pair at a time."""
-    whole = sets.select("node", "hashes")
-    met = pairs.join(whole.toDF("b", "y"), "b").join(whole.toDF("a", "x"), "a").select("a", "b", "x", "y")
-    return met.mapInArrow(_verified, "a long, b long")
+def _sides(pairs: DataFrame, of: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
+    """``(a, b)`` with columns of both their nodes."""
+    left = of.select(F.col("node").alias("a"), *[F.col(c).alias(x) for c, (x, _) in columns.items()])
+    right = of.select(F.col("node").alias("b"), *[F.col(c).alias(y) for c, (_, y) in columns.items()])
+    return pairs.join(right, "b").join(left, "a").select("a", "b", *[c for both in columns.values() for c in both])
 
 
 def _tile(tile: pa.Table) -> pa.Table:
@@ -269,7 +303,7 @@ def _tile(tile: pa.Table) -> pa.Table:
     node, root, n = (tile[c].to_numpy() for c in ("node", "root", "n"))
     order = np.argsort(n, kind="stable")
     node, root, n = node[order], root[order], n[order]
-    counts = np.frombuffer(b"".join(tile["counts"].take(pa.array(order)).to_pylist()), "<i4").reshape(-1, BUCKETS)
+    counts = _matrix(tile["counts"].take(pa.array(order)))
     side = tile["block"].to_numpy()[order]
     across = tile["i"][0].as_py() != tile["j"][0].as_py()
     a, b = [], []
@@ -301,17 +335,32 @@ def _placed(shared: DataFrame, member: DataFrame, block: int) -> DataFrame:
     return placed.select("signature", "node", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
 
-def components(rows: DataFrame, block: int = BLOCK, shard_signatures: int = SHARD_SIGNATURES, crowd: int = CROWD) -> DataFrame:
+def components(rows: DataFrame, block: int = BLOCK, shard_signatures: int = SHARD_SIGNATURES, crowd: int = CROWD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``(row, n, root)`` of every row of ``(row, text)``: set size, and the same root for rows connected by links.
 
     ``row`` must be a distinct long, ``rows`` a written table, as it is read several times. Rows with an empty set have
-    a null root.
+    a null root. Lists of rows are broadcast up to ``broadcast_rows``, so that texts need no shuffle; beyond, texts are
+    shuffled by their row.
     """
+
+    def bounded(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= broadcast_rows else df
+
+    def of_nodes(pairs: DataFrame, run, shape: str, name: str) -> DataFrame:
+        nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-nodes")
+        return written(texts.join(bounded(nodes), "node", "left_semi").mapInArrow(run, shape), name)
+
+    def links_of(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs whose sets are similar; Spark brings the sets together, a pair at a time."""
+        sets = of_nodes(pairs, _sets, "node long, hashes binary", f"{name}-sets")
+        return written(_sides(pairs, sets, {"hashes": ("x", "y")}).mapInArrow(_verified, "a long, b long"), f"{name}-links")
+
     marks = written(rows.select("row", "text").mapInArrow(_marks, "row long, digest binary, n long"), "marks")
     same = written(marks.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.max("n").alias("n")), "nodes")
     total = same.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # of hashes; there is about one signature for each
     texts = rows.select(F.col("row").alias("node"), "text")
-    own = texts.join(same.select("node"), "node", "left_semi")
+    others = written(marks.join(same.select(F.col("node").alias("row")), "row", "left_anti").select(F.col("row").alias("node")), "copies")
+    own = texts.join(bounded(others), "node", "left_anti")
     entries = own.mapInArrow(_signed_entries(1 + total // shard_signatures, crowd), "shard long, salt long, signatures binary, nodes binary")
     shared = written(entries.groupBy("shard", "salt").applyInArrow(_shared_entries, "signature long, node long"), "shared-signatures")
 
@@ -321,19 +370,18 @@ def components(rows: DataFrame, block: int = BLOCK, shard_signatures: int = SHAR
     leaders = weighed.groupBy("signature").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus")))["minus"].alias("minus"))
     stars = shared.join(leaders.select("signature", (-F.col("minus")).alias("a")), "signature").where("a != node")
     stars = written(stars.select("a", F.col("node").alias("b")).distinct(), "leader-pairs")
-    met_nodes = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
-    sets = written(texts.join(met_nodes, "node", "left_semi").mapInArrow(_sets, "node long, hashes binary, counts binary"), "shingle-sets")
-    links = written(_links(stars, sets), "leader-links")
+
+    looks = of_nodes(stars, _counts, "node long, n long, counts binary", "bucket-counts")
+    near = _sides(stars, looks, {"n": ("m", "n"), "counts": ("x", "y")}).mapInArrow(_near, "a long, b long")
+    links = links_of(written(near, "near-leaders"), "leader")
     member = connected_components(links)
 
     placed = written(_placed(shared, member, block), "open-signatures")
-    looks = placed.join(sets.select("node", "counts"), "node").join(same.select("node", "n"), "node")
-    rest = looks.groupBy("signature", "i", "j").applyInArrow(_tile, "a long, b long").distinct()
+    rest = placed.join(looks, "node").groupBy("signature", "i", "j").applyInArrow(_tile, "a long, b long").distinct()
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = written(rest.join(tried, ["a", "b"], "left_anti"), "open-pairs")
-    more = written(_links(rest, sets), "open-links")
-    if more.limit(1).count():
-        member = connected_components(links.unionByName(more))
+    if rest.limit(1).count():
+        member = connected_components(links.unionByName(links_of(rest, "open")))
     of_set = written(same.join(member, "node", "left").select("digest", F.coalesce("root", "node").alias("root")), "roots")
     return marks.join(of_set, "digest", "left").select("row", "n", "root")
 
