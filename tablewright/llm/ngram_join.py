@@ -36,8 +36,9 @@ from tablewright.operators.cluster import connected_components
 WIDTH = 5
 SMALLEST_CELL = 3  # hashes in a cell, on average, at the lower end of a band; twice as many at its upper end
 REDRAWS = 6
-SHARD_SIGNATURES = 2_000_000
-CROWD = 64  # nodes with one signature among the texts of one slice from which the signature counts as crowded
+SHARD_SIGNATURES = 1_000_000
+HELD = 500_000  # signatures that a task sorts at a time
+CROWD = 64  # nodes with one signature among those from which the signature counts as crowded
 BUCKETS = 64
 BLOCK = 1_000  # nodes of a side of a tile
 BROADCAST_ROWS = 1_000_000  # of one long each
@@ -177,40 +178,47 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), pa.array(digest, pa.binary()), pa.array(n, pa.int64())], ["row", "digest", "n"])
 
 
+def _sharded(sig: np.ndarray, who: np.ndarray, shards: int, crowd: int) -> pa.RecordBatch:
+    """Binary rows of signatures and nodes by shard. A crowded signature leaves one entry in its shard, as node -1; its
+    nodes come in a row of their own, which goes to any task."""
+    # shards are ranges of the upper half; 48 bits travel, and the shard stands for the rest
+    shard = ((sig >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    sig = sig & _LOW | shard.astype(np.uint64) << np.uint64(48)
+    order = np.argsort(sig)
+    new = np.flatnonzero(np.concatenate([[True], np.diff(sig[order]) != 0]))
+    size = np.diff(np.append(new, len(sig)))
+    crowded = np.zeros(len(sig), bool)
+    crowded[order] = np.repeat(size >= crowd, size)
+    one = order[new[size >= crowd]]
+    rows = []
+    if len(one):
+        salt = 1 + int(_mix(who[:1].astype(np.uint64))[0] >> np.uint64(40))
+        rows.append((0, salt, sig[crowded].tobytes(), who[crowded].tobytes()))
+    plain = np.concatenate([np.flatnonzero(~crowded), one])
+    plain = plain[np.argsort(shard[plain], kind="stable")]  # a text's entries stay together
+    sig, who, shard = sig[plain], np.where(crowded[plain], -1, who[plain]), shard[plain]
+    cut = np.searchsorted(shard, np.arange(shards + 1))
+    low = sig.view(np.uint8).reshape(-1, 8)[:, :6]
+    rows += [(s, 0, low[a:b].tobytes(), who[a:b].tobytes()) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["shard", "salt", "signatures", "nodes"])
+
+
 def _signed_entries(shards: int, crowd: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Binary rows of signatures and nodes by shard. A signature that is crowded among the texts at hand leaves one
-        entry in its shard, as node -1; its nodes come in rows of their own, of which each goes to any task."""
-        names = ["shard", "salt", "signatures", "nodes"]
+        found, of, held = [], [], 0
         for batch in batches:
             node = batch.column(0).to_numpy()
-            found, of = [], []
             for at, data, offsets in byte_slices(batch.column(1)):
                 sig, row = signatures(*shingle_hashes(data, offsets), len(offsets) - 1)
                 found.append(sig)
                 of.append(node[at + row])
-            sig, who = np.concatenate(found), np.concatenate(of)
-            # shards are ranges of the upper half; 48 bits travel, and the shard stands for the rest
-            shard = ((sig >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-            sig = sig & _LOW | shard.astype(np.uint64) << np.uint64(48)
-            order = np.argsort(sig)
-            new = np.flatnonzero(np.concatenate([[True], np.diff(sig[order]) != 0])) if len(sig) else np.empty(0, np.int64)
-            size = np.diff(np.append(new, len(sig)))
-            crowded = np.zeros(len(sig), bool)
-            crowded[order] = np.repeat(size >= crowd, size)
-            one = order[new[size >= crowd]]
-            rows = []
-            if len(one):
-                salt = 1 + int(_mix(node[:1].astype(np.uint64))[0] >> np.uint64(40))
-                rows.append((0, salt, sig[crowded].tobytes(), who[crowded].tobytes()))
-            plain = np.concatenate([np.flatnonzero(~crowded), one])
-            plain = plain[np.argsort(shard[plain], kind="stable")]  # a text's entries stay together
-            sig, who, shard = sig[plain], np.where(crowded[plain], -1, who[plain]), shard[plain]
-            cut = np.searchsorted(shard, np.arange(shards + 1))
-            low = sig.view(np.uint8).reshape(-1, 8)[:, :6]
-            rows += [(s, 0, low[a:b].tobytes(), who[a:b].tobytes()) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 4, kinds)], names)
+                held += len(sig)
+                if held >= HELD:
+                    yield _sharded(np.concatenate(found), np.concatenate(of), shards, crowd)
+                    found, of, held = [], [], 0
+        if held:
+            yield _sharded(np.concatenate(found), np.concatenate(of), shards, crowd)
 
     return run
 
