@@ -10,9 +10,9 @@ end places of the documents (u64 each), the zeros of each plane (u64 each) and t
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +23,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import input_partitions, table, written
+from tablewright.llm.words import byte_slices
 
 MAGIC = b"TWM1"
 SHARD_TOKENS = 1 << 21
 END_ID = 0
 BATCH_BYTES = 8 << 20  # of texts encoded at a time; a longer text is encoded alone
+JOINED = 200  # new chunks encoded as one text
 _SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\p{Z}]"
 _LOOSE = rf"{_SPACE}(?:{_SPACE}|\z)"
+#: Bytes where a text may be cut: 1 before a space, 2 around a line end, 3 before a stop or comma.
+_CUT = np.zeros(256, np.uint8)
+_CUT[[32, 10, 46, 44]] = 1, 2, 3, 3
 _STOP_IN_RUN = r"(?:^|[^\p{L}\p{N}])[.,]"  # a stop that does not follow a letter or number
 
 
@@ -43,12 +48,16 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray, ends: np.ndarray) -> WaveletMatrix:
         bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-        zeros, planes, now = [], [], ids.astype(np.uint16) if bits <= 16 else ids
+        zeros, planes, now = [], [], ids.astype(np.uint16 if bits <= 16 else np.uint32)
+        moved = np.empty_like(now)
         for level in range(bits - 1, -1, -1):
             one = (now & now.dtype.type(1 << level)).astype(bool)
             planes.append(cls._pack(one))
-            now = np.concatenate([now[~one], now[one]])
-            zeros.append(len(now) - int(one.sum()))
+            ones = np.flatnonzero(one)
+            zeros.append(len(now) - len(ones))
+            np.take(now, np.flatnonzero(~one), out=moved[: zeros[-1]], mode="clip")
+            np.take(now, ones, out=moved[zeros[-1] :], mode="clip")
+            now, moved = moved, now
         return cls(bits, len(ids), np.asarray(ends, np.uint64), np.array(zeros, np.uint64), planes)
 
     @staticmethod
@@ -130,13 +139,13 @@ class WaveletMatrix:
     def all(self) -> np.ndarray:
         """The whole sequence: planes undone from the last to the first."""
         kind = np.uint16 if self.bits <= 16 else np.uint32
-        out = np.zeros(self.n, kind)
+        out, back = np.zeros(self.n, kind), np.empty(self.n, kind)
         for level in range(self.bits - 1, -1, -1):
             one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
-            back, zeros = np.empty(self.n, kind), int(self.zeros[level])
-            back[~one] = out[:zeros]
-            back[one] = out[zeros:] | kind(1 << (self.bits - 1 - level))
-            out = back
+            zeros = int(self.zeros[level])
+            back[np.flatnonzero(~one)] = out[:zeros]
+            back[np.flatnonzero(one)] = out[zeros:] | kind(1 << (self.bits - 1 - level))
+            out, back = back, out
         return out.astype(np.uint32)
 
 
@@ -146,7 +155,9 @@ class ChunkEncoder:
     The tokenizer's own word pattern never reaches across a line end, or a space, that stands between other characters,
     so a text may be cut there; nor across the start of a stop or comma that follows a letter or number. Texts with two
     white-space characters in a row, or one at their end, are given to it whole; those where a stop or comma follows
-    something else are cut at spaces and line ends alone. The encodings of ``cached`` chunks are kept (about 200 MB), also from one task of a worker to the next.
+    something else are cut at spaces and line ends alone. The encodings of ``cached`` chunks are kept (about 200 MB),
+    also from one task of a worker to the next. New chunks are encoded many at a time, put together where they may be
+    cut; the bytes of each id tell them apart again. A tokenizer with another word pattern gets all texts whole.
     """
 
     def __init__(self, path: str, cached: int = 1_000_000):
@@ -154,37 +165,84 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cached, self.cache = cached, {}
+        shape = json.loads(self.tokenizer.to_str())
+        before = shape["pre_tokenizer"] or {}
+        self.cuts = shape["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for piece, i in vocabulary.items():
+            self.bytes_of[i] = len(piece)  # a byte-level piece has a character for each byte
+        for added in shape["added_tokens"]:
+            self.bytes_of[added["id"]] = len(added["content"].encode())
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _joined(self, chunks: list[str], between: str) -> list[bytes]:
+        """Encodings of chunks that the word pattern keeps apart when they are joined by ``between``."""
+        found = []
+        for at in range(0, len(chunks), JOINED):
+            part = chunks[at : at + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            upto = np.concatenate([[0], np.cumsum(self.bytes_of[ids])])
+            size = np.fromiter((len(c.encode()) for c in part), np.int64, len(part))
+            end = np.cumsum(size + len(between)) - len(between)
+            first, last = np.searchsorted(upto, end - size), np.searchsorted(upto, end)
+            if upto[-1] == end[-1] and (upto[first] == end - size).all() and (upto[last] == end).all():
+                raw = memoryview(ids.tobytes())
+                found += [bytes(raw[4 * a : 4 * b]) for a, b in zip(first.tolist(), last.tolist())]
+            else:  # something else joins them, such as an added token
+                found += [x.astype("<u4").tobytes() for x in self._whole(part)]
+        return found
+
+    def _learn(self, chunks: list[str]) -> None:
+        spaced = [c for c in chunks if c[0] == " " and len(c) > 1 and "\n" not in c]
+        plain = [c for c in chunks if c[0] not in " \n" and "\n" not in c]
+        rest = [c for c in chunks if "\n" in c or c == " "]
+        for some, between in ((spaced, ""), (plain, "\n")):
+            self.cache.update(zip(some, self._joined(some, between)))
+        self.cache.update(zip(rest, (x.astype("<u4").tobytes() for x in self._whole(rest))))
+
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text as uint32; a null text has none."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
-        loose = pc.or_(pc.match_substring_regex(texts, _LOOSE), pc.match_substring(texts, "\0"))
-        cut = pc.if_else(loose, "", texts)
-        cut = pc.replace_substring(pc.replace_substring(cut, " ", "\0 "), "\n", "\0\n\0")
-        words = pc.replace_substring(pc.replace_substring(cut, ".", "\0."), ",", "\0,")
-        cut = pc.if_else(pc.match_substring_regex(texts, _STOP_IN_RUN), cut, words)
-        chunks = pc.split_pattern(cut, "\0")
-        flat, ends = chunks.flatten().dictionary_encode(), chunks.offsets.to_numpy()
-        names, at, cache = flat.dictionary.to_pylist(), flat.indices.to_numpy(), self.cache
-        if len(cache) > self.cached:
-            cache.clear()
-        cache[""] = b""
-        new = [c for c in names if c not in cache]
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            cache[c] = array("I", e.ids).tobytes()
-        found = list(map(cache.__getitem__, names))
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        first, known = np.cumsum(size) - size, np.frombuffer(b"".join(found), "<u4")
-        # each chunk's ids in the place of the chunk
-        each = size[at]
-        upto = np.concatenate([[0], np.cumsum(each)])
-        ids = known[np.arange(upto[-1]) + np.repeat(first[at] - upto[:-1], each)]
-        out = np.split(ids, upto[ends[1:-1] - ends[0]])
-        whole = np.flatnonzero(loose.to_numpy(zero_copy_only=False)).tolist()
-        for i, x in zip(whole, self._whole(texts.take(whole).to_pylist()) if whole else ()):
+        if not self.cuts:
+            return self._whole(texts.to_pylist())
+        if len(self.cache) > self.cached:
+            self.cache.clear()
+        loose = pc.match_substring_regex(texts, _LOOSE).to_numpy(zero_copy_only=False)
+        stops = ~pc.match_substring_regex(texts, _STOP_IN_RUN).to_numpy(zero_copy_only=False)
+        out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
+        for at, data, offsets in byte_slices(texts, BATCH_BYTES):
+            rows = len(offsets) - 1
+            mine = slice(at, at + rows)
+            # where chunks begin: at spaces, before and after line ends, and at stops where they may
+            kind = _CUT[data]
+            first = kind > 0
+            first &= (kind != 3) | np.repeat(stops[mine], np.diff(offsets))
+            first[1:] |= kind[:-1] == 2
+            starts = offsets[:-1][np.diff(offsets) > 0]
+            first[starts] = True
+            begin = np.flatnonzero(first)
+            ends = np.append(begin[1:], len(data)).astype(np.int64)
+            chunks = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(np.append(begin, len(data)).astype(np.int64)), pa.py_buffer(data))
+            skipped = np.repeat(loose[mine], np.diff(offsets))[begin]
+            flat = chunks.filter(pa.array(~skipped)).dictionary_encode()
+            names, cache = flat.dictionary.to_numpy(zero_copy_only=False).tolist(), self.cache
+            self._learn([c for c in names if c not in cache])
+            found = list(map(cache.__getitem__, names))
+            size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            known, start = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
+            # each chunk's ids in the place of the chunk
+            which = flat.indices.to_numpy()
+            each = size[which]
+            upto = np.cumsum(each) - each
+            ids = known[np.arange(int(each.sum())) + np.repeat(start[which] - upto, each)]
+            row = np.searchsorted(offsets, ends[~skipped] - 1, "right") - 1
+            cut = np.cumsum(np.bincount(row, each, rows).astype(np.int64))[:-1]
+            out[mine] = np.split(ids, cut)
+        whole = np.flatnonzero(loose).tolist()
+        for i, x in zip(whole, self._whole(texts.take(pa.array(whole, pa.int64())).to_pylist()) if whole else ()):
             out[i] = x
         return out
 
