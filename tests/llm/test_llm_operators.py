@@ -300,21 +300,63 @@ def test_main_text_of_hosts(spark):
     assert main_text.main_text(df.limit(0)).count() == 0
 
 
+def nearest_by_hand(rows, k, by_key):
+    """Sorted lists of (score, id) for each query row with an id divisible by 20, from exact products of doubles."""
+    fit = [(i, n, np.array(v, np.float64)) for n, (i, v) in enumerate(rows) if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    out = collections.Counter()
+    for i, n, q in fit:
+        if i % 20 == 0:
+            with np.errstate(over="ignore", invalid="ignore"):
+                told = [(np.nan_to_num(np.einsum("i,i->", q, x), nan=-np.inf, posinf=np.inf, neginf=-np.inf), j, m) for j, m, x in fit if len(x) == len(q) and (j != i if by_key else m != n)]
+            best = sorted(told, key=lambda t: (-t[0], t[1], t[2]))[:k]
+            out[i, tuple((float(f"{s:.9g}"), j) for s, j, _ in best)] += 1
+    return out
+
+
+def nearest_found(df):
+    """The lists of a result; rows of queries that share an id are told apart by the order in which ranks begin anew."""
+    lists = collections.defaultdict(lambda: collections.defaultdict(list))
+    for r in df.collect():
+        lists[r["query_id"]][r["rank"]].append((float(f"{r['score']:.9g}"), r["vec_id"]))
+    return lists
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     base = np.round(rng.normal(size=(300, 8)), 1)
-    rows = [(i, v.tolist()) for i, v in enumerate(base)] + [(300, base[0].tolist()), (300, base[0].tolist()), (400, [0.0] * 8), (401, None), (402, [float("nan")] * 8), (403, [None] + [1.0] * 7), (404, [1.0] * 3), (None, [1.0] * 8)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("key", F.lit("clash"))
-    got = collections.defaultdict(list)
-    found = nearest.nearest_neighbours(df.where("vec_id % 20 = 0"), df, k=5, query_block=4, candidate_block=64)
-    for r in found.orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
-    every = {i: np.array(v) for i, v in rows[:301]}
-    want = {q: sorted(((i, float(every[q] @ x)) for i, x in every.items() if i != q), key=lambda t: (-round(t[1], 9), t[0]))[:5] for q in every if q % 20 == 0}
-    assert set(got) == set(want)
-    for q in want:
-        assert [s for _, s in got[q]] == pytest.approx([s for _, s in want[q]])
+    rows = [(i, v.tolist()) for i, v in enumerate(base)]
+    rows += [(301, base[0].tolist()), (301, base[0].tolist()), (302, [9.0] * 8), (302, [-9.0] * 8), (404, [1.0] * 3), (405, [2.0] * 3), (400, [1.0, 2.0, 3.0])]
+    rows += [(400, [0.0] * 8), (401, None), (402, [float("nan")] * 8), (403, [None] + [1.0] * 7), (406, []), (407, [float("inf")] * 8), (None, [1.0] * 8)]
+    # tiny, huge and subnormal vectors take part; so do products that overflow, or run to both infinities
+    rows += [(500, [5e-324] + [0.0] * 7), (501, [1e-322] * 8), (520, [1e200] * 8), (521, [1e200, -1e200] * 4), (522, [-1e300] * 8), (540, [1e-200] * 8), (523, [1.7e308] * 8)]
+    df = spark.createDataFrame([(i, v, n) for n, (i, v) in enumerate(rows)], "vec_id long, embedding array<double>, row long").withColumn("key", F.lit("clash")).repartition(3)
+    for k, row in ((5, "row"), (20, None), (400, "row")):
+        got = nearest_found(nearest.nearest_neighbours(df.where("vec_id % 20 = 0"), df, k=k, row=row, query_block=4, candidate_block=64))
+        for i, best in nearest_by_hand(rows, k, row is None):
+            assert [got[i][n] for n in range(1, k + 1) if n in got[i]] == [[b] for b in best], i
+        assert set(got) == {i for i, _ in nearest_by_hand(rows, k, row is None)}
     assert nearest.nearest_neighbours(df.limit(0), df).count() == 0
+    assert nearest.nearest_neighbours(df, df.limit(0), row="row").count() == 0
+
+
+def test_nearest_with_repeated_ids(spark):
+    """Rows that share an id are queries and candidates of their own."""
+    rows = [(20, [0.5, 0.5]), (20, [9.0, 9.0]), (20, [0.5, 0.5]), (1, [1.0, 0.0]), (1, [0.0, 2.0])]
+    df = spark.createDataFrame([(i, v, n) for n, (i, v) in enumerate(rows)], "vec_id long, embedding array<double>, row long")
+    got = collections.Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in nearest.nearest_neighbours(df.where("vec_id = 20"), df, k=2, row="row").collect())
+    # [9, 9] meets [0, 2] with 18 and then one of the others with 9; both [0.5, 0.5] meet it with 9, then [0, 2] with 1
+    assert got == {(20, 1, 1, 18.0): 1, (20, 2, 1, 9.0): 1, (20, 1, 20, 9.0): 2, (20, 2, 1, 1.0): 2}
+    assert nearest.nearest_neighbours(df.where("vec_id = 20"), df, k=9).groupBy("query_id").count().first()["count"] == 6
+
+
+def test_many_equal_ids_do_not_hide_neighbours(spark):
+    """A tile of more candidates than are asked for, one of them tiny: the case in which rounding has no step."""
+    rng = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 2)))] + [(99, [1e-322, 0.0])]
+    df = spark.createDataFrame([(i, v, n) for n, (i, v) in enumerate(rows)], "vec_id long, embedding array<double>, row long")
+    got = nearest_found(nearest.nearest_neighbours(df.where("vec_id % 20 = 0"), df, k=20, row="row"))
+    for i, best in nearest_by_hand(rows, 20, False):
+        assert [got[i][n][0] for n in range(1, 21)] == list(best)
 
 
 def test_simhash_against_brute_force(edge, empty, documents):
