@@ -60,25 +60,39 @@ _MARKUP = re.compile(
     r"|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S | re.I,
 )
-_NAMES = re.compile(r"""\b(class|id|role|itemprop|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+))?""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Elements whose id names their content, not their part in the page.
+NAMED = HEADINGS | {"section", "p", "li", "dt", "dd", "td", "th", "tr", "a", "figure", "blockquote", "pre", "code", "article", "main"}
+
+
+def _parts(value: str) -> set[str]:
+    return {x.lower() for x in _PART.findall(value)} | set(re.findall(r"[a-z]+", value.lower()))
 
 
 def _verdict(tag: str, attributes: str) -> str:
-    """``aside``, ``main`` or nothing, from an element's name, role, class and id."""
-    role, words, hidden = "", set(), False
-    if attributes:
-        for name, value in _NAMES.findall(attributes):
-            name, value = name.lower(), value.strip("\"'")
-            if name == "role":
-                role = value.lower()
-            elif name == "hidden":
-                hidden = True
-            else:
-                words.update(x.lower() for x in _PART.findall(value))
-                words.update(re.findall(r"[a-z]+", value.lower()))
+    """``aside``, ``main`` or nothing, from an element's name and its role, class and id.
+
+    Attributes are read as names with values, so words inside other values mean nothing. The id of a heading, section or
+    paragraph is an anchor; only one that is a word for reader comments as a whole counts there.
+    """
     if tag in ("html", "body"):
         return ""
+    role, words, hidden = "", set(), False
+    for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
+        name, value = name.lower(), entities.unescape(value.strip("\"'"))
+        if name == "role":
+            role = value.lower().strip()
+        elif name == "hidden":
+            hidden = True
+        elif name == "aria-hidden":
+            hidden |= value.lower().strip() == "true"
+        elif name == "style":
+            hidden |= re.search(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", value, re.I) is not None
+        elif name in ("class", "itemprop") or name == "id" and tag not in NAMED:
+            words |= _parts(value)
+        elif name == "id" and value.lower() in READERS and tag not in HEADINGS:
+            words.add(value.lower())
     if hidden or role in ASIDE_ROLES or tag in ASIDE:
         return "aside"
     if tag in MAIN or role in MAIN_ROLES:

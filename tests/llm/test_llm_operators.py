@@ -287,6 +287,15 @@ def test_main_text_markup():
     assert main_text.parse("plain < text")[1] == ["plain < text"]
 
 
+def test_attributes_are_names_with_values():
+    for attributes in ('style="overflow:hidden"', 'aria-hidden="false"', 'title="the hidden valley"', 'data-x="class=ad id=comments"', "data-hidden", "title='role=navigation'"):
+        assert main_text.parse(page(f"<article {attributes}><p>All of it stays.</article>"))[0] == ["All of it stays."], attributes
+    inside = '<article><h2 id="search-results">Results</h2><section id="related-work"><p>We follow others.</p></section><p id="share">Shares rose.<td id="ads">cell</td></article>'
+    assert main_text.parse(page(inside))[0] == ["Results", "We follow others.", "Shares rose.", "cell"]
+    for gone in ('<div hidden>x</div>', '<div HIDDEN="">x</div>', '<div style="color:red; display : none">x</div>', '<p aria-hidden="true">x</p>', '<div id="comments">x</div>', '<section id=comments>x</section>', "<div class='share-bar'>x</div>", "<div role=' navigation '>x</div>"):
+        assert main_text.parse(page(f"<article><p>Kept.</p>{gone}</article>"))[0] == ["Kept."], gone
+
+
 def test_main_text_of_hosts(spark):
     menu = "<div>Home and other places to go on this site today</div>"
     rows = [(i, f"http://h.com/{i}", page(f"{menu}<div>unique words of page number {i} stand here alone</div>")) for i in range(6)]
