@@ -5,13 +5,16 @@ other. A cell that holds enough points is therefore dense as a whole, and most
 of the work happens between cells instead of between points:
 
 * identical points are merged first and keep a weight;
-* points are compared one by one only where a sparse cell is involved, and such
-  a cell holds fewer points than the density threshold;
+* a point of a sparse cell, which holds fewer points than the density threshold,
+  counts its neighbours in a dense cell by boxes: one wholly in reach counts as
+  a whole, one out of reach is dropped, others are split. The count ends when it
+  reaches the threshold;
 * two dense cells are joined if any two of their points are close. That is
   decided on bounding boxes, which are split where the boxes leave it open.
 
-No step pairs up the points of a crowded cell, so one cell may hold any share of
-the table.
+Points are compared one by one only between sparse cells and with boxes of a
+bounded number of points, so no step pairs up the points of a crowded cell, and
+one cell may hold any share of the table.
 """
 
 from __future__ import annotations
@@ -36,6 +39,7 @@ MIN_SAMPLES = 5
 GRID_DIMENSIONS = 4  # dimensions added to the grid key at a time
 CROWDED_BUCKET = 2_000  # cells in a grid bucket beyond which more dimensions are used
 DIRECT_PAIRS = 10_000  # point pairs of two boxes up to which they are simply compared
+FEW_POINTS = 256  # points of a box up to which a point is simply compared with them
 SPLIT = 4  # parts a box is cut into along each dimension
 
 NOISE = -1
@@ -178,6 +182,53 @@ def _close_cells(points: DataFrame, pairs: DataFrame, d: int, side: float, eps2:
         boxes = at.groupBy("cell", "box").agg(F.count(F.lit(1)).alias("n"), *_box(d))
 
 
+def _reach_counts(
+    asking: DataFrame, pairs: DataFrame, points: DataFrame, d: int, side: float, eps2: float, enough: int, few: int
+) -> DataFrame:
+    """Neighbours of single points in dense cells, as ``(pid, a_cell, b_cell, found)`` with ``found`` above 0.
+
+    ``asking`` has ``pid``, ``cell``, the coordinates and ``known``, the neighbours counted elsewhere. Boxes of the
+    dense cell are taken or dropped as a whole, compared point by point if they hold ``few`` points, or split. A point
+    that has ``enough`` neighbours and one in the cell at hand looks no further, so its counts may stay below the truth,
+    but not below ``enough``.
+    """
+    told, level = None, 0
+    pair = ["a_pid", "a_cell", "b_cell"]
+    place = [f"a_x{i}" for i in range(d)]
+    at = points.join(pairs.select(F.col("b_cell").alias("cell")).distinct(), "cell", "left_semi")
+    at = at.select("cell", "w", *[f"x{i}" for i in range(d)]).withColumn("box", F.col("cell"))
+    facing = _prefixed(asking, "a_").join(pairs.select("a_cell", "b_cell"), "a_cell").withColumn("b_box", F.col("b_cell"))
+    least = _total([F.pow(F.greatest(F.lit(0.0), F.col(f"b_lo{i}") - F.col(f"a_x{i}"), F.col(f"a_x{i}") - F.col(f"b_hi{i}")), 2) for i in range(d)])
+    most = _total([F.pow(F.greatest(F.col(f"b_hi{i}") - F.col(f"a_x{i}"), F.col(f"a_x{i}") - F.col(f"b_lo{i}")), 2) for i in range(d)])
+    while True:
+        boxes = at.groupBy("cell", "box").agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("m"), *_box(d))
+        facing = facing.join(_prefixed(boxes, "b_"), ["b_cell", "b_box"]).where(least <= eps2)
+        facing = facing.select(*pair, *place, "a_known", "b_box", "b_n", "b_m", (most <= eps2).alias("full"), (F.col("b_m") <= few).alias("few"))
+        facing = checkpoint(facing)
+        whole = facing.where("full").select(*pair, F.col("b_n").alias("found"))
+        compared = facing.where("few AND NOT full").join(_prefixed(at, "b_"), ["b_cell", "b_box"])
+        compared = compared.where(_point_square("a_", "b_", d) <= eps2).select(*pair, F.col("b_w").alias("found"))
+        found = whole.unionByName(compared)
+        found = found if told is None else found.unionByName(told)
+        told = checkpoint(found.groupBy(*pair).agg(F.sum("found").alias("found")))
+        unclear = facing.where("NOT full AND NOT few").drop("b_n", "b_m", "full", "few")
+        if unclear.limit(1).count():
+            sums = told.groupBy("a_pid").agg(F.sum("found").alias("sum"))
+            met = told.select(*pair, F.lit(True).alias("met"))
+            unclear = unclear.join(sums, "a_pid", "left").join(met, pair, "left")
+            done = F.col("met") & (F.col("a_known") + F.col("sum") >= enough)
+            unclear = checkpoint(unclear.where(~F.coalesce(done, F.lit(False))).drop("sum", "met"))
+        if not unclear.limit(1).count():
+            return told.select(F.col("a_pid").alias("pid"), "a_cell", "b_cell", "found")
+        level += 1
+        finer = F.array(*[F.floor(F.col(f"x{i}") / F.lit(side / SPLIT**level)) for i in range(d)])
+        involved = unclear.select(F.col("b_cell").alias("cell"), F.col("b_box").alias("box")).distinct()
+        at = checkpoint(at.join(involved, ["cell", "box"]).withColumnRenamed("box", "parent").withColumn("box", finer))
+        family = at.select(F.col("cell").alias("b_cell"), F.col("parent").alias("b_parent"), F.col("box").alias("b_box")).distinct()
+        facing = unclear.withColumnRenamed("b_box", "b_parent").join(family, ["b_cell", "b_parent"]).drop("b_parent")
+        at = at.drop("parent")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Component of every node that has an edge, as ``(node, root)``.
 
@@ -219,6 +270,7 @@ def dbscan(
     scale: bool = True,
     direct_pairs: int = DIRECT_PAIRS,
     crowded_bucket: int = CROWDED_BUCKET,
+    few_points: int = FEW_POINTS,
 ) -> DataFrame:
     """Add ``cluster``: the density cluster of each row, or -1 for noise.
 
@@ -254,19 +306,21 @@ def dbscan(
     # points of sparse cells: neighbours in the own cell and in cells wholly within reach
     sure = pairs.where("NOT a_dense AND full").groupBy(F.col("a_cell").alias("cell")).agg(F.sum("b_weight").alias("sure"))
     sparse = points.join(cells.where("NOT dense").select("cell", "weight"), "cell")
-    # neighbours in cells partly within reach; of a dense cell only their number matters
+    # neighbours in sparse cells partly within reach, point by point
     doubtful = pairs.where("NOT a_dense AND NOT full").select("a_cell", "b_cell", "b_dense")
-    touched = (
+    few = (
         _prefixed(sparse.drop("weight", "w"), "a_")
-        .join(doubtful, "a_cell")
+        .join(doubtful.where("NOT b_dense"), "a_cell")
         .join(_prefixed(points, "b_"), "b_cell")
         .where(_point_square("a_", "b_", d) <= eps2)
-        .groupBy(
-            F.col("a_pid").alias("pid"), "a_cell", "b_cell", "b_dense", F.when(~F.col("b_dense"), F.col("b_pid")).alias("q")
-        )
-        .agg(F.sum("b_w").alias("found"))
+        .select(F.col("a_pid").alias("pid"), "a_cell", "b_cell", "b_dense", F.col("b_pid").alias("q"), F.col("b_w").alias("found"))
     )
-    touched = checkpoint(touched)
+    # of a dense cell only the number of neighbours matters, and that only up to the threshold
+    known = (F.col("weight") + F.coalesce("sure", F.lit(0))).alias("known")
+    asking = sparse.join(sure, "cell", "left").select("pid", "cell", *xs, known)
+    counts = _reach_counts(asking, doubtful.where("b_dense"), points, d, side, eps2, min_samples, few_points)
+    counts = counts.select("pid", "a_cell", "b_cell", F.lit(True).alias("b_dense"), F.lit(None).cast(points.schema["pid"].dataType).alias("q"), "found")
+    touched = checkpoint(few.unionByName(counts))
     neighbours = F.col("weight") + F.coalesce("sure", F.lit(0)) + F.coalesce("found", F.lit(0))
     counted = checkpoint(
         sparse.join(sure, "cell", "left")

@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from tablewright.operators import cluster
 from tablewright.operators.cluster import connected_components, dbscan
 
 
@@ -54,7 +55,7 @@ def test_matches_brute_force(spark, name, direct, crowded):
     columns = list(pdf)
     pdf["id"] = np.arange(len(pdf))
     df = spark.createDataFrame(pdf).repartition(5)
-    got = dbscan(df, columns, "id", eps=0.5, min_samples=5, scale=False, direct_pairs=direct, crowded_bucket=crowded)
+    got = dbscan(df, columns, "id", eps=0.5, min_samples=5, scale=False, direct_pairs=direct, crowded_bucket=crowded, few_points=max(1, direct // 4))
     label = got.select("id", "cluster").toPandas().sort_values("id")["cluster"].to_numpy()
     assert (label == brute(points, 0.5, 5)).all()
 
@@ -64,3 +65,30 @@ def test_components_of_a_long_chain(spark):
     roots = connected_components(spark.createDataFrame(edges, "a long, b long")).toPandas()
     groups = roots.groupby("root")["node"].apply(set).tolist()
     assert sorted(map(len, groups)) == [2, 201]
+
+
+def test_crowded_cell_is_counted_by_boxes(spark, monkeypatch):
+    """Nine tenths of the distinct points in one cell: what single points are compared with does not grow with them."""
+    rng, compared = np.random.default_rng(5), {}
+    angle = rng.uniform(0, 2 * np.pi, 120)
+    ring = np.c_[np.cos(angle), np.sin(angle)] * rng.uniform(0.4, 0.62, 120)[:, None]
+    for size in (1_000, 16_000):
+        points = np.vstack([ring, np.abs(rng.normal(0, 0.03, (size, 2)))])
+        pdf = pd.DataFrame(points, columns=["f0", "f1"]).assign(id=np.arange(len(points)))
+        seen = []
+
+        def watched(df, seen=seen):
+            out = original(df)
+            if "few" in out.columns and "b_m" in out.columns:
+                seen.append(out.selectExpr("sum(if(few AND NOT full, b_m, 0)) + count(1)").first()[0] or 0)
+            return out
+
+        original = cluster.checkpoint
+        with monkeypatch.context() as patch:
+            patch.setattr(cluster, "checkpoint", watched)
+            got = dbscan(spark.createDataFrame(pdf).repartition(4), ["f0", "f1"], "id", eps=0.5, min_samples=20, scale=False, few_points=16)
+        label = got.select("id", "cluster").toPandas().sort_values("id")["cluster"].to_numpy()
+        if size == 1_000:
+            assert (label == brute(points, 0.5, 20)).all()
+        compared[size] = sum(seen)
+    assert compared[1_000] > 0 and compared[16_000] < 2 * compared[1_000] + 20_000
