@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.functions.quantiles import order_statistics, quantiles
+from tablewright.functions.quantiles import moments_and_quantiles, order_statistics, quantiles
 from tablewright.functions.scalars import (
     as_column,
     finite,
@@ -29,6 +29,7 @@ COLUMNS_PER_PASS = 100  # profiled columns per aggregate, likewise
 IQR_FACTOR = 1.5
 ENDS = (("first_value", False), ("last_value", True))
 SKETCH_BITS = 14  # distinct counts are estimated to about a percent
+SKETCH_MARGIN, FEW_VALUES = 0.06, 10  # several times that error, and a margin for small counts
 HEAD = 128  # characters of a text that are counted as they are; a digest stands for what follows
 
 
@@ -278,6 +279,41 @@ def fit_distinct(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
     return {r["column"]: r["n_distinct"] for r in distinct_counts(df, columns).collect()} if columns else {}
 
 
+def fit_open_distinct(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> dict[str, bool | None]:
+    """Whether each column has more than the first and fewer than the second number of distinct values; None if open.
+
+    One scan of sketches settles all columns whose estimate lies outside of many times its error around both bounds.
+    """
+    columns = list(bounds)
+    if not columns:
+        return {}
+    guess = {columns[r["at"]]: r["n_distinct"] for r in _estimated_counts(df, columns).collect()}  # a row per column
+    out: dict[str, bool | None] = {}
+    for c, (low, high) in bounds.items():
+        n = guess.get(c, 0)
+        least, most = n * (1 - SKETCH_MARGIN) - FEW_VALUES, n * (1 + SKETCH_MARGIN) + FEW_VALUES
+        out[c] = True if low < least and most < high else False if most <= low or least >= high else None
+    return out
+
+
+def fit_distinct_within(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> dict[str, bool]:
+    """As :func:`fit_open_distinct`; the distinct values of the columns left open are counted, and only theirs."""
+    told = fit_open_distinct(df, bounds)
+    counts = fit_distinct(df, [c for c, known in told.items() if known is None])
+    return {c: bounds[c][0] < counts[c] < bounds[c][1] if known is None else known for c, known in told.items()}
+
+
+def distinct_counts_within(df: DataFrame, columns: Sequence[str], low: float, high: float) -> DataFrame:
+    """:func:`distinct_counts` of the columns with more than ``low`` and fewer than ``high`` values.
+
+    Columns that a sketch rules out are not counted.
+    """
+    told = fit_open_distinct(df, {c: (low, high) for c in columns})
+    left = [c for c, known in told.items() if known is not False]
+    counted = distinct_counts(df, left) if left else _rows(df.sparkSession, [], "column string, n_distinct long")
+    return counted.where((F.col("n_distinct") > low) & (F.col("n_distinct") < high))
+
+
 def fit_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
     """Most frequent value per column as text; the smallest of tied values."""
     columns = list(columns)
@@ -292,8 +328,7 @@ def fit_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
 def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """Mean, deviation, quartiles, range, counts and distinct values per numeric column."""
     columns = numeric_columns(df) if columns is None else list(columns)
-    moments = fit_moments(df, columns)
-    cuts = quantiles(df, columns, [0.25, 0.5, 0.75], exact)
+    moments, cuts = moments_and_quantiles(df, columns, [0.25, 0.5, 0.75], exact)
     records = []
     for c in columns:
         m = moments[c]
@@ -309,11 +344,16 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, exact:
     return summary.join(distinct_counts(df, columns, exact), "column")
 
 
-def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Count, mean, sample deviation, minimum, quartiles and maximum per numeric column."""
+QUARTILES = [0.25, 0.5, 0.75]
+
+
+def describe(df: DataFrame, columns: Sequence[str] | None = None, fitted: tuple[dict, dict] | None = None) -> DataFrame:
+    """Count, mean, sample deviation, minimum, quartiles and maximum per numeric column.
+
+    ``fitted`` has the moments and quartiles of the columns, where the caller knows them.
+    """
     columns = numeric_columns(df) if columns is None else list(columns)
-    moments = fit_moments(df, columns)
-    cuts = quantiles(df, columns, [0.25, 0.5, 0.75])
+    moments, cuts = fitted or moments_and_quantiles(df, columns, QUARTILES)
     return _rows(
         df.sparkSession,
         [
@@ -429,6 +469,13 @@ def high_correlations(df: DataFrame, columns: Sequence[str] | None = None, thres
     return correlation(df, columns).where(F.abs("correlation") > threshold)
 
 
+def _fence(q1: float | None, q3: float | None) -> tuple[float, float] | None:
+    if q1 is None:
+        return None
+    reach = IQR_FACTOR * (q3 - q1)
+    return q1 - reach, q3 + reach
+
+
 def fit_iqr_bounds(
     df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True, by_rank: bool = False
 ) -> dict[str, tuple[float, float] | None]:
@@ -438,20 +485,25 @@ def fit_iqr_bounds(
         cuts = order_statistics(df, columns, [0.25, 0.75], interpolate=False)
     else:
         cuts = quantiles(df, columns, [0.25, 0.75], exact)
-    fences = {}
-    for c in columns:
-        q1, q3 = cuts[c]
-        reach = None if q1 is None else IQR_FACTOR * (q3 - q1)
-        fences[c] = None if q1 is None else (q1 - reach, q3 + reach)
-    return fences
+    return {c: _fence(*cuts[c]) for c in columns}
 
 
 def iqr_outliers(
-    df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True, by_rank: bool = False
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    exact: bool = True,
+    by_rank: bool = False,
+    quartiles: dict[str, list[float | None]] | None = None,
 ) -> DataFrame:
-    """Values beyond the fences: count, share of all rows, and the fences."""
+    """Values beyond the fences: count, share of all rows, and the fences.
+
+    ``quartiles`` has the three quartiles of each column, where the caller knows them.
+    """
     columns = numeric_columns(df) if columns is None else list(columns)
-    fences = fit_iqr_bounds(df, columns, exact, by_rank)
+    if quartiles is None:
+        fences = fit_iqr_bounds(df, columns, exact, by_rank)
+    else:
+        fences = {c: _fence(quartiles[c][0], quartiles[c][2]) for c in columns}
 
     def metrics(c: str) -> list[Column]:
         low, high = fences[c] or (None, None)
@@ -470,8 +522,9 @@ def iqr_outliers(
 def describe_with_quality(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Describe, missing cells and outliers side by side, one row per numeric column."""
     columns = numeric_columns(df) if columns is None else list(columns)
+    fitted = moments_and_quantiles(df, columns, QUARTILES)
     return (
-        describe(df, columns)
+        describe(df, columns, fitted)
         .join(missing_counts(df.select(*[as_column(c) for c in columns])), "column")
-        .join(iqr_outliers(df, columns), "column")
+        .join(iqr_outliers(df, columns, quartiles=fitted[1]), "column")
     )

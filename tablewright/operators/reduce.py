@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.ranking import hashed_row_number, ordered_row_number, row_hash
 from tablewright.functions.scalars import as_column, measure, numeric_columns, string_columns
-from tablewright.operators.profile import _rows, fit_distinct, fit_moments
+from tablewright.operators.profile import _rows, fit_distinct_within, fit_moments
 
 # Fixed values of the reduction step.
 VARIANCE_FLOOR = 0.01
@@ -115,9 +115,8 @@ def first_seen(df: DataFrame, column: str, order_by: str) -> DataFrame:
 def dictionary_encode(df: DataFrame, order_by: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Add ``{column}_encoded`` for text columns that repeat enough to be worth it."""
     columns = string_columns(df) if columns is None else list(columns)
-    distinct = fit_distinct(df, columns)
-    total = df.count()
-    for c in [c for c in columns if distinct[c] < ENCODE_SHARE * total]:
+    repeats = fit_distinct_within(df, {c: (-1, ENCODE_SHARE * df.count()) for c in columns})
+    for c in [c for c in columns if repeats[c]]:
         lookup = first_seen(df, c, order_by).select(F.col("value").alias("_value"), F.col("code").alias(f"{c}_encoded"))
         df = df.join(lookup, as_column(c).eqNullSafe(F.col("_value")), "left").drop("_value")
     return df

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.quantiles import quantiles
 from tablewright.functions.scalars import as_column, measure, numeric_columns, string_columns
-from tablewright.operators.profile import _rows, fit_distinct, fit_moments
+from tablewright.operators.profile import _rows, fit_distinct_within, fit_moments
 
 # Bin labels, hierarchy labels and thresholds.
 BIN_LABELS = ("Very Low", "Low", "Medium", "High", "Very High")
@@ -66,8 +66,8 @@ def label_by_edges(value: Column, edges: Sequence[float], labels: Sequence[str])
 def bin_equal_width(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Add ``{column}_discrete``: five equal-width bins of columns with over ten values."""
     columns = numeric_columns(df) if columns is None else list(columns)
-    distinct = fit_distinct(df, columns)
-    columns = [c for c in columns if distinct[c] > BIN_MIN_DISTINCT]
+    many = fit_distinct_within(df, {c: (BIN_MIN_DISTINCT, float("inf")) for c in columns})
+    columns = [c for c in columns if many[c]]
     moments = fit_moments(df, columns)
     n = len(BIN_LABELS)
     added = {}
@@ -106,7 +106,7 @@ def aggregate_by_first_text(df: DataFrame) -> DataFrame | None:
     if not texts or not numbers:
         return None
     key = texts[0]
-    if not fit_distinct(df, [key])[key] < GROUP_SHARE * df.count():
+    if not fit_distinct_within(df, {key: (-1, GROUP_SHARE * df.count())})[key]:
         return None
     groups = df.where(as_column(key).isNotNull()).groupBy(as_column(key))
     return groups.agg(
@@ -130,8 +130,8 @@ def frequency_hierarchy(df: DataFrame, columns: Sequence[str] | None = None) ->
     """Add ``{column}_hierarchy``: how common the value is among the column's values."""
     low, high = 5, 50
     columns = string_columns(df) if columns is None else list(columns)
-    distinct = fit_distinct(df, columns)
-    for c in [c for c in columns if low < distinct[c] < high]:
+    some = fit_distinct_within(df, {c: (low, high) for c in columns})
+    for c in [c for c in columns if some[c]]:
         counts = df.where(as_column(c).isNotNull()).groupBy(as_column(c).alias("_value")).agg(
             F.count(F.lit(1)).alias("_n")
         )
