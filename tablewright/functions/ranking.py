@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tablewright.functions.scalars import as_column
 from tablewright.session import checkpoint
 
+PLACE_BITS = 33  # of a monotonically increasing id, that count the rows of a partition
 BUCKET_ROWS = 500_000  # rows a hash bucket should hold at most
 
 
@@ -73,17 +74,17 @@ def hashed_row_number(
 def ordered_row_number(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """Number all rows by ``order``, from 1, without a single-task sort.
 
-    Rows are range-partitioned once; the partition number is the bucket. The
-    checkpoint pins that choice, since range bounds are sampled anew on each run.
+    Rows are range-partitioned and sorted once; a row's number is its place in
+    its partition plus the rows of the partitions before. The checkpoint pins
+    both, since range bounds are sampled anew on each run.
     """
     cols = [as_column(c) for c in order]
-    ranged = checkpoint(df.repartitionByRange(*cols).withColumn("_bucket", F.spark_partition_id()))
-    sizes = ranged.groupBy("_bucket").count()
+    ranged = df.repartitionByRange(*cols).sortWithinPartitions(*cols)
+    ranged = checkpoint(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    bucket = F.shiftright("_at", PLACE_BITS)
+    sizes = ranged.groupBy(bucket.alias("_bucket")).count()
     total = Window.orderBy("_bucket")  # one row per partition
     sizes = sizes.select(F.col("_bucket"), (F.sum("count").over(total) - F.col("count")).alias("_before"))
-    inside = Window.partitionBy("_bucket").orderBy(*cols)
-    return (
-        ranged.join(sizes, "_bucket")
-        .withColumn(name, F.col("_before") + F.row_number().over(inside))
-        .drop("_bucket", "_before")
-    )
+    numbered = ranged.withColumn("_bucket", bucket).join(F.broadcast(sizes), "_bucket")  # a row per partition
+    place = F.col("_at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    return numbered.withColumn(name, F.col("_before") + place + 1).drop("_bucket", "_before", "_at")

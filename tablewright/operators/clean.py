@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +21,7 @@ from tablewright.functions.scalars import (
     string_columns,
 )
 from tablewright.operators.profile import fit_iqr_bounds, fit_modes, fit_moments
-from tablewright.session import checkpoint
+from tablewright.session import checkpoint, scratch_path
 
 
 def _fill(df: DataFrame, values: dict[str, Column]) -> DataFrame:
@@ -91,40 +93,61 @@ def fill_zero(df: DataFrame) -> DataFrame:
     return finite_table(df).na.fill(0).na.fill(UNKNOWN)
 
 
+def _carried_forward(key: int, filled: Sequence[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in order of key and time; the last row of a batch, filled, goes in front of the next one."""
+        last: pa.RecordBatch | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if last is not None:
+                batch = pa.concat_batches([last, batch])
+            names = batch.column(key).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            places = np.arange(batch.num_rows)
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = names[1:] != names[:-1]
+            begin = np.maximum.accumulate(np.where(new, places, 0))
+            columns = list(batch.columns)
+            for c in filled:
+                there = columns[c].is_valid().to_numpy(zero_copy_only=False)
+                source = np.maximum.accumulate(np.where(there, places, -1))
+                columns[c] = columns[c].take(pa.array(source, mask=source < begin))
+            out = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            yield out if last is None else out.slice(1)
+            last = out.slice(batch.num_rows - 1)
+
+    return run
+
+
 def forward_fill(df: DataFrame, key: str, order_by: str, columns: Sequence[str]) -> DataFrame:
     """Gaps take the last earlier value of the same key.
 
-    ``order_by`` must be unique within a key. Rows are range-partitioned by key
-    and order, so a key with very many rows is cut into consecutive stretches
-    that are filled by different tasks; the last value of each stretch is carried
-    into the next.
+    ``order_by`` must be unique within a key. The table is exchanged and sorted
+    once. Rows are range-partitioned by key and order, so a key with very many
+    rows is cut into consecutive stretches that different tasks fill; only a
+    stretch's first key can go on from the stretch before, and only the last
+    values of each stretch are passed on.
     """
-    ranged = df.repartitionByRange(as_column(key), as_column(order_by)).withColumn("_stretch", F.spark_partition_id())
+    order = [as_column(key), as_column(order_by)]
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_stretch", F.spark_partition_id())
     # range bounds are sampled anew on each run, so the cut is pinned here
     ranged = checkpoint(ranged)
-    tails = ranged.groupBy(as_column(key).alias("_key"), F.col("_stretch").alias("_s")).agg(
-        *[
-            F.max_by(as_column(c), F.when(as_column(c).isNotNull(), as_column(order_by))).alias(f"_tail{i}")
-            for i, c in enumerate(columns)
-        ]
-    )
-    before = Window.partitionBy("_key").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    carried = tails.select(
-        "_key",
-        "_s",
-        *[F.last(f"_tail{i}", ignorenulls=True).over(before).alias(f"_carry{i}") for i in range(len(columns))],
-    )
-    so_far = (
-        Window.partitionBy("_stretch", as_column(key)).orderBy(as_column(order_by)).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    joined = ranged.join(
-        carried, (F.col("_stretch") == F.col("_s")) & as_column(key).eqNullSafe(F.col("_key")), "left"
-    )
-    filled = {
-        c: F.coalesce(F.last(as_column(c), ignorenulls=True).over(so_far), F.col(f"_carry{i}"))
-        for i, c in enumerate(columns)
-    }
-    return joined.select(*[filled[c].alias(c) if c in filled else as_column(c) for c in df.columns])
+    filled = ranged.mapInArrow(_carried_forward(ranged.columns.index(key), [ranged.columns.index(c) for c in columns]), ranged.schema)
+    # structs, as nulls in them are equal, and come first as in the sort
+    place = F.struct(as_column(key).isNotNull().alias("named"), as_column(key).alias("key"))
+    then = F.struct(place.alias("k"), F.struct(as_column(order_by).isNotNull().alias("known"), as_column(order_by).alias("at")).alias("o"))
+    last = [F.max_by(F.struct(place.alias("k"), as_column(c).alias("v")), F.when(as_column(c).isNotNull(), then)).alias(f"_l{i}") for i, c in enumerate(columns)]
+    ends = ranged.groupBy("_stretch").agg(F.min(place).alias("_first"), F.max(place).alias("_last"), *last)
+    known = [F.when(F.col(f"_l{i}.k") == F.col("_last"), F.col(f"_l{i}.v")).alias(f"_v{i}") for i in range(len(columns))]
+    ends = ends.select("_stretch", "_first", "_last", *known)
+    running = Window.partitionBy("_last").orderBy("_stretch")
+    before = Window.orderBy("_stretch")  # a row per stretch
+    ends = ends.select("_stretch", "_first", "_last", *[F.last(f"_v{i}", ignorenulls=True).over(running).alias(f"_v{i}") for i in range(len(columns))])
+    goes_on = F.lag("_last").over(before) == F.col("_first")
+    carried = ends.select("_stretch", "_first", *[F.when(goes_on, F.lag(f"_v{i}").over(before)).alias(f"_carry{i}") for i in range(len(columns))])
+    joined = filled.join(F.broadcast(carried), "_stretch")
+    full = {c: F.coalesce(as_column(c), F.when(F.col("_first") == place, F.col(f"_carry{i}"))).alias(c) for i, c in enumerate(columns)}
+    return joined.select(*[full[c] if c in full else as_column(c) for c in df.columns])
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
@@ -161,15 +184,22 @@ def remove_outliers(
     """Drop rows beyond the quartile fences; rows without a value go too.
 
     By default each column's fences come from the rows the earlier columns left,
-    in schema order. ``simultaneous`` fits all fences on the input in one go.
+    in schema order. ``simultaneous`` fits all fences on the input in one go. For
+    the cascade the table itself is read once: the columns, and no others, go to a
+    table of their own, from which all fences are fitted. A later fence reads only
+    the rows that are left, as the earlier ones are pushed down to its scan.
     """
     columns = numeric_columns(df) if columns is None else list(columns)
-    if simultaneous:
+    if simultaneous or len(columns) < 2:
         return df.where(_inside(fit_iqr_bounds(df, columns, exact)))
-    # the filters are constants that collapse into one, so lineage stays flat
-    for c in columns:
-        df = df.where(_inside(fit_iqr_bounds(df, [c], exact)))
-    return df
+    path = scratch_path(df.sparkSession, "measures")
+    df.select(*[as_column(c).alias(f"c{i}") for i, c in enumerate(columns)]).write.parquet(path)
+    narrow, fences = df.sparkSession.read.parquet(path), {}
+    for i, c in enumerate(columns):
+        own = fit_iqr_bounds(narrow, [f"c{i}"], exact)
+        narrow = narrow.where(_inside(own))
+        fences[c] = own[f"c{i}"]
+    return df.where(_inside(fences))
 
 
 def cap_outliers(

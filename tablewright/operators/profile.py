@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
-from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +25,8 @@ from tablewright.functions.scalars import (
     text_cell,
 )
 
-PAIRS_PER_PASS = 400  # correlation pairs per aggregate, to bound generated code
-COLUMNS_PER_PASS = 100  # profiled columns per aggregate, likewise
+COLUMNS_PER_PASS = 100  # profiled columns per aggregate, to bound generated code
+ROUNDING = 1e-13  # share of its mean square below which a variance is rounding
 IQR_FACTOR = 1.5
 ENDS = (("first_value", False), ("last_value", True))
 SKETCH_BITS = 14  # distinct counts are estimated to about a percent
@@ -414,40 +415,68 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     )
 
 
+_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of a partition for every pair of its columns, over the rows where both are present, by matrix products."""
+    total = None
+    for batch in batches:
+        x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns])
+        there = ~np.isnan(x)
+        if total is None:
+            d = x.shape[1]
+            total, (i, j) = {c: np.zeros((d, d)) for c in ("n", "x", "xx", "xy")}, np.triu_indices(d, 1)
+        full = bool(there.all())
+        x = x if full else np.where(there, x, 0.0)
+        mask = there.astype(np.float64)
+        total["xy"] += x.T @ x
+        # column sums over the rows where the other column is present
+        total["n"] += len(x) if full else mask.T @ mask
+        total["x"] += x.sum(axis=0)[:, None] if full else x.T @ mask
+        total["xx"] += (x * x).sum(axis=0)[:, None] if full else (x * x).T @ mask
+    if total is not None:
+        n, sx, sxx, sxy = (total[c] for c in ("n", "x", "xx", "xy"))
+        sums = [n[i, j].astype(np.int64), sx[i, j], sx[j, i], sxx[i, j], sxx[j, i], sxy[i, j]]
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), *map(pa.array, sums)], ["i", "j", *_SUMS])
+
+
 def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair of numeric columns over rows where both are present.
 
-    Null when either column is constant on those rows.
+    Null when either column is constant on those rows. One scan serves all pairs: each task multiplies its rows, with
+    and without their gaps, as matrices, and the sums of the tasks are added up by pair.
     """
     columns = numeric_columns(df) if columns is None else list(columns)
-    pairs = list(combinations(columns, 2))
-    if not pairs:
+    d = len(columns)
+    if d < 2:
         return _rows(df.sparkSession, [], "column1 string, column2 string, correlation double")
     moments = fit_moments(df, columns)
-    # columns are centred and scaled first: exact to work with, and a pair without gaps is one sum
+    # columns are centred and scaled first, so sums stay exact to work with
     scaled = df.select(
         *[
-            ((measure(df, c) - F.lit(m["mean"])) / F.lit(m["std_pop"] or None)).cast("double").alias(c)
+            ((measure(df, c) - F.lit(m["mean"])) / F.lit(m["std_pop"] or None)).cast("double").alias(f"c{k}")
             if m["std_pop"]
-            else F.lit(None).cast("double").alias(c)
-            for c, m in moments.items()
+            else F.lit(None).cast("double").alias(f"c{k}")
+            for k, (c, m) in enumerate(moments.items())
         ]
     )
-    whole = {c for c, m in moments.items() if m["std_pop"] and not m["nulls"]}
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        cells = []
-        for a, b in pairs[start : start + PAIRS_PER_PASS]:
-            x, y = as_column(a), as_column(b)
-            if a in whole and b in whole:
-                r = F.sum(x * y) / F.nullif(F.count(F.lit(1)), F.lit(0))
-            else:
-                spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
-                r = F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
-            cells.append(F.struct(F.lit(a).alias("column1"), F.lit(b).alias("column2"), r.alias("correlation")))
-        wide = scaled.agg(*[cell.alias(f"p{i}") for i, cell in enumerate(cells)])
-        parts.append(wide.select(F.inline(F.array(*[F.col(f"p{i}") for i in range(len(cells))]))))
-    return reduce(DataFrame.unionByName, parts)
+    sums = scaled.mapInArrow(_gram, "i long, j long, n long, sx double, sy double, sxx double, syy double, sxy double")
+    sums = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    n = F.nullif(F.col("n"), F.lit(0))
+
+    def spread(total: str, squares: str) -> Column:
+        """Variance; what rounding leaves of a constant counts as none."""
+        square = F.col(squares) / n
+        variance = square - F.pow(F.col(total) / n, 2)
+        return F.when(variance > ROUNDING * square, variance)
+
+    covariance = F.col("sxy") / n - F.col("sx") / n * F.col("sy") / n
+    r = covariance / F.sqrt(spread("sx", "sxx") * spread("sy", "syy"))
+    at = df.sparkSession.range(d * d).select((F.col("id") / d).cast("long").alias("i"), (F.col("id") % d).alias("j")).where("i < j")
+    names = F.array(*[F.lit(c) for c in columns])
+    found = at.join(sums, ["i", "j"], "left")
+    return found.select(F.get(names, F.col("i").cast("int")).alias("column1"), F.get(names, F.col("j").cast("int")).alias("column2"), r.alias("correlation"))
 
 
 def correlation_cells(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -1,7 +1,10 @@
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tablewright.operators import charts, profile, quality, roles
+from tablewright.operators.profile import correlation
 
 
 @pytest.fixture(scope="module")
@@ -92,3 +95,29 @@ def test_long_texts_are_told_apart_behind_their_start(spark):
     assert top == {1: (start + "a", 2), 2: (start + "b", 2), 3: (start + "c", 2), 4: (start + "d", 1)}
     assert profile.fit_modes(df, ["page.html", "n"]) == {"page.html": start + "a", "n": "0"}
     assert profile.fit_modes(df.where("false"), ["page.html"]) == {"page.html": None}
+
+
+def test_correlation_of_many_columns_with_gaps(spark):
+    """Three hundred columns, some with gaps, constants, large means and no rows in common with others."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(400, 20))
+    x = base[:, rng.integers(0, 20, 300)] + rng.normal(size=(400, 300))
+    x[:, 7] = 3.0
+    x[:, 8] = x[:, 9] * 1e-3 + 1e6
+    x[rng.random((400, 300)) < np.where(np.arange(300) % 3 == 0, 0.3, 0.0)] = np.nan
+    x[:200, 30], x[200:, 33] = np.nan, np.nan
+    x[5:, 36] = np.nan
+    x[:5, 36] = 2.0
+    names = [f"f.{i}" for i in range(300)]
+    pdf = pd.DataFrame(x, columns=names)
+    got = correlation(spark.createDataFrame(pdf).repartition(6)).toPandas()
+    assert len(got) == 300 * 299 // 2
+    want = pdf.corr(min_periods=1).to_numpy()
+    mine = np.full((300, 300), np.nan)
+    at = {c: i for i, c in enumerate(names)}
+    mine[got.column1.map(at), got.column2.map(at)] = got.correlation.astype(float)
+    upper = np.triu_indices(300, 1)
+    unknown = np.isnan(want[upper]) | (np.abs(want[upper]) > 1)
+    assert np.allclose(mine[upper][~unknown], want[upper][~unknown], atol=1e-7)
+    assert np.isnan(mine[7, 8:]).all() and np.isnan(mine[36, 37:]).all() and np.isnan(mine[30, 33])
+    assert correlation(spark.createDataFrame(pdf).limit(0).select("`f.0`", "`f.1`")).collect()[0]["correlation"] is None
