@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tablewright.session import scratch_path
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -37,11 +39,20 @@ def numbered(df: DataFrame, name: str = "_row") -> tuple[DataFrame, str]:
     return written(df.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: a cut in the lineage that survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, name: str, batch_bytes: int | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: a cut in the lineage that survives lost executors.
+
+    ``batch_bytes`` bounds the batches that Python functions of this write get, where rows are large.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    before = spark.conf.get(BATCH_BYTES)
+    try:
+        if batch_bytes:
+            spark.conf.set(BATCH_BYTES, str(batch_bytes))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -40,7 +40,9 @@ SHARD_SIGNATURES = 1_000_000
 HELD = 500_000  # signatures that a task sorts at a time
 CROWD = 64  # nodes with one signature among those from which the signature counts as crowded
 BUCKETS = 64
-BLOCK = 1_000  # nodes of a side of a tile
+PAIRS = 100_000  # looked at together in a tile
+BATCH = 8 << 20  # bytes of a batch that a Python function gets
+BLOCK = 500  # nodes of a side of a tile
 BROADCAST_ROWS = 1_000_000  # of one long each
 
 _ODD, _LOW = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 48) - 1)
@@ -306,28 +308,57 @@ def _sides(pairs: DataFrame, of: DataFrame, columns: dict[str, tuple[str, str]])
     return pairs.join(right, "b").join(left, "a").select("a", "b", *[c for both in columns.values() for c in both])
 
 
-def _tile(tile: pa.Table) -> pa.Table:
-    """Pairs of nodes of different components that the bucket counts do not rule out."""
-    node, root, n = (tile[c].to_numpy() for c in ("node", "root", "n"))
-    order = np.argsort(n, kind="stable")
-    node, root, n = node[order], root[order], n[order]
-    counts = _matrix(tile["counts"].take(pa.array(order)))
-    side = tile["block"].to_numpy()[order]
-    across = tile["i"][0].as_py() != tile["j"][0].as_py()
-    a, b = [], []
-    upto = np.searchsorted(n, 5 * n // 4, "right")  # sizes that can be similar stand together
-    for x in range(len(node)):
-        some = np.arange(x + 1, upto[x])
-        some = some[root[some] != root[x]]
-        if across:
-            some = some[side[some] != side[x]]
-        if len(some):
-            apart = np.abs(counts[some] - counts[x]).sum(axis=1)
-            some = some[9 * apart <= n[some] + n[x]]
-            a.append(np.full(len(some), node[x]))
-            b.append(node[some])
-    a, b = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (a, b))
-    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+def _open_pairs(rows: dict[str, np.ndarray], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes of one tile, of different components, that sizes and bucket counts do not rule out.
+
+    ``first`` marks the first row of each tile; rows of a tile stand together, by size.
+    """
+    node, root, n, counts, side = (rows[c] for c in ("node", "root", "n", "counts", "block"))
+    across = rows["i"] != rows["j"]
+    start = np.flatnonzero(first)
+    end = np.repeat(np.append(start[1:], len(node)), np.diff(np.append(start, len(node))))
+    left = end - np.arange(len(node)) - 1  # rows after this one in its tile
+    a, b, at = [], [], 0
+    upto = np.cumsum(left)
+    while at < len(node):
+        # as many rows as have a bounded number of pairs together, one at least
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+        x = np.repeat(np.arange(at, stop), left[at:stop])
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(left[at:stop]) - left[at:stop], left[at:stop])
+        keep = (root[x] != root[y]) & (4 * n[y] <= 5 * n[x]) & (~across[x] | (side[x] != side[y]))
+        x, y = x[keep], y[keep]
+        keep = 9 * np.abs(counts[x] - counts[y]).sum(axis=1) <= n[x] + n[y]
+        a.append(np.minimum(node[x[keep]], node[y[keep]]))
+        b.append(np.maximum(node[x[keep]], node[y[keep]]))
+        at = stop
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come in order of their tiles, and of sizes inside; a tile that ends a batch waits for the next."""
+    names = ("signature", "i", "j", "n", "node", "root", "block", "counts")
+
+    def told(rows: dict[str, np.ndarray], first: np.ndarray) -> pa.RecordBatch:
+        a, b = _open_pairs(rows, first)
+        # of a pair that several tiles hold one is enough
+        pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    held: dict[str, np.ndarray] | None = None
+    for batch in batches:
+        rows = {c: _matrix(batch.column(k)) if c == "counts" else batch.column(k).to_numpy() for k, c in enumerate(names)}
+        if held is not None:
+            rows = {c: np.concatenate([held[c], rows[c]]) for c in names}
+        if not len(rows["node"]):
+            continue
+        first = np.ones(len(rows["node"]), bool)
+        first[1:] = np.any([rows[c][1:] != rows[c][:-1] for c in ("signature", "i", "j")], axis=0)
+        cut = int(np.flatnonzero(first)[-1])
+        if cut:
+            yield told({c: rows[c][:cut] for c in names}, first[:cut])
+        held = {c: rows[c][cut:] for c in names}
+    if held is not None:
+        yield told(held, np.arange(len(held["node"])) == 0)
 
 
 def _placed(shared: DataFrame, member: DataFrame, block: int) -> DataFrame:
@@ -356,21 +387,22 @@ def components(rows: DataFrame, block: int = BLOCK, shard_signatures: int = SHAR
 
     def of_nodes(pairs: DataFrame, run, shape: str, name: str) -> DataFrame:
         nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-nodes")
-        return written(texts.join(bounded(nodes), "node", "left_semi").mapInArrow(run, shape), name)
+        return written(texts.join(bounded(nodes), "node", "left_semi").mapInArrow(run, shape), name, BATCH)
 
     def links_of(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs whose sets are similar; Spark brings the sets together, a pair at a time."""
         sets = of_nodes(pairs, _sets, "node long, hashes binary", f"{name}-sets")
-        return written(_sides(pairs, sets, {"hashes": ("x", "y")}).mapInArrow(_verified, "a long, b long"), f"{name}-links")
+        met = _sides(pairs, sets, {"hashes": ("x", "y")})
+        return written(met.mapInArrow(_verified, "a long, b long"), f"{name}-links", BATCH)
 
-    marks = written(rows.select("row", "text").mapInArrow(_marks, "row long, digest binary, n long"), "marks")
+    marks = written(rows.select("row", "text").mapInArrow(_marks, "row long, digest binary, n long"), "marks", BATCH)
     same = written(marks.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.max("n").alias("n")), "nodes")
     total = same.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # of hashes; there is about one signature for each
     texts = rows.select(F.col("row").alias("node"), "text")
     others = written(marks.join(same.select(F.col("node").alias("row")), "row", "left_anti").select(F.col("row").alias("node")), "copies")
     own = texts.join(bounded(others), "node", "left_anti")
     entries = own.mapInArrow(_signed_entries(1 + total // shard_signatures, crowd), "shard long, salt long, signatures binary, nodes binary")
-    shared = written(entries.groupBy("shard", "salt").applyInArrow(_shared_entries, "signature long, node long"), "shared-signatures")
+    shared = written(entries.groupBy("shard", "salt").applyInArrow(_shared_entries, "signature long, node long"), "shared-signatures", BATCH)
 
     met = shared.groupBy("signature").agg(F.count(F.lit(1)).alias("nodes"))
     weight = shared.join(met, "signature").groupBy("node").agg(F.sum("nodes").alias("weight"))
@@ -381,13 +413,15 @@ def components(rows: DataFrame, block: int = BLOCK, shard_signatures: int = SHAR
 
     looks = of_nodes(stars, _counts, "node long, n long, counts binary", "bucket-counts")
     near = _sides(stars, looks, {"n": ("m", "n"), "counts": ("x", "y")}).mapInArrow(_near, "a long, b long")
-    links = links_of(written(near, "near-leaders"), "leader")
+    links = links_of(written(near, "near-leaders", BATCH), "leader")
     member = connected_components(links)
 
     placed = written(_placed(shared, member, block), "open-signatures")
-    rest = placed.join(looks, "node").groupBy("signature", "i", "j").applyInArrow(_tile, "a long, b long").distinct()
+    tile = ["signature", "i", "j"]
+    rest = placed.join(looks, "node").repartition(*tile).sortWithinPartitions(*tile, "n").select(*tile, "n", "node", "root", "block", "counts")
+    rest = rest.mapInArrow(_tiles, "a long, b long").distinct()
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = written(rest.join(tried, ["a", "b"], "left_anti"), "open-pairs")
+    rest = written(rest.join(tried, ["a", "b"], "left_anti"), "open-pairs", BATCH)
     if rest.limit(1).count():
         member = connected_components(links.unionByName(links_of(rest, "open")))
     of_set = written(same.join(member, "node", "left").select("digest", F.coalesce("root", "node").alias("root")), "roots")
