@@ -412,3 +412,46 @@ def _(spark, folder):
         ((F.count_if("is_anomaly") <= cut) & (F.count_if(F.col("anomaly_score") <= 0) >= cut)).alias("fewer_by_ties_only"),
         F.count_if(F.col("is_anomaly") != (F.col("anomaly_score") < 0)).alias("out_of_order"),
     )
+
+
+
+
+@query(
+    "m1_json_text",
+    f"SELECT {r('user_id')} AS user_id, {r('least(floor(value / 2), 60)')} AS pair FROM events",
+)
+def _(spark, folder):
+    """A JSON array in text counts as its first number."""
+    events = table(spark, folder, "events")
+    pair = F.concat(F.lit("["), F.least(F.floor(F.col("value") / 2), F.lit(60)).cast("string"), F.lit(", 7]"))
+    return R.prepare_features(events.select("user_id", pair.alias("pair")))
+
+
+@query("m22_predict_complex_feature", f"SELECT event_id, {RULE} AS prediction FROM events")
+def _(spark, folder):
+    """Arrays, JSON text and dotted names as features; the saved pipeline reduces them again when it scores."""
+    df = ruled(spark, folder).select(
+        F.col("event_id").alias("event.id"),
+        F.col("kind").alias("the.kind"),
+        F.array(F.col("slot").cast("double"), F.lit(1.0)).alias("slot.list"),
+        F.concat(F.lit("["), F.col("team").cast("string"), F.lit("]")).alias("team"),
+        F.create_map(F.lit("a"), F.col("event_type")).alias("about"),
+    )
+    result = training.train(df, "the.kind", "event.id", ["slot.list", "team", "about"], "decision_tree", cross_validation=False)
+    registry = training.Registry(spark, scratch_path(spark, "complex-models"))
+    scored = registry.predict(registry.save(result, "complex"), df.drop("the.kind"))
+    return scored.select(F.col("`event.id`").alias("event_id"), "prediction")
+
+
+
+@query("m15_rules_give_predictions", "SELECT count(*) AS n_rows, 0::BIGINT AS n_different FROM events")
+def _(spark, folder):
+    """The printed rules, read back and applied to every row, against the model's predictions; classes overlap."""
+    events = table(spark, folder, "events")
+    mixed = (F.col("user_id") * 7 + F.col("event_id") * 13) % 10 < 7
+    kind = F.when(mixed, F.when(F.col("value") > 10, "high").otherwise("low")).otherwise("other")
+    df = events.select("event_id", "value", "user_id", kind.alias("kind"))
+    result = training.train(df, "kind", "event_id", ["value", "user_id"], "decision_tree", cross_validation=False, depth=M.REPORT_DEPTH, adaptive=True)
+    rules = M.tree_rules(spark, result.model.stages[-1], result.features, depth=M.TREE_DEPTH)
+    told = M.apply_rules(result.scored, rules, result.classes).select("prediction", "rule_prediction")
+    return told.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.col("prediction").eqNullSafe(F.col("rule_prediction"))).alias("n_different"))

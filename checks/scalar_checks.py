@@ -237,6 +237,17 @@ def _(spark, folder):
     return prepare.label_encode(df)
 
 
+@query(
+    "p8_dotted_names",
+    """SELECT o_orderkey AS "o.key", CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END::BIGINT AS "o.status",
+    CAST(o_orderstatus = 'O' AS BIGINT) AS "s.t_O", CAST(o_orderstatus = 'P' AS BIGINT) AS "s.t_P" FROM orders""",
+)
+def _(spark, folder):
+    status = F.col("o_orderstatus")
+    df = table(spark, folder, "orders").select(F.col("o_orderkey").alias("o.key"), status.alias("o.status"), status.alias("s.t"))
+    return prepare.label_encode(prepare.one_hot(df, ["s.t"]))
+
+
 @query("p9_clean_target", f"SELECT event_id, coalesce(event_type, 'Unknown') AS target FROM {EVENTS_GAPS}")
 def _(spark, folder):
     df = events_gaps(spark, folder)

@@ -98,6 +98,10 @@ def parse_number(c: str | Column, lenient: bool = False) -> Column:
     return finite(F.when(text.rlike(f"^{NUMBER}$"), text.try_cast("double")))
 
 
+#: A JSON array whose first element is a number.
+JSON_NUMBER = r"^\[\s*(-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)\s*[,\]]"
+
+
 def scalar_cell(df: DataFrame, name: str) -> Column:
     """Reduce a complex cell to one scalar.
 
@@ -119,22 +123,39 @@ def scalar_cell(df: DataFrame, name: str) -> Column:
     if isinstance(data_type, (T.MapType, T.StructType)):
         return F.to_json(c)
     if isinstance(data_type, T.StringType):
-        number = F.regexp_extract(c, r"^\[\s*(-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)\s*[,\]]", 1)
+        number = F.regexp_extract(c, JSON_NUMBER, 1)
         return F.when((number != "") & F.from_json(c, "array<string>").isNotNull(), number).otherwise(c)
     return c
 
 
-def scalar_table(df: DataFrame) -> DataFrame:
-    """Apply :func:`scalar_cell` to every complex column."""
-    complex_types = (T.ArrayType, T.MapType, T.StructType)
+def scalar_table(df: DataFrame, texts: bool = False) -> DataFrame:
+    """Apply :func:`scalar_cell` to every complex column, with ``texts`` to every text column as well."""
+    kinds = (T.ArrayType, T.MapType, T.StructType) + ((T.StringType,) if texts else ())
     return df.select(
         *[
-            scalar_cell(df, f.name).alias(f.name) if isinstance(f.dataType, complex_types) else as_column(f.name)
+            scalar_cell(df, f.name).alias(f.name) if isinstance(f.dataType, kinds) else as_column(f.name)
             for f in df.schema
         ]
     )
 
 
+def scalar_sql(name: str, data_type: T.DataType) -> str:
+    """:func:`scalar_cell` as SQL text, for transformers that are saved."""
+    c = "`" + name.replace("`", "``") + "`"
+    if isinstance(data_type, T.ArrayType):
+        if is_numeric(data_type.elementType):
+            first = f"CAST(get({c}, 0) AS DOUBLE)"
+            finite_first = f"IF(isnan({first}) OR abs({first}) = double('Infinity'), 0D, {first})"
+            return f"IF({first} IS NULL, NULL, {finite_first})"
+        return f"CASE WHEN size({c}) = 1 THEN CAST(get({c}, 0) AS STRING) WHEN size({c}) > 1 THEN to_json({c}) END"
+    if isinstance(data_type, (T.MapType, T.StructType)):
+        return f"to_json({c})"
+    if isinstance(data_type, T.StringType):
+        number = f"regexp_extract({c}, r'{JSON_NUMBER}', 1)"
+        return f"IF({number} != '' AND from_json({c}, 'array<string>') IS NOT NULL, {number}, {c})"
+    return c
+
+
 def clean_target(df: DataFrame, name: str) -> Column:
     """Class label as text; a missing label is its own class."""
     return F.coalesce(scalar_cell(df, name).cast("string"), F.lit(UNKNOWN))

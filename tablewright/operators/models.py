@@ -23,7 +23,7 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.functions.scalars import as_column
@@ -272,3 +272,35 @@ def tree_rules(spark: SparkSession, model: Model, features: Sequence[str], depth
             text = re.sub(r"feature (\d+)", lambda m: features[int(m.group(1))], line.strip())
             lines.append((len(lines), level, text))
     return _rows(spark, lines, "line int, depth int, rule string")
+
+
+_TEST = re.compile(r"(?:If|Else) \((.*) (<=|>) (\S+)\)$")
+
+
+def apply_rules(df: DataFrame, rules: DataFrame, classes: Sequence[str]) -> DataFrame:
+    """Add ``rule_prediction``: the class that the lines of :func:`tree_rules` give each row.
+
+    Tests read the columns they name, as they are; a row with a missing value in a test fails it. The lines must hold
+    the whole tree. They are read back into one expression, so printed rules can be checked against their model.
+    """
+    lines = [(r["depth"], r["rule"]) for r in rules.orderBy("line").collect()]  # two to the power of the depth
+    at = 0
+
+    def read() -> Column:
+        nonlocal at
+        depth, text = lines[at]
+        at += 1
+        if text.startswith("Predict: "):
+            return F.lit(classes[int(float(text.removeprefix("Predict: ")))])
+        test = _TEST.match(text)
+        if test is None:
+            raise ValueError(f"not a rule: {text}")
+        value, edge = as_column(test[1]).cast("double"), F.lit(float(test[3]))
+        met = value <= edge if test[2] == "<=" else value > edge
+        inner = read()
+        if at >= len(lines) or not lines[at][1].startswith("Else") or lines[at][0] != depth:
+            raise ValueError(f"rules end inside a test: {text}")
+        at += 1
+        return F.when(met, inner).otherwise(read())
+
+    return df.withColumn("rule_prediction", read())

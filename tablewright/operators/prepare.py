@@ -8,7 +8,6 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablewright.functions.quantiles import quantiles
 from tablewright.functions.ranking import hashed_row_number
@@ -21,6 +20,7 @@ from tablewright.functions.scalars import (
     measure,
     numeric_columns,
     parse_number,
+    scalar_sql,
     scalar_table,
     select_existing,
     string_columns,
@@ -70,12 +70,8 @@ def fit_categories(df: DataFrame, columns: Sequence[str], limit: int = MAX_CATEG
     columns = [c for i, c in enumerate(wanted) if guess[i] <= CLEARLY_MORE * limit + 10]
     if not columns:
         return dict.fromkeys(wanted)
-    values = (
-        df.select(*[as_column(c) for c in columns])
-        .unpivot([], columns, "column", "value")
-        .where(F.col("value").isNotNull())
-        .distinct()
-    )
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), as_column(c).alias("value")) for c in columns])
+    values = df.select(F.inline(cells)).where(F.col("value").isNotNull()).distinct()
     ranked = values.withColumn("_rn", F.row_number().over(Window.partitionBy("column").orderBy("value")))
     found: dict[str, list[str] | None] = {c: [] for c in columns}
     for row in ranked.where(F.col("_rn") <= limit + 1).collect():
@@ -130,7 +126,7 @@ def prepare_features(df: DataFrame, columns: Sequence[str] | None = None, exact:
         row["column"]
         for row in roles.where((F.col("role") == "identifier") & (F.col("ratio") > IDENTIFIER_RATIO)).select("column").collect()
     ]
-    df = finite_table(scalar_table(df.drop(*keys)))
+    df = finite_table(scalar_table(df.drop(*keys), texts=True))
     df = fill_median(df, exact=exact)
     df = fill_mode(df, string_columns(df))
     df = label_encode(coerce_by_vote(df))
@@ -157,13 +153,13 @@ def fit_feature_pipeline(
 ) -> tuple[PipelineModel, list[str]]:
     """Fitted stages from raw columns to a feature vector, reusable on new rows.
 
-    The constants (medians, modes, category codes) are fitted once and stored in
-    the pipeline, so scoring a row never refits them.
+    Arrays, maps, structs and JSON arrays in text become scalars first, by the rules
+    of :func:`scalar_cell`. The constants (medians, modes, category codes) are fitted
+    once and stored in the pipeline with these rules, so scoring a row never refits them.
     """
-    df = finite_table(select_existing(df, columns))
-    complex_names = [f.name for f in df.schema if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
-    if complex_names:
-        raise ValueError(f"reduce complex columns first: {complex_names}")
+    raw = select_existing(df, columns)
+    cells = {f.name: scalar_sql(f.name, f.dataType) for f in raw.schema}
+    df = finite_table(scalar_table(raw, texts=True))
     numbers = numeric_columns(df)
     texts = string_columns(df)
     medians = quantiles(df, numbers, [0.5], exact)
@@ -174,16 +170,16 @@ def fit_feature_pipeline(
     for c in df.columns:
         name = f"{output}_{len(names)}"
         if c in numbers:
-            cell = f"CAST(`{c}` AS DOUBLE)"
+            cell = f"CAST({cells[c]} AS DOUBLE)"
             good = f"IF(isnan({cell}) OR abs({cell}) = double('Infinity'), NULL, {cell})"
             parts.append(f"coalesce({good}, {float(medians[c][0] or 0.0)!r}D) AS {name}")
         elif c in voted:
-            text = f"trim(coalesce(`{c}`, {_literal(modes[c] or UNKNOWN)}))"
+            text = f"trim(coalesce({cells[c]}, {_literal(modes[c] or UNKNOWN)}))"
             number = f"IF({text} RLIKE {_literal(f'^{NUMBER}$')}, try_cast({text} AS DOUBLE), NULL)"
             parts.append(f"coalesce(IF(abs({number}) = double('Infinity'), NULL, {number}), 0D) AS {name}")
         elif categories.get(c):
             listed = ", ".join(_literal(v) for v in categories[c])
-            filled = f"coalesce(`{c}`, {_literal(modes[c] or UNKNOWN)})"
+            filled = f"coalesce({cells[c]}, {_literal(modes[c] or UNKNOWN)})"
             parts.append(f"CAST(greatest(array_position(array({listed}), {filled}) - 1, 0) AS DOUBLE) AS {name}")
         else:
             continue

@@ -11,7 +11,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.functions.scalars import clean_target
+from tablewright.functions.scalars import as_column, clean_target
 from tablewright.operators import evaluate as E
 from tablewright.operators import models as M
 from tablewright.operators.prepare import (
@@ -31,6 +31,9 @@ REGISTRY_SCHEMA = (
 )
 
 
+KEY, TARGET = "row_key", "target_class"
+
+
 @dataclass
 class Trained:
     """A fitted classifier with its evaluation."""
@@ -82,27 +85,28 @@ def train(
     spark = df.sparkSession
     names = usable_features(df, features or training_features(df.drop(key), target))
     prepare, used = fit_feature_pipeline(df, names)
-    labelled = df.withColumn(target, clean_target(df, target))
-    indexer = M.index_target(labelled, target)
+    # key and target go under names of their own: theirs may hold dots
+    labelled = prepare.transform(df).select(as_column(key).alias(KEY), clean_target(df, target).alias(TARGET), "features")
+    indexer = M.index_target(labelled, TARGET)
     classes = list(indexer.labels)
-    ready = indexer.transform(prepare.transform(labelled)).select(key, target, "features", "label_code")
-    split = adaptive_split(ready, target, [key]) if adaptive else stratified_split(ready, target, [key])
-    split = M.fit_layout(split, key, partitions).persist()
+    ready = indexer.transform(labelled).select(KEY, TARGET, "features", "label_code")
+    split = adaptive_split(ready, TARGET, [KEY]) if adaptive else stratified_split(ready, TARGET, [KEY])
+    split = M.fit_layout(split, KEY, partitions).persist()
     sizes = split.groupBy("is_test").count().collect()
     n_train = sum(r["count"] for r in sizes if not r["is_test"])
     n_test = sum(r["count"] for r in sizes if r["is_test"])
     fitted_on = split if fit_on == "all" else split.where(~F.col("is_test"))
     fitted = M.fit_classifier(fitted_on, algorithm, n_train, depth, kernel)
-    tested = M.apply_model(fitted, split.where("is_test"), classes).select(target, "prediction").persist()
-    metrics = E.accuracy(tested, target, "prediction").select(
+    tested = M.apply_model(fitted, split.where("is_test"), classes).select(TARGET, "prediction").persist()
+    metrics = E.accuracy(tested, TARGET, "prediction").select(
         "accuracy", F.lit(n_train).cast("long").alias("n_train"), F.lit(n_test).cast("long").alias("n_test")
     )
-    report, confusion = E.class_report(tested, target, "prediction"), E.confusion(tested, target, "prediction")
+    report, confusion = E.class_report(tested, TARGET, "prediction"), E.confusion(tested, TARGET, "prediction")
     if cross_validation:
         pool = split if n_train + n_test > 50 else split.where(~F.col("is_test"))
         pool_rows = n_train + n_test if n_train + n_test > 50 else n_train
         # one row on each side
-        metrics = metrics.crossJoin(M.cross_validate(pool, algorithm, key, pool_rows, kernel=kernel, partitions=partitions))
+        metrics = metrics.crossJoin(M.cross_validate(pool, algorithm, KEY, pool_rows, kernel=kernel, partitions=partitions))
     else:
         metrics = metrics.select(
             "*",
