@@ -1,19 +1,22 @@
-"""Main text of web pages: markup first, then host suffix arrays.
+"""Main text of web pages: host suffix arrays, with markup as evidence.
 
-Markup settles most pages: what an article or main element holds is kept but for the parts that say they are something
-else. Pages without such an element are settled by their host: the token streams of what pages show outside articles
-are put one after the other, their suffixes sorted, and substrings that repeat on several different pages are removed as
-boilerplate; runs that only one or two pages have stay. Copies of a page count as one page.
+The token streams of all pages of a host are put one after the other and their suffixes sorted. Neighbours in that order
+share prefixes, so runs of suffixes that have eight tokens or more in common are the repeated substrings; what repeats on
+several different pages is evidence of boilerplate. Copies of a page count as one page.
 
-A host's pages are dealt to groups of bounded size, so no host is too large for a task. The suffixes of a group are
-sorted by the names of their first ``RUN`` tokens, which prefix doubling makes; equal prefixes then stand together. The
-names are hashes that mean the same in every group: counts of pages are added up over groups before they decide.
+* On a page without an article, repeated substrings go; runs that only one or two pages have stay.
+* In an article or main element, which markup sets apart, text repeats for good reasons too: pages quote each other.
+  There a block goes if most pages of its host show it as a whole, and what markup says is something else goes always.
+
+A host's pages are dealt to groups of bounded size, so no host is too large for a task. Runs and blocks have names that
+mean the same in every group: counts of pages are added up over groups before they decide.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -25,9 +28,12 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.common import table, written
 
-RUN = 8  # tokens of the shortest repeated run, block ends included; a power of two
+RUN = 8  # tokens of the shortest repeated run, block ends included
 PAGES = 3  # different pages that must share it
-GROUP_TOKENS = 1_000_000
+HOST_PAGES = 8  # different pages from which on most pages of a host tell what its template is
+GROUP_BYTES = 8 << 20  # of pages whose suffixes are sorted together
+LONG = 512  # tokens up to which common prefixes are measured
+SEEN = 100_000  # streams a task remembers, so that it sends copies once
 
 # Elements and words of the HTML standard and of common page templates.
 HIDDEN = {"script", "style", "noscript", "template", "head", "title", "svg", "canvas", "iframe", "object", "audio", "video", "math"}
@@ -182,128 +188,220 @@ def host_of(url: str | None) -> str:
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What each page shows outside articles, and whether its host must settle it."""
+    """All blocks of each page, those of its article first, and how many these are."""
+    seen: set[tuple[str, int]] = set()
     for batch in batches:
-        hosts, streams, open_ = [], [], []
+        rows = []
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             main, rest, aside = parse(page)
             # an open page is judged by what nothing marks; of a settled one all is evidence of what its host repeats
-            shown = rest if not main else rest + aside
-            if shown:
-                hosts.append(host_of(url)), streams.append("\n".join(shown)), open_.append(not main)
-        sizes = [s.count(" ") + s.count("\n") + 1 for s in streams]
-        columns = [pa.array(hosts, pa.string()), pa.array(streams, pa.string()), pa.array(open_, pa.bool_()), pa.array(sizes, pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["host", "stream", "open", "tokens"])
+            blocks = [*main, *rest, *(aside if main else ())]
+            if not blocks:
+                continue
+            host, stream = host_of(url), "\n".join(blocks)
+            key = host, xxhash.xxh64_intdigest(f"{len(main)}\n{stream}", 7) - (1 << 63)
+            if key not in seen:
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(key)
+                rows.append((*key, stream, len(main)))
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 4, kinds)], ["host", "digest", "stream", "main"])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text of settled pages; host and stream of open ones."""
     for batch in batches:
-        texts, hosts, streams = [], [], []
+        texts, hosts, digests = [], [], []
         for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             main, rest, _ = parse(page)
             is_open = not main and bool(rest)
             texts.append(None if is_open else "\n".join(main))
-            hosts.append(host_of(url) if is_open else None)
-            streams.append("\n".join(rest) if is_open else None)
-        more = [pa.array(x, pa.string()) for x in (texts, hosts, streams)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *more], ["page_id", "url", "text", "host", "stream"])
+            hosts.append(host_of(url))
+            digests.append(xxhash.xxh64_intdigest("0\n" + "\n".join(rest), 7) - (1 << 63) if is_open else None)
+        more = [pa.array(texts, pa.string()), pa.array(hosts, pa.string()), pa.array(digests, pa.int64())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *more], ["page_id", "url", "text", "host", "digest"])
 
 
-def window_names(host: str, stream: str) -> np.ndarray:
-    """64-bit names of the first ``RUN`` tokens of every suffix of a stream, block ends included, by prefix doubling."""
+def _token_hashes(host: str, stream: str) -> np.ndarray:
+    """A number for each token of a stream, a block end in front and after every block."""
     seed = xxhash.xxh64_intdigest(host)
-    tokens = stream.replace("\n", " \n ").split(" ")
-    name = np.fromiter((xxhash.xxh64_intdigest(t, seed) for t in [*tokens, "\n"]), np.uint64, len(tokens) + 1)
-    width = 1
-    while width < RUN:
-        if len(name) <= width:
-            return np.empty(0, np.uint64)
-        name = (name[:-width] * np.uint64(0x9E3779B97F4A7C15)) ^ (name[width:] + (name[width:] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        width *= 2
+    tokens = ["\n", *stream.replace("\n", " \n ").split(" "), "\n"]
+    return np.fromiter((xxhash.xxh64_intdigest(t, seed) for t in tokens), np.uint64, len(tokens))
+
+
+def _run_names(tokens: np.ndarray) -> np.ndarray:
+    """64-bit names of the first ``RUN`` tokens of every suffix that has them."""
+    name = np.zeros(max(0, len(tokens) - RUN + 1), np.uint64)
+    for i in range(RUN):
+        name = (name ^ tokens[i : i + len(name)]) * np.uint64(0x9E3779B97F4A7C15)
+        name ^= name >> np.uint64(29)
     return name
 
 
-def _repeats(key: tuple, rows: pa.Table) -> pa.Table:
-    """For each distinct suffix prefix of a group, on how many of its pages it stands."""
-    parts = [window_names(h, s) for h, s in zip(rows["host"].to_pylist(), rows["stream"].to_pylist())]
-    name = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-    page = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    order = np.lexsort((page, name))  # the suffix array of the group
-    name, page = name[order], page[order]
-    new = np.ones(len(name), bool)
-    new[1:] = name[1:] != name[:-1]
-    fresh = new.copy()
-    fresh[1:] |= page[1:] != page[:-1]
-    group = np.cumsum(new) - 1
-    pages = np.bincount(group[fresh], minlength=int(new.sum())) if len(name) else np.empty(0, np.int64)
-    return pa.table([pa.array(np.full(len(pages), key[0].as_py()), pa.int64()), pa.array(name[new].view(np.int64)), pa.array(pages.astype(np.int64))], ["part", "name", "pages"])
+def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes in order, and how many tokens each shares with the one before, up to ``LONG``.
+
+    Prefix doubling: suffixes are sorted by their first token, then those that tie by twice as many, until none do or
+    the common prefix is longer than anything that is measured.
+    """
+    n = len(tokens)
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    order = np.argsort(tokens, kind="stable")
+    new = np.append(True, np.diff(tokens[order]) != 0)
+    rank, width = np.empty(n, np.int64), 1
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    while width < LONG:
+        first = rank[order]
+        tied = np.flatnonzero((np.append(first[1:], -1) == first) | (np.append(-1, first[:-1]) == first))
+        if not len(tied):
+            break
+        at = order[tied]
+        behind = np.where(at + width < n, rank[np.minimum(at + width, n - 1)], -1)
+        again = np.lexsort((behind, first[tied]))
+        order[tied] = at[again]
+        a, b = first[tied][again], behind[again]
+        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+        rank[order[tied]] = np.maximum.accumulate(np.where(new, tied, 0))
+        width *= 2
+    shared = np.zeros(n, np.int64)
+    left = np.arange(1, n)
+    for step in range(LONG):
+        i, j = order[left] + step, order[left - 1] + step
+        ok = (i < n) & (j < n)
+        left, i, j = left[ok], i[ok], j[ok]
+        left = left[tokens[i] == tokens[j]]
+        if not len(left):
+            break
+        shared[left] += 1
+    return order, shared
+
+
+def _pages_of(group: np.ndarray, page: np.ndarray, groups: int) -> np.ndarray:
+    """Different pages in each group."""
+    many = int(page.max()) + 1
+    return np.bincount(np.unique(group * many + page) // many, minlength=groups)
+
+
+def _group_evidence(key: tuple, rows: pa.Table) -> pa.Table:
+    """What the pages of a group repeat: named runs outside articles, named blocks of articles, pages by host, open pages."""
+    part, out = key[0].as_py(), []
+    host, stream, main, large = (rows[c].to_pylist() for c in ("host", "stream", "main", "large"))
+    pages = list({(h, d): i for i, (h, d) in enumerate(zip(host, rows["digest"].to_pylist()))}.items())
+    hosts = [h for (h, _), _ in pages]
+    out += [(part, "host", h, 0, n, None) for h, n in Counter(hosts).items()]
+    out += [(part, "open", h, d, 1, stream[i]) for (h, d), i in pages if not main[i]]
+    tokens, page, shell, starts = [], [], [], []
+    total = 0
+    for p, ((h, _), i) in enumerate(pages):
+        mine = _token_hashes(h, stream[i])
+        ends = np.flatnonzero(mine == mine[0])
+        where = int(ends[main[i]])  # the end of the article's last block
+        tokens += [mine, np.array([p], np.uint64)]  # a mark of its own ends every page
+        page.append(np.full(len(mine) + 1, p))
+        shell.append(np.append(np.arange(len(mine)) >= where, False))
+        starts += [(total + int(ends[k]), int(ends[k + 1] - ends[k]) + 1, xxhash.xxh64_intdigest(block, xxhash.xxh64_intdigest(h, 42)), p) for k, block in enumerate(stream[i].split("\n")[: main[i]])]
+        total += len(mine) + 1
+    tokens, page, shell = np.concatenate(tokens), np.concatenate(page), np.concatenate(shell)
+    spread = np.array([large[i] for _, i in pages])
+    order, shared = suffix_array(tokens)
+    # suffixes that share RUN tokens with the one before go on with its run
+    run = np.cumsum(shared < RUN) - 1
+    count = _pages_of(run, page[order], int(run[-1]) + 1)
+    names, long = _run_names(tokens), len(tokens) - RUN + 1
+    wanted = np.flatnonzero(shell[order] & (order < long) & ((count[run] >= PAGES) | spread[page[order]]))
+    _, at = np.unique(run[wanted], return_index=True)
+    for w in wanted[at].tolist():
+        out.append((part, "run", None, int(names[order[w]].astype(np.int64)), int(count[run[w]]), None))
+    # blocks of articles: equal ones are neighbours among the suffixes that begin with a block
+    if starts:
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        begin, size, name, of = (np.array(c) for c in zip(*[(b, z, n - (1 << 64) if n >> 63 else n, p) for b, z, n, p in starts]))
+        sort = np.argsort(place[begin])
+        rank, size, name, of = place[begin][sort], size[sort], name[sort], of[sort]
+        same = np.zeros(len(rank), bool)
+        if len(rank) > 1:
+            common = np.minimum.reduceat(shared[: rank[-1] + 1], rank[:-1] + 1)
+            same[1:] = (common >= np.minimum(size[1:], LONG)) & (name[1:] == name[:-1])
+        block = np.cumsum(~same) - 1
+        n = _pages_of(block, of, int(block[-1]) + 1)
+        lead = np.flatnonzero(~same)
+        for i in lead[(n >= PAGES) | spread[of[lead]]].tolist():
+            out.append((part, "block", hosts[of[i]], int(name[i]), int(n[block[i]]), None))
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["part", "kind", "host", "name", "pages", "stream"])
 
 
 def _unique_runs(host: str, stream: str, repeated: np.ndarray) -> str:
     """The stream without its repeated runs: blocks they cover whole, and stretches of ``RUN`` tokens or more in others."""
-    name = window_names(host, stream).view(np.int64)
-    tokens = stream.replace("\n", " \n ").split(" ")
-    hit = np.isin(name, repeated)
+    hit = np.flatnonzero(np.isin(_run_names(_token_hashes(host, stream)).astype(np.int64), repeated))
+    tokens = ["\n", *stream.replace("\n", " \n ").split(" "), "\n"]
     edge = np.zeros(len(tokens) + RUN + 1, np.int64)
-    np.add.at(edge, np.flatnonzero(hit), 1)
-    np.add.at(edge, np.flatnonzero(hit) + RUN, -1)
+    np.add.at(edge, hit, 1)
+    np.add.at(edge, hit + RUN, -1)
     covered = (np.cumsum(edge)[: len(tokens)] > 0).tolist()
-    blocks, start = [], 0
-    for end in [i for i, t in enumerate(tokens) if t == "\n"] + [len(tokens)]:
-        block, gone = tokens[start:end], covered[start:end]
+    blocks, ends = [], [i for i, t in enumerate(tokens) if t == "\n"]
+    for start, end in zip(ends[:-1], ends[1:]):
+        block, gone = tokens[start + 1 : end], covered[start + 1 : end]
         if not all(gone):
             # a run that only reaches over from the block before leaves this block's own words
             block = [t for is_gone, part in groupby(zip(block, gone), key=lambda x: x[1]) for part in [[t for t, _ in part]] if not is_gone or len(part) < RUN for t in part]
             blocks.append(" ".join(block))
-        start = end + 1
     return "\n".join(b for b in blocks if b)
 
 
 def _judged(streams: pa.Table, repeated: pa.Table) -> pa.Table:
-    names = np.sort(repeated["name"].to_numpy()) if repeated.num_rows else np.empty(0, np.int64)
-    hosts, texts = streams["host"].to_pylist(), streams["stream"].to_pylist()
-    out = [_unique_runs(h, s, names) for h, s in zip(hosts, texts)]
-    return pa.table([streams["host"], streams["digest"], pa.array(out, pa.string())], ["host", "digest", "text"])
+    names = np.sort(repeated["run"].to_numpy()) if repeated.num_rows else np.empty(0, np.int64)
+    out = [_unique_runs(h, s, names) for h, s in zip(streams["host"].to_pylist(), streams["stream"].to_pylist())]
+    return pa.table([streams["host"], streams["name"], pa.array(out, pa.string())], ["host", "digest", "text"])
 
 
-def _digest(stream):
-    return F.xxhash64(F.lit(7), stream).bitwiseXOR(F.shiftleft(F.xxhash64(F.lit(8), stream), 1))
+_HOST = r"(?i)^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#:]*)"
 
 
-def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", group_tokens: int = GROUP_TOKENS) -> DataFrame:
+def main_text(
+    pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", group_bytes: int = GROUP_BYTES, broadcast_hosts: int = 100_000
+) -> DataFrame:
     """``(page_id, url, text, n_chars)`` of every row; the text is empty if there is none.
 
     A null or empty page has none. Repeated rows and null ids are kept; a null URL is the host of all such pages; other
-    columns are ignored; an empty table gives no rows. Pages are read whole.
+    columns are ignored; an empty table gives no rows. Pages are read whole. Lists by host are broadcast up to
+    ``broadcast_hosts`` rows.
     """
+
+    def bounded(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= broadcast_hosts else df
+
     kind = pages.schema[page_id].dataType.simpleString()
     raw = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html"))
-    # in both passes a page is parsed where it is read; only streams are shuffled
-    seen = raw.select("url", "html").mapInArrow(_streams, "host string, stream string, open boolean, tokens long")
-    streams = seen.groupBy("host", _digest("stream").alias("digest")).agg(
-        F.first("stream").alias("stream"), F.max("open").alias("open"), F.first("tokens").alias("tokens")
-    )
-    streams = written(streams, "streams")
-    sizes = written(streams.groupBy("host").agg(F.sum("tokens").alias("size")), "hosts")
-    total = sizes.agg(F.sum("size")).first()[0] or 0
-    groups = max(1, -(-total // group_tokens))
-    large = sizes.where(F.col("size") > group_tokens)  # at most `groups` of them
-    parts = F.ceil(F.coalesce("size", F.lit(1)) / group_tokens)
-    dealt = streams.join(large if groups > 100_000 else F.broadcast(large), "host", "left").select(
-        "host", "digest", "stream", "open", F.pmod(F.xxhash64("host", F.pmod(F.col("digest"), parts)), F.lit(groups)).alias("part")
-    )
-    names = written(dealt.groupBy("part").applyInArrow(_repeats, "part long, name long, pages long"), "suffixes")
-    common = names.groupBy("name").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= PAGES).select("name")
-    judged = (
-        dealt.where("open")
-        .groupBy("part")
-        .cogroup(names.select("part", "name").join(common, "name").groupBy("part"))
-        .applyInArrow(lambda a, b: _judged(a, b), "host string, digest long, text string")
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST, 1))
+    sizes = written(raw.groupBy(host.alias("host")).agg(F.sum(F.octet_length("html")).alias("size")), "hosts")
+    groups = 1 + (sizes.agg(F.sum("size")).first()[0] or 0) // group_bytes
+    parts = F.ceil(F.coalesce("size", F.lit(1)) / group_bytes)
+    # pages are parsed where they are read, in both passes; their streams are shuffled once, copies to one group
+    seen = raw.select("url", "html").mapInArrow(_streams, "host string, digest long, stream string, main long")
+    dealt = seen.join(bounded(sizes.where(F.col("size") > group_bytes)), "host", "left").select(
+        "host", "digest", "stream", "main", F.col("size").isNotNull().alias("large"), F.pmod(F.xxhash64("host", F.pmod("digest", parts)), F.lit(groups)).alias("part")
     )
-    read = raw.mapInArrow(_extracted, f"page_id {kind}, url string, text string, host string, stream string")
-    settled = read.where("stream IS NULL").select("page_id", "url", "text")
-    left = read.where("stream IS NOT NULL").select("page_id", "url", "host", _digest("stream").alias("digest"))
+    shape = "part long, kind string, host string, name long, pages long, stream string"
+    found = written(dealt.groupBy("part").applyInArrow(_group_evidence, shape), "evidence")
+
+    common = found.where("kind = 'run'").groupBy("name").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= PAGES).select("name")
+    runs = found.where("kind = 'run'").select(F.col("part").alias("at"), F.col("name").alias("run"))
+    runs = runs.join(common.select(F.col("name").alias("run")), "run")
+    judged = found.where("kind = 'open'").select("part", "host", "name", "stream").groupBy("part").cogroup(runs.groupBy("at")).applyInArrow(lambda a, b: _judged(a, b), "host string, digest long, text string")
+
+    host_pages = found.where("kind = 'host'").groupBy("host").agg(F.sum("pages").alias("of")).where(F.col("of") >= HOST_PAGES)
+    template = found.where("kind = 'block'").groupBy("host", "name").agg(F.sum("pages").alias("pages")).join(host_pages, "host")
+    template = written(template.where(F.col("pages") * 2 > F.col("of")).groupBy("host").agg(F.collect_set("name").alias("gone")), "templates")
+
+    read = raw.mapInArrow(_extracted, f"page_id {kind}, url string, text string, host string, digest long")
+    blocks = F.filter(F.split("text", "\n"), lambda b: ~F.array_contains("gone", F.xxhash64("host", b)))
+    settled = read.where("digest IS NULL").join(bounded(template), "host", "left")
+    settled = settled.select("page_id", "url", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(blocks, "\n")).alias("text"))
+    left = read.where("digest IS NOT NULL").select("page_id", "url", "host", "digest")
     told = settled.unionByName(left.join(judged, ["host", "digest"], "left").select("page_id", "url", F.coalesce("text", F.lit("")).alias("text")))
     return told.select(F.col("page_id").alias(page_id), F.col("url").alias(url), "text", F.char_length("text").cast("long").alias("n_chars"))
 

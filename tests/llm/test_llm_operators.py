@@ -302,7 +302,7 @@ def test_main_text_of_hosts(spark):
     rows += [(10, "http://h.com/10", rows[0][2]), (11, "http://solo.com/", rows[0][2]), (12, None, None), (None, "http://h.com/9", ""), (13, "http://h.com/13", page("<article>Whole</article>" + menu))]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
     for size in (1_000_000, 20):  # one group, and one for nearly every page
-        got = {r["page_id"]: r["text"] for r in main_text.main_text(df, group_tokens=size).collect()}
+        got = {r["page_id"]: r["text"] for r in main_text.main_text(df, group_bytes=size).collect()}
         assert all(got[i] == f"unique words of page number {i} stand here alone" for i in range(6))
         assert got[10] == got[0] and got[13] == "Whole" and got[12] == "" and got[None] == ""
         assert got[11].startswith("Home and other places")
@@ -330,6 +330,75 @@ def nearest_found(df):
     return lists
 
 
+def test_suffix_array():
+    rng = np.random.default_rng(3)
+    for n, kinds in ((0, 1), (1, 1), (40, 1), (400, 2), (2000, 50)):
+        tokens = rng.integers(0, kinds, n).astype(np.uint64)
+        order, shared = main_text.suffix_array(tokens)
+        suffixes = [tuple(tokens[i:].tolist()) for i in order]
+        assert suffixes == sorted(suffixes) and sorted(order.tolist()) == list(range(n))
+        for k in range(1, n):
+            a, b = suffixes[k - 1], suffixes[k]
+            same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            assert shared[k] == min(same, main_text.LONG)
+
+
+def test_repeats_in_articles(spark):
+    """What most pages of a host show inside their articles goes; passages that some of them share stay."""
+    passage = "a passage of many words that three of the twelve pages quote in full and nobody may drop from them"
+    rows = []
+    for i in range(12):
+        quote = f"<p>{passage}</p>" if i % 4 == 0 else ""
+        rows.append((i, f"http://h.com/{i}", page(f"<article><p>Page {i} has its own words about number {i}.</p><p>Subscribe to our newsletter</p>{quote}<p>The end of {i}.</p></article>")))
+    rows += [(50, "http://h.com/50", rows[0][2]), (60, "http://few.com/1", rows[1][2])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for size in (1_000_000, 300):
+        got = {r["page_id"]: r["text"].split("\n") for r in main_text.main_text(df, group_bytes=size).collect()}
+        for i in range(12):
+            assert got[i] == [f"Page {i} has its own words about number {i}.", *([passage] if i % 4 == 0 else []), f"The end of {i}."]
+        assert got[50] == got[0] and "Subscribe to our newsletter" in got[60]
+
+
+def test_repeated_runs_of_open_pages_by_hand(spark):
+    """Against all windows of eight tokens, counted over distinct pages."""
+    rng = np.random.default_rng(9)
+    shared = [" ".join(rng.choice(["x", "y", "z", "w", "v"], 12)) for _ in range(6)]
+    rows = []
+    for i in range(25):
+        blocks = [f"own {i} " + " ".join(f"u{i}x{k}" for k in range(int(rng.integers(3, 12)))) for _ in range(3)]
+        blocks += [str(s) for s in rng.choice(shared, 2)]
+        rng.shuffle(blocks)
+        rows.append((i, "http://h.com/", "<body>" + "".join(f"<div>{b}</div>" for b in blocks) + "</body>"))
+    rows += rows[:4]
+    streams = {i: ["\n", *" \n ".join(main_text.parse(h)[1]).split(" "), "\n"] for i, _, h in rows}
+    windows = collections.Counter(w for t in {tuple(t) for t in streams.values()} for w in {t[k : k + 8] for k in range(len(t) - 7)})
+
+    def left(tokens):
+        gone = [any(windows.get(tuple(tokens[k : k + 8]), 0) >= 3 for k in range(max(0, i - 7), i + 1) if k + 8 <= len(tokens)) for i in range(len(tokens))]
+        out, block = [], []
+        for t, g in [*zip(tokens[1:], gone[1:])]:
+            if t != "\n":
+                block.append((t, g))
+                continue
+            kept, i = [], 0
+            while i < len(block):
+                j = i
+                while j < len(block) and block[j][1] == block[i][1]:
+                    j += 1
+                if not block[i][1] or j - i < 8 and not all(x for _, x in block):
+                    kept += [w for w, _ in block[i:j]]
+                i = j
+            if kept:
+                out.append(" ".join(kept))
+            block = []
+        return "\n".join(out)
+
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    for size in (1_000_000, 400):
+        for r in main_text.main_text(df, group_bytes=size).collect():
+            assert r["text"] == left(streams[r["page_id"]])
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     base = np.round(rng.normal(size=(300, 8)), 1)
