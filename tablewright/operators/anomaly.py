@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tablewright.functions.quantiles import quantiles
 from tablewright.functions.scalars import as_column, measure
 from tablewright.operators.profile import fit_moments
+from tablewright.session import scratch_path
 
 # Forest size, sample per tree, share flagged, seed.
 TREES = 100
@@ -167,8 +168,11 @@ def isolation_forest(
     nodes = grow_forest(samples, features, seed).toPandas()  # at most trees * 511 nodes
     score = _scorer(df.sparkSession, nodes, min(tree_rows, rows))
     scored = prepared.withColumn("_score", score(*[F.col(f) for f in features])).drop(*features)
-    # the search for the cut reads a column of scores; the table itself is scored as the caller reads it
-    offset = quantiles(scored.select("_score").checkpoint(), ["_score"], [contamination], exact)["_score"][0]
+    # rows are scored once: the search for the cut and the result read what is written here
+    path = scratch_path(df.sparkSession, "scores")
+    scored.write.parquet(path)
+    scored = df.sparkSession.read.schema(scored.schema).parquet(path)
+    offset = quantiles(scored, ["_score"], [contamination], exact)["_score"][0]
     value = F.col("_score") - F.lit(offset)
     return scored.withColumn("anomaly_score", value).withColumn("is_anomaly", value < 0).drop("_score")
 
