@@ -22,6 +22,7 @@ from tablewright.llm.common import table, written
 
 RANGE_BITS = 17  # a range holds this many row numbers at most, as a power of two
 STRETCH = 256
+HOT_COPIES, HOT_TEXTS = 1_000, 100_000
 MIN_WORDS, DISTINCT_PERCENT, CAPITAL_PERCENT = 50, 65, 5
 CAPITALS, MARKS = bytes(range(65, 91)), b"#$%&*|"
 
@@ -175,9 +176,14 @@ def judged(documents: DataFrame, labels: DataFrame) -> DataFrame:
     kind = documents.schema["doc_id"].dataType.simpleString()
     told = rows.mapInArrow(_judged, f"doc_id {kind}, part string, A boolean, B boolean, C boolean, D boolean, text binary")
     told = written(told.withColumn("row", F.monotonically_increasing_id()), "judged")
-    first = told.groupBy("text").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = written(told.groupBy("text").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated-texts")
+    # texts with very many copies are broadcast, of which there are HOT_TEXTS at most, so that no task gets all their rows
+    many = max(HOT_COPIES, told.count() // HOT_TEXTS)
+    hot = F.broadcast(first.where(F.col("n") > many).select("text", "first"))
+    rest = first.where(F.col("n") <= many).select("text", "first")
+    told = told.join(hot, "text").unionByName(told.join(hot, "text", "left_anti").join(rest, "text", "left"))
     marks = labels.groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
-    out = told.join(first, "text", "left").join(marks, "doc_id", "left")
+    out = told.join(marks, "doc_id", "left")
     later: Column = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
     return written(out.select("row", "part", "A", "B", "C", "D", later.alias("E"), "good", "toxic"), "audit-facts")
 
