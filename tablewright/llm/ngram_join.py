@@ -39,8 +39,8 @@ REDRAWS = 6
 SHARD_SIGNATURES = 1_000_000
 HELD = 500_000  # signatures that a task sorts at a time
 CROWD = 64  # nodes with one signature among those from which the signature counts as crowded
-BUCKETS = 64
-PAIRS = 100_000  # looked at together in a tile
+MIN_BUCKET_BITS = 6  # of hashes that number the buckets in which they are counted, at least
+NUMBERS = 1 << 22  # bucket counts subtracted at a time
 BATCH = 8 << 20  # bytes of a batch that a Python function gets
 BLOCK = 500  # nodes of a side of a tile
 BROADCAST_ROWS = 1_000_000  # of one long each
@@ -226,7 +226,7 @@ def _signed_entries(shards: int, crowd: int):
 
 
 def _shared_entries(shard: pa.Table) -> pa.Table:
-    """The entries whose signature occurs more than once."""
+    """The entries whose signature occurs more than once, with the number of those at hand."""
     raw = b"".join(shard["signatures"].to_pylist())
     node = np.frombuffer(b"".join(shard["nodes"].to_pylist()), np.int64)
     if shard["salt"][0].as_py():
@@ -243,7 +243,8 @@ def _shared_entries(shard: pa.Table) -> pa.Table:
         keep[:-1] |= same
         keep &= node >= 0
         sig, node = sig[keep], node[keep]
-    return pa.table({"signature": pa.array(sig.view(np.int64)), "node": pa.array(node)})
+    _, at, met = np.unique(sig, return_inverse=True, return_counts=True)
+    return pa.table({"signature": pa.array(sig.view(np.int64)), "node": pa.array(node), "met": pa.array(met[at])})
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,27 +260,44 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Set size and bucket counts of each node."""
+    """Set size and bucket counts of each node; a node has about as many buckets as hashes, a power of two."""
     for batch in batches:
         for at, data, offsets in byte_slices(batch.column(1)):
             rows = len(offsets) - 1
             h, row = shingle_hashes(data, offsets)
-            counts = np.bincount(row * BUCKETS + (h % np.uint64(BUCKETS)).astype(np.int64), minlength=rows * BUCKETS)
-            counts = np.minimum(counts, 65_535).astype("<u2").reshape(rows, BUCKETS)
-            columns = [batch.column(0).slice(at, rows), pa.array(np.bincount(row, minlength=rows)), pa.array([c.tobytes() for c in counts], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "counts"])
+            n = np.bincount(row, minlength=rows)
+            cut = np.concatenate([[0], np.cumsum(n)])
+            counts = []
+            for i in range(rows):
+                buckets = 1 << max(MIN_BUCKET_BITS, int(n[i]).bit_length())
+                found = np.bincount((h[cut[i] : cut[i + 1]] % np.uint64(buckets)).astype(np.int64), minlength=buckets)
+                counts.append(np.minimum(found, 255).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), pa.array(n), pa.array(counts, pa.binary())], ["node", "n", "counts"])
+
+
+def _folded(counts: bytes, buckets: int) -> np.ndarray:
+    """Counts of fewer buckets."""
+    found = np.frombuffer(counts, np.uint8).astype(np.int16)
+    return found.reshape(-1, buckets).sum(axis=0, dtype=np.int16) if len(found) > buckets else found
 
 
-def _matrix(counts: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(counts.to_pylist()), "<u2").reshape(-1, BUCKETS).astype(np.int32)
+def _ruled_out(x: list[bytes], y: list[bytes], most: np.ndarray) -> np.ndarray:
+    """Pairs whose bucket counts differ by more than ``most``: then so do their sets."""
+    out = np.zeros(len(x), bool)
+    for i, (a, b) in enumerate(zip(x, y)):
+        buckets = min(len(a), len(b))
+        out[i] = np.abs(_folded(a, buckets) - _folded(b, buckets)).sum() > most[i]
+    return out
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose sizes and bucket counts do not rule them out."""
     for batch in batches:
         a, b, m, n, x, y = batch.columns
-        apart = np.abs(_matrix(x) - _matrix(y)).sum(axis=1)
-        at = pa.array(np.flatnonzero(9 * apart <= m.to_numpy() + n.to_numpy()))
+        m, n = m.to_numpy(), n.to_numpy()
+        fit = np.flatnonzero((4 * n <= 5 * m) & (4 * m <= 5 * n))
+        left = ~_ruled_out(x.take(pa.array(fit)).to_pylist(), y.take(pa.array(fit)).to_pylist(), (m + n)[fit] // 9)
+        at = pa.array(fit[left])
         yield pa.RecordBatch.from_arrays([a.take(at), b.take(at)], ["a", "b"])
 
 
@@ -308,57 +326,62 @@ def _sides(pairs: DataFrame, of: DataFrame, columns: dict[str, tuple[str, str]])
     return pairs.join(right, "b").join(left, "a").select("a", "b", *[c for both in columns.values() for c in both])
 
 
-def _open_pairs(rows: dict[str, np.ndarray], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes of one tile, of different components, that sizes and bucket counts do not rule out.
+def _apart(counts: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """By how much the counts of pairs of rows differ."""
+    out, step = np.empty(len(x), np.int64), max(1, NUMBERS // counts.shape[1])
+    for at in range(0, len(x), step):
+        out[at : at + step] = np.abs(counts[x[at : at + step]] - counts[y[at : at + step]]).sum(axis=1)
+    return out
 
-    ``first`` marks the first row of each tile; rows of a tile stand together, by size.
-    """
-    node, root, n, counts, side = (rows[c] for c in ("node", "root", "n", "counts", "block"))
-    across = rows["i"] != rows["j"]
-    start = np.flatnonzero(first)
-    end = np.repeat(np.append(start[1:], len(node)), np.diff(np.append(start, len(node))))
-    left = end - np.arange(len(node)) - 1  # rows after this one in its tile
-    a, b, at = [], [], 0
-    upto = np.cumsum(left)
-    while at < len(node):
-        # as many rows as have a bounded number of pairs together, one at least
-        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
-        x = np.repeat(np.arange(at, stop), left[at:stop])
-        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(left[at:stop]) - left[at:stop], left[at:stop])
-        keep = (root[x] != root[y]) & (4 * n[y] <= 5 * n[x]) & (~across[x] | (side[x] != side[y]))
-        x, y = x[keep], y[keep]
-        keep = 9 * np.abs(counts[x] - counts[y]).sum(axis=1) <= n[x] + n[y]
-        a.append(np.minimum(node[x[keep]], node[y[keep]]))
-        b.append(np.maximum(node[x[keep]], node[y[keep]]))
-        at = stop
-    return np.concatenate(a), np.concatenate(b)
 
+def _open_pairs(node: np.ndarray, root: np.ndarray, n: np.ndarray, side: np.ndarray, across: bool, counts: list[bytes]) -> np.ndarray:
+    """Pairs of nodes of one tile, of different components, that sizes and bucket counts do not rule out."""
+    x, y = np.triu_indices(len(node), 1)
+    keep = (root[x] != root[y]) & (4 * n[y] <= 5 * n[x]) & (4 * n[x] <= 5 * n[y])
+    if across:
+        keep &= side[x] != side[y]
+    x, y = x[keep], y[keep]
+    if len(x):
+        # sizes of nodes with a common signature are alike, and so are their numbers of buckets
+        buckets = min(map(len, counts))
+        fine = np.stack([_folded(c, buckets) for c in counts])
+        for level in (fine.reshape(len(node), -1, 1 << MIN_BUCKET_BITS).sum(axis=1, dtype=np.int32), fine):
+            keep = 9 * _apart(level, x, y) <= n[x] + n[y]
+            x, y = x[keep], y[keep]
+    return np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1)
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come in order of their tiles, and of sizes inside; a tile that ends a batch waits for the next."""
-    names = ("signature", "i", "j", "n", "node", "root", "block", "counts")
 
-    def told(rows: dict[str, np.ndarray], first: np.ndarray) -> pa.RecordBatch:
-        a, b = _open_pairs(rows, first)
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come in order of their tiles; a tile that ends a batch waits for the next."""
+    names = ("signature", "i", "j", "n", "node", "root", "block")
+
+    def told(rows: dict[str, np.ndarray], counts: list[bytes], first: np.ndarray) -> pa.RecordBatch:
+        cut = np.append(np.flatnonzero(first), len(first))
+        found = [np.empty((0, 2), np.int64)]
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            one = {c: rows[c][a:b] for c in names}
+            found.append(_open_pairs(one["node"], one["root"], one["n"], one["block"], bool(one["i"][0] != one["j"][0]), counts[a:b]))
         # of a pair that several tiles hold one is enough
-        pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
+        pairs = np.unique(np.concatenate(found), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     held: dict[str, np.ndarray] | None = None
+    kept: list[bytes] = []
     for batch in batches:
-        rows = {c: _matrix(batch.column(k)) if c == "counts" else batch.column(k).to_numpy() for k, c in enumerate(names)}
+        rows = {c: batch.column(k).to_numpy() for k, c in enumerate(names)}
         if held is not None:
             rows = {c: np.concatenate([held[c], rows[c]]) for c in names}
-        if not len(rows["node"]):
+        counts = kept + batch.column(len(names)).to_pylist()
+        if not counts:
             continue
-        first = np.ones(len(rows["node"]), bool)
+        first = np.ones(len(counts), bool)
         first[1:] = np.any([rows[c][1:] != rows[c][:-1] for c in ("signature", "i", "j")], axis=0)
         cut = int(np.flatnonzero(first)[-1])
         if cut:
-            yield told({c: rows[c][:cut] for c in names}, first[:cut])
-        held = {c: rows[c][cut:] for c in names}
+            yield told({c: rows[c][:cut] for c in names}, counts[:cut], first[:cut])
+        held, kept = {c: rows[c][cut:] for c in names}, counts[cut:]
     if held is not None:
-        yield told(held, np.arange(len(held["node"])) == 0)
+        yield told(held, kept, np.arange(len(kept)) == 0)
 
 
 def _placed(shared: DataFrame, member: DataFrame, block: int) -> DataFrame:
@@ -402,10 +425,9 @@ def components(rows: DataFrame, block: int = BLOCK, shard_signatures: int = SHAR
     others = written(marks.join(same.select(F.col("node").alias("row")), "row", "left_anti").select(F.col("row").alias("node")), "copies")
     own = texts.join(bounded(others), "node", "left_anti")
     entries = own.mapInArrow(_signed_entries(1 + total // shard_signatures, crowd), "shard long, salt long, signatures binary, nodes binary")
-    shared = written(entries.groupBy("shard", "salt").applyInArrow(_shared_entries, "signature long, node long"), "shared-signatures", BATCH)
+    shared = written(entries.groupBy("shard", "salt").applyInArrow(_shared_entries, "signature long, node long, met long"), "shared-signatures", BATCH)
 
-    met = shared.groupBy("signature").agg(F.count(F.lit(1)).alias("nodes"))
-    weight = shared.join(met, "signature").groupBy("node").agg(F.sum("nodes").alias("weight"))
+    weight = shared.groupBy("node").agg(F.sum("met").alias("weight"))
     weighed = shared.join(weight, "node")
     leaders = weighed.groupBy("signature").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus")))["minus"].alias("minus"))
     stars = shared.join(leaders.select("signature", (-F.col("minus")).alias("a")), "signature").where("a != node")
@@ -418,13 +440,19 @@ def components(rows: DataFrame, block: int = BLOCK, shard_signatures: int = SHAR
 
     placed = written(_placed(shared, member, block), "open-signatures")
     tile = ["signature", "i", "j"]
-    rest = placed.join(looks, "node").repartition(*tile).sortWithinPartitions(*tile, "n").select(*tile, "n", "node", "root", "block", "counts")
+    rest = placed.join(looks, "node").repartition(*tile).sortWithinPartitions(*tile).select(*tile, "n", "node", "root", "block", "counts")
     rest = rest.mapInArrow(_tiles, "a long, b long").distinct()
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = written(rest.join(tried, ["a", "b"], "left_anti"), "open-pairs", BATCH)
+    rest = written(rest.join(tried, ["a", "b"], "left_anti"), "open-pairs")
+    rooted = same.join(member, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     if rest.limit(1).count():
-        member = connected_components(links.unionByName(links_of(rest, "open")))
-    of_set = written(same.join(member, "node", "left").select("digest", F.coalesce("root", "node").alias("root")), "roots")
+        # only components that these links bring together are named anew
+        ends = [member.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b")]
+        across = links_of(rest, "open").join(ends[0], "a", "left").join(ends[1], "b", "left")
+        across = across.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+        upper = connected_components(written(across.where("a != b").distinct(), "open-components"))
+        rooted = rooted.join(upper.select(F.col("node").alias("root"), F.col("root").alias("upper")), "root", "left").select("digest", F.coalesce("upper", "root").alias("root"))
+    of_set = written(rooted, "roots")
     return marks.join(of_set, "digest", "left").select("row", "n", "root")
 
 
