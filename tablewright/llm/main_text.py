@@ -223,11 +223,22 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], *more], ["page_id", "url", "text", "host", "digest"])
 
 
-def _token_hashes(host: str, stream: str) -> np.ndarray:
+class _Hashes(dict):
+    """Numbers of a host's tokens, each worked out once."""
+
+    def __init__(self, host: str):
+        super().__init__()
+        self.seed = xxhash.xxh64_intdigest(host)
+
+    def __missing__(self, token: str) -> int:
+        found = self[token] = xxhash.xxh64_intdigest(token, self.seed)
+        return found
+
+
+def _token_hashes(hashes: _Hashes, stream: str) -> np.ndarray:
     """A number for each token of a stream, a block end in front and after every block."""
-    seed = xxhash.xxh64_intdigest(host)
     tokens = ["\n", *stream.replace("\n", " \n ").split(" "), "\n"]
-    return np.fromiter((xxhash.xxh64_intdigest(t, seed) for t in tokens), np.uint64, len(tokens))
+    return np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens))
 
 
 def _run_names(tokens: np.ndarray) -> np.ndarray:
@@ -242,15 +253,20 @@ def _run_names(tokens: np.ndarray) -> np.ndarray:
 def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes in order, and how many tokens each shares with the one before, up to ``LONG``.
 
-    Prefix doubling: suffixes are sorted by their first token, then those that tie by twice as many, until none do or
-    the common prefix is longer than anything that is measured.
+    Prefix doubling: suffixes are sorted by their first three tokens, then those that tie by twice as many, until none
+    do or the common prefix is longer than anything that is measured.
     """
     n = len(tokens)
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    order = np.argsort(tokens, kind="stable")
-    new = np.append(True, np.diff(tokens[order]) != 0)
-    rank, width = np.empty(n, np.int64), 1
+    kinds, number = np.unique(tokens, return_inverse=True)
+    first, width = number + 1, 1
+    if len(kinds) < 1 << 20:  # three numbers fit into one; 0 stands for the end
+        padded, width = np.append(first, [0, 0]), 3
+        first = padded[:-2] << 42 | padded[1:-1] << 21 | padded[2:]
+    order = np.argsort(first, kind="stable")
+    new = np.append(True, np.diff(first[order]) != 0)
+    rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     while width < LONG:
         first = rank[order]
@@ -293,9 +309,9 @@ def _group_evidence(key: tuple, rows: pa.Table) -> pa.Table:
     out += [(part, "host", h, 0, n, None) for h, n in Counter(hosts).items()]
     out += [(part, "open", h, d, 1, stream[i]) for (h, d), i in pages if not main[i]]
     tokens, page, shell, starts = [], [], [], []
-    total = 0
+    hashes, total = {h: _Hashes(h) for h in set(hosts)}, 0
     for p, ((h, _), i) in enumerate(pages):
-        mine = _token_hashes(h, stream[i])
+        mine = _token_hashes(hashes[h], stream[i])
         ends = np.flatnonzero(mine == mine[0])
         where = int(ends[main[i]])  # the end of the article's last block
         tokens += [mine, np.array([p], np.uint64)]  # a mark of its own ends every page
@@ -308,7 +324,11 @@ def _group_evidence(key: tuple, rows: pa.Table) -> pa.Table:
     order, shared = suffix_array(tokens)
     # suffixes that share RUN tokens with the one before go on with its run
     run = np.cumsum(shared < RUN) - 1
-    count = _pages_of(run, page[order], int(run[-1]) + 1)
+    count = np.ones(int(run[-1]) + 1, np.int64)
+    several = np.flatnonzero((shared >= RUN) | np.append(shared[1:] >= RUN, False))
+    if len(several):
+        counted = _pages_of(run[several], page[order[several]], len(count))
+        count[counted > 0] = counted[counted > 0]
     names, long = _run_names(tokens), len(tokens) - RUN + 1
     wanted = np.flatnonzero(shell[order] & (order < long) & ((count[run] >= PAGES) | spread[page[order]]))
     _, at = np.unique(run[wanted], return_index=True)
@@ -336,7 +356,7 @@ def _group_evidence(key: tuple, rows: pa.Table) -> pa.Table:
 
 def _unique_runs(host: str, stream: str, repeated: np.ndarray) -> str:
     """The stream without its repeated runs: blocks they cover whole, and stretches of ``RUN`` tokens or more in others."""
-    hit = np.flatnonzero(np.isin(_run_names(_token_hashes(host, stream)).astype(np.int64), repeated))
+    hit = np.flatnonzero(np.isin(_run_names(_token_hashes(_Hashes(host), stream)).astype(np.int64), repeated))
     tokens = ["\n", *stream.replace("\n", " \n ").split(" "), "\n"]
     edge = np.zeros(len(tokens) + RUN + 1, np.int64)
     np.add.at(edge, hit, 1)
@@ -399,10 +419,10 @@ def main_text(
 
     read = raw.mapInArrow(_extracted, f"page_id {kind}, url string, text string, host string, digest long")
     blocks = F.filter(F.split("text", "\n"), lambda b: ~F.array_contains("gone", F.xxhash64("host", b)))
-    settled = read.where("digest IS NULL").join(bounded(template), "host", "left")
-    settled = settled.select("page_id", "url", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(blocks, "\n")).alias("text"))
-    left = read.where("digest IS NOT NULL").select("page_id", "url", "host", "digest")
-    told = settled.unionByName(left.join(judged, ["host", "digest"], "left").select("page_id", "url", F.coalesce("text", F.lit("")).alias("text")))
+    judged = written(judged.select("host", "digest", F.col("text").alias("runs")), "open-pages")
+    read = read.join(bounded(judged), ["host", "digest"], "left").join(bounded(template), "host", "left")
+    settled = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(blocks, "\n"))
+    told = read.select("page_id", "url", F.coalesce("runs", settled, F.lit("")).alias("text"))
     return told.select(F.col("page_id").alias(page_id), F.col("url").alias(url), "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
