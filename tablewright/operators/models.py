@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 
@@ -40,7 +41,8 @@ SVM_COMPONENTS, SVM_ITERATIONS, SVM_TOLERANCE = 100, 50, 1e-3
 FOLDS = 5
 
 MAX_CLASSES = 1000  # classes a target may have
-FIT_PARTITIONS = 8  # one layout of training rows at every size; raise it with the table
+FIT_PARTITIONS = 8  # tasks per fitting step, at least
+FIT_NUMBERS = 1 << 23  # numbers that a fit keeps for the rows of one task; larger tables get more tasks
 
 ALGORITHMS = (
     ("decision_tree", "Decision Tree", "one tree of threshold tests", "classes with clear decision rules"),
@@ -202,6 +204,14 @@ def apply_model(model: Model | PipelineModel, df: DataFrame, labels: Sequence[st
     ).withColumn("confidence", F.array_max("probabilities"))
 
 
+def fit_partitions(rows: int, width: int, least: int = FIT_PARTITIONS) -> int:
+    """How many tasks fit a table of ``rows`` rows of ``width`` features; grows with the table from ``least`` on.
+
+    Besides its features, a row is kept with its cosine features, or with how often each tree draws it.
+    """
+    return max(least, math.ceil(rows * (width + max(SVM_COMPONENTS, FOREST_TREES)) / FIT_NUMBERS))
+
+
 def fit_layout(df: DataFrame, key: str, partitions: int = FIT_PARTITIONS) -> DataFrame:
     """Rows dealt by the hash of their key and ordered in each partition.
 

@@ -80,7 +80,7 @@ def train(
 ) -> Trained:
     """Fit on a stratified share of the rows, evaluate on the rest, predict all rows.
 
-    ``partitions``: tasks per fitting step, whatever the size of the table; raise it for large tables.
+    ``partitions``: tasks per fitting step, at least; large tables get more, by their rows and features.
     """
     spark = df.sparkSession
     names = usable_features(df, features or training_features(df.drop(key), target))
@@ -91,6 +91,7 @@ def train(
     classes = list(indexer.labels)
     ready = indexer.transform(labelled).select(KEY, TARGET, "features", "label_code")
     split = adaptive_split(ready, TARGET, [KEY]) if adaptive else stratified_split(ready, TARGET, [KEY])
+    partitions = M.fit_partitions(ready.count(), len(used), partitions)
     split = M.fit_layout(split, KEY, partitions).persist()
     sizes = split.groupBy("is_test").count().collect()
     n_train = sum(r["count"] for r in sizes if not r["is_test"])

@@ -93,3 +93,19 @@ def test_a_key_is_no_class_label(spark):
     with pytest.raises(ValueError, match="more than 10 classes"):
         models.index_target(df, "label", max_classes=10)
     assert len(models.index_target(df, "label", max_classes=30).labels) == 30
+
+
+@pytest.mark.parametrize("algorithm", ["svm", "decision_tree"])
+def test_fits_get_more_tasks_with_the_table(labelled, monkeypatch, algorithm):
+    assert models.fit_partitions(50_000, 2) == 8 and models.fit_partitions(36_000_000, 2) > 400
+    dealt, layout = [], models.fit_layout
+
+    def seen(df, key, partitions):
+        out = layout(df, key, partitions)
+        dealt.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(models, "FIT_NUMBERS", 50 * 102)
+    monkeypatch.setattr(models, "fit_layout", seen)
+    result = training.train(labelled, "kind", "row_id", ["x", "y"], algorithm, cross_validation=False)
+    assert dealt == [12] and result.metrics.first()["accuracy"] > 0.9
