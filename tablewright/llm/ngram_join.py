@@ -40,6 +40,7 @@ SHARD_SIGNATURES = 1_000_000
 HELD = 500_000  # signatures that a task sorts at a time
 CROWD = 64  # nodes with one signature among those from which the signature counts as crowded
 MIN_BUCKET_BITS = 6  # of hashes that number the buckets in which they are counted, at least
+MOST_COUNTED = 15  # in a bucket; two counts are a byte
 NUMBERS = 1 << 22  # bucket counts subtracted at a time
 BATCH = 8 << 20  # bytes of a batch that a Python function gets
 BLOCK = 500  # nodes of a side of a tile
@@ -225,26 +226,39 @@ def _signed_entries(shards: int, crowd: int):
     return run
 
 
-def _shared_entries(shard: pa.Table) -> pa.Table:
-    """The entries whose signature occurs more than once, with the number of those at hand."""
-    raw = b"".join(shard["signatures"].to_pylist())
-    node = np.frombuffer(b"".join(shard["nodes"].to_pylist()), np.int64)
-    if shard["salt"][0].as_py():
-        sig = np.frombuffer(raw, np.uint64)
-    else:
-        whole = np.zeros((len(node), 8), np.uint8)
-        whole[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-        sig = whole.view(np.uint64).ravel() | np.uint64(shard["shard"][0].as_py() << 48 & (1 << 64) - 1)
-        order = np.argsort(sig, kind="stable")
+def _shared_entries(crowd: int):
+    def run(shard: pa.Table) -> pa.Table:
+        """Nodes by signature, of signatures that occur more than once. ``whole`` rows have all nodes of their signature;
+        those of larger or crowded signatures come one by one, with the number of those at hand."""
+        raw = b"".join(shard["signatures"].to_pylist())
+        node = np.frombuffer(b"".join(shard["nodes"].to_pylist()), np.int64)
+        plain = not shard["salt"][0].as_py()
+        if plain:
+            bytes_ = np.zeros((len(node), 8), np.uint8)
+            bytes_[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+            sig = bytes_.view(np.uint64).ravel() | np.uint64(shard["shard"][0].as_py() << 48 & (1 << 64) - 1)
+        else:
+            sig = np.frombuffer(raw, np.uint64)
+        order = np.lexsort((node, sig))
         sig, node = sig[order], node[order]
         same = sig[1:] == sig[:-1]
         keep = np.zeros(len(sig), bool)
         keep[1:] |= same
         keep[:-1] |= same
-        keep &= node >= 0
+        keep |= not plain
         sig, node = sig[keep], node[keep]
-    _, at, met = np.unique(sig, return_inverse=True, return_counts=True)
-    return pa.table({"signature": pa.array(sig.view(np.int64)), "node": pa.array(node), "met": pa.array(met[at])})
+        new = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])[: len(sig)])
+        size = np.diff(np.append(new, len(sig)))
+        # nodes are in order, so an entry that stands for a crowd comes first
+        whole = plain & (size <= crowd) & (node[new] >= 0)
+        met = size - np.add.reduceat((node < 0).astype(np.int64), new) if len(new) else size
+        own = node >= 0
+        sig, node, whole, met = sig[own], node[own], np.repeat(whole, size)[own], np.repeat(met, size)[own]
+        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])[: len(sig)] | ~whole)
+        nodes = pa.ListArray.from_arrays(pa.array(np.append(first, len(node)).astype(np.int32)), pa.array(node))
+        return pa.table({"signature": pa.array(sig[first].view(np.int64)), "nodes": nodes, "met": pa.array(met[first]), "whole": pa.array(whole[first])})
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +274,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Set size and bucket counts of each node; a node has about as many buckets as hashes, a power of two."""
+    """Set size and bucket counts of each node; a node has half as many buckets as hashes or more, a power of two."""
     for batch in batches:
         for at, data, offsets in byte_slices(batch.column(1)):
             rows = len(offsets) - 1
@@ -269,15 +283,22 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = np.concatenate([[0], np.cumsum(n)])
             counts = []
             for i in range(rows):
-                buckets = 1 << max(MIN_BUCKET_BITS, int(n[i]).bit_length())
+                buckets = 1 << max(MIN_BUCKET_BITS, int(n[i]).bit_length() - 1)
                 found = np.bincount((h[cut[i] : cut[i + 1]] % np.uint64(buckets)).astype(np.int64), minlength=buckets)
-                counts.append(np.minimum(found, 255).astype(np.uint8).tobytes())
+                found = np.minimum(found, MOST_COUNTED).astype(np.uint8)
+                counts.append((found[0::2] | found[1::2] << 4).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), pa.array(n), pa.array(counts, pa.binary())], ["node", "n", "counts"])
 
 
+def _buckets(counts: bytes) -> int:
+    return 2 * len(counts)
+
+
 def _folded(counts: bytes, buckets: int) -> np.ndarray:
-    """Counts of fewer buckets."""
-    found = np.frombuffer(counts, np.uint8).astype(np.int16)
+    """Counts, read from half bytes, of fewer buckets."""
+    found = np.empty(_buckets(counts), np.int16)
+    packed = np.frombuffer(counts, np.uint8)
+    found[0::2], found[1::2] = packed & 15, packed >> 4
     return found.reshape(-1, buckets).sum(axis=0, dtype=np.int16) if len(found) > buckets else found
 
 
@@ -285,7 +306,7 @@ def _ruled_out(x: list[bytes], y: list[bytes], most: np.ndarray) -> np.ndarray:
     """Pairs whose bucket counts differ by more than ``most``: then so do their sets."""
     out = np.zeros(len(x), bool)
     for i, (a, b) in enumerate(zip(x, y)):
-        buckets = min(len(a), len(b))
+        buckets = min(_buckets(a), _buckets(b))
         out[i] = np.abs(_folded(a, buckets) - _folded(b, buckets)).sum() > most[i]
     return out
 
@@ -343,7 +364,7 @@ def _open_pairs(node: np.ndarray, root: np.ndarray, n: np.ndarray, side: np.ndar
     x, y = x[keep], y[keep]
     if len(x):
         # sizes of nodes with a common signature are alike, and so are their numbers of buckets
-        buckets = min(map(len, counts))
+        buckets = min(map(_buckets, counts))
         fine = np.stack([_folded(c, buckets) for c in counts])
         for level in (fine.reshape(len(node), -1, 1 << MIN_BUCKET_BITS).sum(axis=1, dtype=np.int32), fine):
             keep = 9 * _apart(level, x, y) <= n[x] + n[y]
@@ -425,7 +446,12 @@ def components(rows: DataFrame, block: int = BLOCK, shard_signatures: int = SHAR
     others = written(marks.join(same.select(F.col("node").alias("row")), "row", "left_anti").select(F.col("row").alias("node")), "copies")
     own = texts.join(bounded(others), "node", "left_anti")
     entries = own.mapInArrow(_signed_entries(1 + total // shard_signatures, crowd), "shard long, salt long, signatures binary, nodes binary")
-    shared = written(entries.groupBy("shard", "salt").applyInArrow(_shared_entries, "signature long, node long, met long"), "shared-signatures", BATCH)
+    groups = entries.groupBy("shard", "salt").applyInArrow(_shared_entries(crowd), "signature long, nodes array<long>, met long, whole boolean")
+    groups = written(groups, "signature-groups", BATCH)
+    # signatures with the same nodes become one, which counts as many times
+    alike = groups.where("whole").groupBy("nodes").agg(F.min("signature").alias("signature"), F.sum("met").alias("met"))
+    groups = groups.where("NOT whole").select("nodes", "signature", "met").unionByName(alike)
+    shared = written(groups.select("signature", F.explode("nodes").alias("node"), "met"), "shared-signatures")
 
     weight = shared.groupBy("node").agg(F.sum("met").alias("weight"))
     weighed = shared.join(weight, "node")

@@ -128,6 +128,50 @@ def test_ngram_join_of_chains_and_crowds(spark):
     assert sorted(r["count"] for r in got) == sorted(collections.Counter(c for _, _, c in want.elements()).values())
 
 
+def test_signatures_with_the_same_nodes_travel_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [[f"w{x}" for x in rng.integers(0, 10**6, 300)] for _ in range(20)]
+    rows = [(2 * i + j, " ".join([*t, *["more"] * j])) for i, t in enumerate(texts) for j in (0, 1)]
+    entries = {}
+
+    def seen(df, name, *options):
+        out = written(df, name, *options)
+        entries[name] = out.count()
+        return out
+
+    monkeypatch.setattr(joins, "written", seen)
+    numbered = spark.createDataFrame(rows, "row long, text string")
+    got = joins.components(written(numbered, "rows"), shard_signatures=500).groupBy("root").count().collect()
+    assert len(got) == 20 and all(r["count"] == 2 for r in got)
+    assert entries["shared-signatures"] == 40  # each pair has some fifty signatures in common
+
+
+def test_entries_of_whole_and_crowded_signatures():
+    """Signatures 5 and 6 of nodes 1 and 2; 7 of nodes 1 to 4, more than a crowd; 8 with a crowd elsewhere; 9 of one node."""
+    sig = np.array([5, 6, 5, 6, 7, 7, 7, 7, 8, 8, 9], np.uint64)
+    node = np.array([1, 1, 2, 2, 4, 3, 2, 1, 9, -1, 3])
+    low = sig.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    plain = pa.table({"shard": [0], "salt": [0], "signatures": [low], "nodes": [node.tobytes()]})
+    got = sorted((r["signature"], r["nodes"], r["met"], r["whole"]) for r in joins._shared_entries(3)(plain).to_pylist())
+    assert got == [(5, [1, 2], 2, True), (6, [1, 2], 2, True), *[(7, [i], 4, False) for i in (1, 2, 3, 4)], (8, [9], 1, False)]
+    crowd = pa.table({"shard": [0], "salt": [3], "signatures": [sig[4:9].tobytes()], "nodes": [node[4:9].tobytes()]})
+    got = sorted((r["signature"], r["nodes"], r["met"], r["whole"]) for r in joins._shared_entries(3)(crowd).to_pylist())
+    assert got == [*[(7, [i], 4, False) for i in (1, 2, 3, 4)], (8, [9], 1, False)]
+
+
+def test_bucket_counts_bound_the_difference():
+    words = ["a b c d " * 200, " ".join(f"w{i}" for i in range(1000)), " ".join(f"w{i}" for i in range(40, 1000)), " ".join(f"v{i}" for i in range(900))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(words)], ["node", "text"])
+    found = [r for out in joins._counts(iter([batch])) for r in out.to_pylist()]
+    sets = [np.frombuffer(r["hashes"], np.uint64) for out in joins._sets(iter([batch])) for r in out.to_pylist()]
+    for x, y in itertools.combinations(range(4), 2):
+        apart = len(np.setxor1d(sets[x], sets[y]))
+        assert not joins._ruled_out([found[x]["counts"]], [found[y]["counts"]], np.array([apart]))[0]
+    assert joins._ruled_out([found[1]["counts"]], [found[3]["counts"]], np.array([(found[1]["n"] + found[3]["n"]) // 9]))[0]
+    assert all(len(r["counts"]) <= max(32, r["n"] / 2) for r in found)
+    assert [r["n"] for r in found] == [len(s) for s in sets]
+
+
 # Filter audit
 
 
