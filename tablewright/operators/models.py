@@ -113,6 +113,12 @@ class MarginCalibrator(Transformer, DefaultParamsReadable, DefaultParamsWritable
         return odds.withColumn("probability", array_to_vector(F.transform("_odds", lambda x: x / total))).drop("_odds")
 
 
+def _width(df: DataFrame) -> int:
+    """The number of features of a vector."""
+    one = df.select(vector_to_array(F.col("features")).alias("row")).first()
+    return len(one["row"]) if one else 0
+
+
 def _fit_svm(train: DataFrame, rows: int, kernel: str, seed: int) -> PipelineModel:
     """Linear one-against-rest machines on cosine features, with calibrated probabilities."""
     stages: list[Transformer] = []
@@ -121,7 +127,7 @@ def _fit_svm(train: DataFrame, rows: int, kernel: str, seed: int) -> PipelineMod
         first = vector_to_array(F.col("features"))
         cells = train.select(F.explode(first).alias("cell"))
         variance = cells.agg(F.var_pop("cell")).first()[0] or 1.0
-        width = len(train.select(first.alias("row")).first()["row"])
+        width = _width(train)
         mapper = FourierFeatures(
             inputCol="features", outputCol="mapped", gamma=1.0 / (width * variance), dimensions=width, seed=seed
         )
@@ -231,9 +237,10 @@ def cross_validate(
     seed: int = SEED,
     partitions: int = FIT_PARTITIONS,
 ) -> DataFrame:
-    """Mean and population deviation of accuracy over stratified folds."""
+    """Mean and population deviation of accuracy over stratified folds; large tables get more tasks than ``partitions``."""
     folds = max(2, min(folds, rows // 2))
     data = fold_numbers(df.select(as_column(key).alias("_key"), "features", "label_code"), "label_code", ["_key"], folds, seed)
+    partitions = fit_partitions(rows, _width(df), partitions)
     data = fit_layout(data, "_key", partitions).select("features", "label_code", "fold").persist()
     fitted_rows = rows - rows // folds  # the penalty of a fold's model is that of the rows it sees
     scorer = MulticlassClassificationEvaluator(labelCol="label_code", predictionCol="prediction", metricName="accuracy")

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tablewright.operators import anomaly, evaluate, models
@@ -109,3 +110,20 @@ def test_fits_get_more_tasks_with_the_table(labelled, monkeypatch, algorithm):
     monkeypatch.setattr(models, "fit_layout", seen)
     result = training.train(labelled, "kind", "row_id", ["x", "y"], algorithm, cross_validation=False)
     assert dealt == [12] and result.metrics.first()["accuracy"] > 0.9
+
+
+def test_folds_and_forests_get_more_tasks_with_the_table(spark, monkeypatch):
+    df = spark.range(600).selectExpr("id", "double(id % 3) as label_code", "array(double(id % 3), double(id % 7)) as cells")
+    df = df.select("id", "label_code", array_to_vector("cells").alias("features"))
+    dealt, layout = [], models.fit_layout
+
+    def seen(df, key, partitions):
+        out = layout(df, key, partitions)
+        dealt.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(models, "FIT_NUMBERS", 60 * 102)
+    monkeypatch.setattr(models, "FOREST_TREES", 10)
+    monkeypatch.setattr(models, "fit_layout", seen)
+    got = models.cross_validate(df, "random_forest", "id", 600, folds=2).first()
+    assert dealt == [10] and got["cv_mean"] > 0.99
