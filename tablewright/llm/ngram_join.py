@@ -15,7 +15,9 @@ more, which means that they differ in at most a ninth of the sum of their sizes.
 Texts with the same set are one node. Signatures travel in large binary rows, and only those that occur on two nodes or
 more come back. In each group of a signature all nodes are compared with its leader, the node that meets most others, by
 their whole sets. What these links leave apart is compared in tiles of bounded size, where bucket counts, which bound the
-difference from below, rule out pairs; the others are decided by their sets. No link is lost.
+difference from below, rule out pairs. Nodes that the other pairs connect form a group, and groups around the same
+component become one where that is less. A group gets the whole sets of its nodes and gives no more links than connect its
+components, so that nothing is written for each pair. No link is lost.
 """
 
 from __future__ import annotations
@@ -44,8 +46,11 @@ MOST_COUNTED = 15  # in a bucket; two counts are a byte
 NUMBERS = 1 << 22  # bucket counts subtracted at a time
 BATCH = 8 << 20  # bytes of a batch that a Python function gets
 BLOCK = 500  # nodes of a side of a tile
+GROUP_HASHES = 1 << 21  # of the sets that are compared together
 BROADCAST_ROWS = 1_000_000  # of one long each
 
+TILE, GROUP = ["signature", "i", "j"], ["merged", "group", "i", "j"]
+
 _ODD, _LOW = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 48) - 1)
 
 
@@ -355,8 +360,27 @@ def _apart(counts: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _open_pairs(node: np.ndarray, root: np.ndarray, n: np.ndarray, side: np.ndarray, across: bool, counts: list[bytes]) -> np.ndarray:
-    """Pairs of nodes of one tile, of different components, that sizes and bucket counts do not rule out."""
+def _trees(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A label for each row, and the links ``(x, y)`` of trees that connect all that ``linked``, a symmetric matrix, does."""
+    label, xs, ys = np.full(len(linked), -1), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for start in range(len(linked)):
+        if label[start] >= 0:
+            continue
+        label[start], turn = start, [start]
+        while turn:
+            x = turn.pop()
+            y = np.flatnonzero(linked[x] & (label < 0))
+            label[y] = start
+            xs.append(np.full(len(y), x))
+            ys.append(y)
+            turn += y.tolist()
+    return label, np.concatenate(xs), np.concatenate(ys)
+
+
+def _open_groups(node: np.ndarray, root: np.ndarray, n: np.ndarray, side: np.ndarray, across: bool, counts: list[bytes], hashes: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Nodes of one tile that pairs of different components connect which sizes and bucket counts do not rule out, each
+    group with the component that most of its nodes have. Groups of more than about ``hashes`` become several, so that any
+    two nodes meet in one."""
     x, y = np.triu_indices(len(node), 1)
     keep = (root[x] != root[y]) & (4 * n[y] <= 5 * n[x]) & (4 * n[x] <= 5 * n[y])
     if across:
@@ -369,45 +393,96 @@ def _open_pairs(node: np.ndarray, root: np.ndarray, n: np.ndarray, side: np.ndar
         for level in (fine.reshape(len(node), -1, 1 << MIN_BUCKET_BITS).sum(axis=1, dtype=np.int32), fine):
             keep = 9 * _apart(level, x, y) <= n[x] + n[y]
             x, y = x[keep], y[keep]
-    return np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1)
+    if not len(x):
+        return
+    at, place = np.unique(np.concatenate([x, y]), return_inverse=True)
+    linked = np.zeros((len(at), len(at)), bool)
+    linked[place[: len(x)], place[len(x) :]] = linked[place[len(x) :], place[: len(x)]] = True
+    label = _trees(linked)[0]
+    order = np.argsort(label, kind="stable")
+    for group in np.split(at[order], np.flatnonzero(np.diff(label[order])) + 1):
+        group = group[np.argsort(node[group])]
+        piece = 2 * np.cumsum(n[group]) // hashes if n[group].sum() > hashes else np.zeros(len(group), np.int64)
+        parts = [node[group[piece == p]] for p in np.unique(piece)]
+        roots, times = np.unique(root[group], return_counts=True)
+        for part in (np.concatenate(two) for two in combinations(parts, 2)) if len(parts) > 1 else parts:
+            yield int(roots[times.argmax()]), part
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows that come in order of their keys, and where each key begins and the last ends; a key that ends a batch waits
+    for the next batch."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.concat_tables([*held, pa.Table.from_batches([batch])])
+        new = np.any([np.diff(rows[k].to_numpy()) != 0 for k in keys], axis=0)
+        cut = np.concatenate([[0], np.flatnonzero(new) + 1])
+        if len(cut) > 1:
+            yield rows.slice(0, cut[-1]), cut
+        held = [rows.slice(cut[-1])]
+    for rows in held:
+        yield rows, np.array([0, rows.num_rows])
+
+
+def _tiles(hashes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, cut in _runs(batches, TILE):
+            i, j, n, node, root, block = (rows[c].to_numpy() for c in ("i", "j", "n", "node", "root", "block"))
+            counts, found = rows["counts"].to_pylist(), set()
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                groups = _open_groups(node[a:b], root[a:b], n[a:b], block[a:b], bool(i[a] != j[a]), counts[a:b], hashes)
+                # of a group that several tiles hold one is enough
+                found.update((most, tuple(nodes.tolist())) for most, nodes in groups)
+            most, nodes = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(most, pa.int64()), pa.array(nodes, pa.list_(pa.int64()))], ["most", "nodes"])
+
+    return run
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come in order of their tiles; a tile that ends a batch waits for the next."""
-    names = ("signature", "i", "j", "n", "node", "root", "block")
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many hashes any two different rows have in common; a hash of one row alone is left out."""
+    n = [len(s) for s in sets]
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = times > 1
+    number, keep = np.cumsum(several) - 1, several[column]
+    of, column = np.repeat(np.arange(len(sets)), n)[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    out, step, columns = np.zeros((len(sets), len(sets))), max(1, NUMBERS // len(sets)), int(several.sum())
+    for at in range(0, columns, step):
+        a, b = np.searchsorted(column, (at, at + step))
+        held = np.zeros((len(sets), min(step, columns - at)), np.float32)
+        held[of[a:b], column[a:b] - at] = 1
+        out += held @ held.T
+    return out
+
 
-    def told(rows: dict[str, np.ndarray], counts: list[bytes], first: np.ndarray) -> pa.RecordBatch:
-        cut = np.append(np.flatnonzero(first), len(first))
+def _group_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In each group links of similar sets that bring components together: enough to connect them, fewer than nodes."""
+    for rows, cut in _runs(batches, GROUP):
+        node, root = rows["node"].to_numpy(), rows["root"].to_numpy()
+        sets = [np.frombuffer(raw, np.uint64) for raw in rows["hashes"].to_pylist()]
         found = [np.empty((0, 2), np.int64)]
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            one = {c: rows[c][a:b] for c in names}
-            found.append(_open_pairs(one["node"], one["root"], one["n"], one["block"], bool(one["i"][0] != one["j"][0]), counts[a:b]))
-        # of a pair that several tiles hold one is enough
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    held: dict[str, np.ndarray] | None = None
-    kept: list[bytes] = []
-    for batch in batches:
-        rows = {c: batch.column(k).to_numpy() for k, c in enumerate(names)}
-        if held is not None:
-            rows = {c: np.concatenate([held[c], rows[c]]) for c in names}
-        counts = kept + batch.column(len(names)).to_pylist()
-        if not counts:
-            continue
-        first = np.ones(len(counts), bool)
-        first[1:] = np.any([rows[c][1:] != rows[c][:-1] for c in ("signature", "i", "j")], axis=0)
-        cut = int(np.flatnonzero(first)[-1])
-        if cut:
-            yield told({c: rows[c][:cut] for c in names}, counts[:cut], first[:cut])
-        held, kept = {c: rows[c][cut:] for c in names}, counts[cut:]
-    if held is not None:
-        yield told(held, kept, np.arange(len(kept)) == 0)
+            n = np.array([len(s) for s in sets[a:b]])
+            same = root[a:b, None] == root[None, a:b]
+            _, x, y = _trees(similar(_shared(sets[a:b]), n[:, None], n[None, :]) | same)
+            apart = ~same[x, y]
+            found.append(np.stack([node[a + x[apart]], node[a + y[apart]]], axis=1))
+        pairs = np.concatenate(found)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
 
+def _rooted(nodes: DataFrame, member: DataFrame) -> DataFrame:
+    """``nodes`` with the root of each, which is the node itself where it has no link."""
+    return nodes.join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-def _placed(shared: DataFrame, member: DataFrame, block: int) -> DataFrame:
+
+def _placed(followers: DataFrame, member: DataFrame, block: int) -> DataFrame:
     """``(signature, i, j, node, root, block)``: nodes of signatures that still hold several components, dealt to tiles."""
-    named = shared.join(member, "node", "left").select("signature", "node", F.coalesce("root", "node").alias("root"))
+    named = _rooted(followers, member).select("signature", "node", "root")
     open_ = named.groupBy("signature").agg(
         F.count(F.lit(1)).alias("nodes"), F.min("root").alias("low"), F.max("root").alias("high"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members")
     ).where("low < high")
@@ -418,7 +493,23 @@ def _placed(shared: DataFrame, member: DataFrame, block: int) -> DataFrame:
     return placed.select("signature", "node", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
 
-def components(rows: DataFrame, block: int = BLOCK, shard_signatures: int = SHARD_SIGNATURES, crowd: int = CROWD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def _gathered(groups: DataFrame, sizes: DataFrame, block: int, hashes: int) -> DataFrame:
+    """``(merged, group, i, j, node)``: nodes of groups, where groups with the same ``most`` become one, dealt to tiles,
+    if that has fewer rows than they have on their own. Nodes that share a group share a group or tile of the result."""
+    listed = groups.select("group", "most", F.explode("nodes").alias("node"))
+    each = written(listed.groupBy("most", "node").agg(F.count(F.lit(1)).alias("times")).join(sizes, "node"), "open-nodes")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block, 2 * F.sum("n") / hashes)).cast("int")
+    merge = each.groupBy("most").agg(F.count(F.lit(1)).alias("nodes"), F.sum("times").alias("times"), blocks.alias("blocks"))
+    merge = written(merge.where("nodes * blocks < times").select("most", "blocks"), "merged-groups")
+    dealt = each.join(merge, "most").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.select("most", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "blocks")
+    # of several blocks each meets itself where it meets others
+    dealt = dealt.where("blocks = 1 OR block != other").select(F.lit(True).alias("merged"), F.col("most").alias("group"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node")
+    alone = listed.join(merge, "most", "left_anti").select(F.lit(False).alias("merged"), "group", F.lit(0).alias("i"), F.lit(0).alias("j"), "node")
+    return dealt.unionByName(alone)
+
+
+def components(rows: DataFrame, block: int = BLOCK, shard_signatures: int = SHARD_SIGNATURES, crowd: int = CROWD, broadcast_rows: int = BROADCAST_ROWS, group_hashes: int = GROUP_HASHES) -> DataFrame:
     """``(row, n, root)`` of every row of ``(row, text)``: set size, and the same root for rows connected by links.
 
     ``row`` must be a distinct long, ``rows`` a written table, as it is read several times. Rows with an empty set have
@@ -429,16 +520,11 @@ def components(rows: DataFrame, block: int = BLOCK, shard_signatures: int = SHAR
     def bounded(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if df.count() <= broadcast_rows else df
 
-    def of_nodes(pairs: DataFrame, run, shape: str, name: str) -> DataFrame:
-        nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-nodes")
+    def of_nodes(listed: DataFrame, run, shape: str, name: str) -> DataFrame:
+        nodes = written(listed.select(F.explode("nodes").alias("node")).distinct(), f"{name}-nodes")
         return written(texts.join(bounded(nodes), "node", "left_semi").mapInArrow(run, shape), name, BATCH)
 
-    def links_of(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs whose sets are similar; Spark brings the sets together, a pair at a time."""
-        sets = of_nodes(pairs, _sets, "node long, hashes binary", f"{name}-sets")
-        met = _sides(pairs, sets, {"hashes": ("x", "y")})
-        return written(met.mapInArrow(_verified, "a long, b long"), f"{name}-links", BATCH)
-
+    ends = F.array("a", "b").alias("nodes")
     marks = written(rows.select("row", "text").mapInArrow(_marks, "row long, digest binary, n long"), "marks", BATCH)
     same = written(marks.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.max("n").alias("n")), "nodes")
     total = same.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # of hashes; there is about one signature for each
@@ -456,25 +542,32 @@ def components(rows: DataFrame, block: int = BLOCK, shard_signatures: int = SHAR
     weight = shared.groupBy("node").agg(F.sum("met").alias("weight"))
     weighed = shared.join(weight, "node")
     leaders = weighed.groupBy("signature").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus")))["minus"].alias("minus"))
-    stars = shared.join(leaders.select("signature", (-F.col("minus")).alias("a")), "signature").where("a != node")
-    stars = written(stars.select("a", F.col("node").alias("b")).distinct(), "leader-pairs")
+    followers = shared.join(leaders.select("signature", (-F.col("minus")).alias("a")), "signature").where("a != node")
+    followers = written(followers.select("signature", "node", "a"), "followers")
+    stars = written(followers.select("a", F.col("node").alias("b")).distinct(), "leader-pairs")
 
-    looks = of_nodes(stars, _counts, "node long, n long, counts binary", "bucket-counts")
+    looks = of_nodes(stars.select(ends), _counts, "node long, n long, counts binary", "bucket-counts")
     near = _sides(stars, looks, {"n": ("m", "n"), "counts": ("x", "y")}).mapInArrow(_near, "a long, b long")
-    links = links_of(written(near, "near-leaders", BATCH), "leader")
+    near = written(near, "near-leaders", BATCH)
+    # Spark brings the sets together, a pair at a time
+    met = _sides(near, of_nodes(near.select(ends), _sets, "node long, hashes binary", "leader-sets"), {"hashes": ("x", "y")})
+    links = written(met.mapInArrow(_verified, "a long, b long"), "leader-links", BATCH)
     member = connected_components(links)
 
-    placed = written(_placed(shared, member, block), "open-signatures")
-    tile = ["signature", "i", "j"]
-    rest = placed.join(looks, "node").repartition(*tile).sortWithinPartitions(*tile).select(*tile, "n", "node", "root", "block", "counts")
-    rest = rest.mapInArrow(_tiles, "a long, b long").distinct()
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = written(rest.join(tried, ["a", "b"], "left_anti"), "open-pairs")
-    rooted = same.join(member, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
+    # leaders have met all nodes of their signatures
+    placed = written(_placed(followers, member, block), "open-signatures")
+    rest = placed.join(looks, "node").repartition(*TILE).sortWithinPartitions(*TILE).select(*TILE, "n", "node", "root", "block", "counts")
+    rest = rest.mapInArrow(_tiles(group_hashes), "most long, nodes array<long>").distinct()
+    rest = written(rest.withColumn("group", F.monotonically_increasing_id()), "open-groups", BATCH)
+    rooted = _rooted(same.select("digest", "node"), member).select("digest", "root")
     if rest.limit(1).count():
+        sets = of_nodes(rest, _sets, "node long, hashes binary", "open-sets")
+        grouped = _rooted(_gathered(rest, looks.select("node", "n"), block, group_hashes), member).join(sets, "node")
+        grouped = grouped.repartition(*GROUP).sortWithinPartitions(*GROUP).select(*GROUP, "node", "root", "hashes")
+        across = written(grouped.mapInArrow(_group_links, "a long, b long"), "open-links", BATCH)
         # only components that these links bring together are named anew
-        ends = [member.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b")]
-        across = links_of(rest, "open").join(ends[0], "a", "left").join(ends[1], "b", "left")
+        sides = [member.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b")]
+        across = across.join(sides[0], "a", "left").join(sides[1], "b", "left")
         across = across.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
         upper = connected_components(written(across.where("a != b").distinct(), "open-components"))
         rooted = rooted.join(upper.select(F.col("node").alias("root"), F.col("root").alias("upper")), "root", "left").select("digest", F.coalesce("upper", "root").alias("root"))

@@ -146,6 +146,73 @@ def test_signatures_with_the_same_nodes_travel_once(spark, monkeypatch):
     assert entries["shared-signatures"] == 40  # each pair has some fifty signatures in common
 
 
+def test_texts_just_too_different_make_no_row_for_each_pair(spark, monkeypatch):
+    """Twelve classes of near copies; two texts of different classes have a similarity of about 0.75."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(240):
+        mine = list(base)
+        at = 2 + 8 * int(rng.integers(12))
+        mine[at : at + 3] = [f"edit{i}x{j}" for j in range(3)]
+        rows.append((i, " ".join(mine)))
+    made = {}
+
+    def seen(df, name, *options):
+        out = written(df, name, *options)
+        if name.startswith("open-") and name != "open-signatures":
+            made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(joins, "written", seen)
+    numbered = written(spark.createDataFrame(rows, "row long, text string"), "rows")
+    want = sorted(collections.Counter(c for _, _, c in joined_by_hand(rows).elements()).values())
+    got = joins.components(numbered).groupBy("root").count().collect()
+    assert len(want) == 12 and sorted(r["count"] for r in got) == want
+    assert made and max(made.values()) <= 12 * len(rows), made  # pairs would be ten times as many or more
+    # groups in several tiles have the same result
+    got = joins.components(numbered, block=16, group_hashes=2500, crowd=5).groupBy("root").count().collect()
+    assert sorted(r["count"] for r in got) == want
+
+
+def test_groups_become_one_where_that_is_less(spark):
+    groups = spark.createDataFrame([(0, 7, [1, 2, 3]), (1, 7, [2, 3, 4]), (2, 7, [1, 2, 4]), (3, 8, [1, 9]), (4, 8, [5, 6])], "group long, most long, nodes array<long>")
+    sizes = spark.createDataFrame([(i, 10) for i in range(1, 10)], "node long, n long")
+
+    def gathered(block, hashes):
+        found = collections.defaultdict(set)
+        for r in joins._gathered(groups, sizes, block, hashes).collect():
+            found[tuple(r)[:4]].add(r["node"])
+        return found
+
+    one = gathered(10, 1000)
+    assert one == {(True, 7, 0, 0): {1, 2, 3, 4}, (False, 3, 0, 0): {1, 9}, (False, 4, 0, 0): {5, 6}}
+    several = gathered(2, 1000)  # in two blocks
+    assert {1, 2, 3, 4} == set().union(*[v for k, v in several.items() if k[0]])
+    assert all(any(set(two) <= v for v in several.values()) for two in itertools.combinations((1, 2, 3, 4), 2))
+    assert not any(k[0] for k in gathered(1, 1000))  # four blocks would have more rows than the groups
+
+
+def test_links_of_a_group_connect_components_only():
+    """Sets 0 to 9 are alike and 2, 3 have one component; 10 to 12 are alike, with one component; 20 is alone."""
+    sets = {i: np.r_[np.arange(40), 1000 + i].astype(np.uint64) for i in range(10)} | {i: np.r_[np.arange(60, 90), 2000 + i].astype(np.uint64) for i in (10, 11, 12)} | {20: np.arange(30, 70, dtype=np.uint64)}
+    root = {i: i for i in sets} | {3: 2, 11: 10, 12: 10}
+    rows = [(g, node) for g in (4, 6) for node in sets]
+    shape = pa.schema([("merged", pa.bool_()), ("group", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("node", pa.int64()), ("root", pa.int64()), ("hashes", pa.binary())])
+    for size in (1, 5, 100):
+        batches = pa.Table.from_pylist([{"merged": True, "group": g, "i": 0, "j": 0, "node": node, "root": root[node], "hashes": sets[node].tobytes()} for g, node in rows], shape).to_batches(size)
+        links = [(r["a"], r["b"]) for out in joins._group_links(iter(batches)) for r in out.to_pylist()]
+        assert len(links) == 18 and all(a < 10 and b < 10 and root[a] != root[b] for a, b in links), links
+        for half in (links[:9], links[9:]):
+            reached = {0}
+            for _ in range(10):
+                reached |= {x for a, b in [*half, (2, 3)] if {a, b} & reached for x in (a, b)}
+            assert reached == set(range(10))
+    more = [np.arange(i, 50 + 3 * i, dtype=np.uint64) for i in range(6)]
+    got = joins._shared(more)
+    assert all(got[i, j] == len(np.intersect1d(more[i], more[j])) for i, j in itertools.permutations(range(6), 2))
+
+
 def test_entries_of_whole_and_crowded_signatures():
     """Signatures 5 and 6 of nodes 1 and 2; 7 of nodes 1 to 4, more than a crowd; 8 with a crowd elsewhere; 9 of one node."""
     sig = np.array([5, 6, 5, 6, 7, 7, 7, 7, 8, 8, 9], np.uint64)
