@@ -43,7 +43,7 @@ HELD = 500_000  # signatures that a task sorts at a time
 CROWD = 64  # nodes with one signature among those from which the signature counts as crowded
 MIN_BUCKET_BITS = 6  # of hashes that number the buckets in which they are counted, at least
 MOST_COUNTED = 15  # in a bucket; two counts are a byte
-NUMBERS = 1 << 22  # bucket counts subtracted at a time
+NUMBERS = 1 << 22  # bucket counts subtracted, or places of hashes multiplied, at a time
 BATCH = 8 << 20  # bytes of a batch that a Python function gets
 BLOCK = 500  # nodes of a side of a tile
 GROUP_HASHES = 1 << 21  # of the sets that are compared together

@@ -169,7 +169,7 @@ def test_texts_just_too_different_make_no_row_for_each_pair(spark, monkeypatch):
     want = sorted(collections.Counter(c for _, _, c in joined_by_hand(rows).elements()).values())
     got = joins.components(numbered).groupBy("root").count().collect()
     assert len(want) == 12 and sorted(r["count"] for r in got) == want
-    assert made and max(made.values()) <= 12 * len(rows), made  # pairs would be ten times as many or more
+    assert made and max(made.values()) <= 12 * len(rows), made  # a class at a time, not a pair at a time
     # groups in several tiles have the same result
     got = joins.components(numbered, block=16, group_hashes=2500, crowd=5).groupBy("root").count().collect()
     assert sorted(r["count"] for r in got) == want
