@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.functions.scalars import as_column
+from tablewright.operators import margins
+from tablewright.operators.margins import CHUNK_ROWS, cosine_weights, cosines
 from tablewright.operators.prepare import fold_numbers
 from tablewright.operators.profile import _rows
 
@@ -80,19 +82,53 @@ class FourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReada
         width, seed = self.getOrDefault(self.dimensions), self.getOrDefault(self.seed)
 
         @F.pandas_udf("array<double>")
-        def cosines(rows: pd.Series) -> pd.Series:
-            rng = np.random.default_rng(seed)
-            weights = rng.normal(0.0, np.sqrt(2.0 * gamma), (width, size))
-            shift = rng.uniform(0.0, 2.0 * np.pi, size)
+        def mapped(rows: pd.Series) -> pd.Series:
             if not len(rows):
                 return pd.Series([], dtype=object)
-            values = np.sqrt(2.0 / size) * np.cos(np.stack(rows.to_numpy()) @ weights + shift)
-            return pd.Series(list(values))
+            return pd.Series(list(cosines(np.stack(rows.to_numpy()), *cosine_weights(gamma, width, size, seed))))
 
-        made = cosines(vector_to_array(F.col(self.getInputCol())))
+        made = mapped(vector_to_array(F.col(self.getInputCol())))
         return dataset.withColumn(self.getOutputCol(), array_to_vector(made))
 
 
+class KernelMachines(FourierFeatures):
+    """Linear one-against-rest machines on cosine features, which never leave the function that makes them.
+
+    Adds the margins of all classes and the code of the greatest.
+    """
+
+    slopes = Param(Params._dummy(), "slopes", "weights of the cosine features, one class after another", TypeConverters.toListFloat)
+    shifts = Param(Params._dummy(), "shifts", "intercept per class", TypeConverters.toListFloat)
+
+    @keyword_only
+    def __init__(
+        self, *, inputCol=None, gamma=1.0, components=SVM_COMPONENTS, dimensions=1, seed=SEED, slopes=None, shifts=None
+    ):
+        kwargs = self._input_kwargs
+        super().__init__()
+        self._set(**{k: v for k, v in kwargs.items() if v is not None})
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        gamma, size = self.getOrDefault(self.gamma), self.getOrDefault(self.components)
+        width, seed = self.getOrDefault(self.dimensions), self.getOrDefault(self.seed)
+        shifts = np.array(self.getOrDefault(self.shifts))
+        slopes = np.array(self.getOrDefault(self.slopes)).reshape(len(shifts), size)
+
+        @F.pandas_udf("array<double>")
+        def scores(rows: pd.Series) -> pd.Series:
+            weights, shift = cosine_weights(gamma, width, size, seed)
+            found = []
+            for at in range(0, len(rows), CHUNK_ROWS):
+                mapped = cosines(np.stack(rows.to_numpy()[at : at + CHUNK_ROWS]), weights, shift)
+                found.extend(mapped @ slopes.T + shifts)
+            return pd.Series(found, dtype=object)
+
+        made = dataset.withColumn("_margins", scores(vector_to_array(F.col(self.getInputCol()))))
+        greatest = F.array_position("_margins", F.array_max("_margins")) - 1
+        made = made.withColumn("rawPrediction", array_to_vector(F.col("_margins")))
+        return made.withColumn("prediction", greatest.cast("double")).drop("_margins")
+
+
 class MarginCalibrator(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     """Turns one-against-rest margins into class probabilities by fitted sigmoids."""
 
@@ -119,24 +155,47 @@ def _width(df: DataFrame) -> int:
     return len(one["row"]) if one else 0
 
 
+def _fit_sigmoids(scored: DataFrame, label: str, codes: Sequence[int]) -> tuple[list[float], list[float]]:
+    """Slope and shift that turn each margin of ``m`` into the chance of its class."""
+    slopes, shifts = [], []
+    for i, k in enumerate(codes):
+        one = scored.select((F.col(label) == k).cast("double").alias("y"), array_to_vector(F.array(F.col("m")[i])).alias("x"))
+        sigmoid = LogisticRegression(featuresCol="x", labelCol="y", maxIter=100).fit(one)
+        slopes.append(float(sigmoid.coefficients[0]))
+        shifts.append(float(sigmoid.intercept))
+    return slopes, shifts
+
+
+def _fit_kernel_svm(train: DataFrame, rows: int, seed: int) -> PipelineModel:
+    """Machines on cosine features; the rows are kept as they are, and their cosine features are made in each pass."""
+    width, cells = _width(train), vector_to_array(F.col("features"))
+    variance = train.select(F.explode(cells).alias("cell")).agg(F.var_pop("cell")).first()[0] or 1.0
+    options = {"inputCol": "features", "gamma": 1.0 / (width * variance), "dimensions": width, "seed": seed}
+    weights, shift = cosine_weights(options["gamma"], width, SVM_COMPONENTS, seed)
+    codes = range(int(train.agg(F.max("label_code")).first()[0]) + 1)
+    data = margins.pack(train.select(F.col("label_code").cast("int").alias("label"), cells.alias("cells")), width).persist()
+    slopes, intercepts = margins.fit_machines(
+        data, codes, weights, shift, 1.0 / max(1, rows), SVM_ITERATIONS, SVM_TOLERANCE
+    )
+    sigmoids: tuple[list[float], list[float]] = ([], [])
+    for at in range(0, len(codes), margins.AT_ONCE):  # margins of no more classes are kept at once
+        few = slice(at, at + margins.AT_ONCE)
+        some = margins.margins(data, weights, shift, slopes[few], intercepts[few]).persist()
+        for all_of, new in zip(sigmoids, _fit_sigmoids(some, "label", codes[few])):
+            all_of.extend(new)
+        some.unpersist()
+    data.unpersist()
+    model = KernelMachines(slopes=slopes.ravel().tolist(), shifts=intercepts.tolist(), **options)
+    return PipelineModel([model, MarginCalibrator(slopes=sigmoids[0], shifts=sigmoids[1])])
+
+
 def _fit_svm(train: DataFrame, rows: int, kernel: str, seed: int) -> PipelineModel:
-    """Linear one-against-rest machines on cosine features, with calibrated probabilities."""
-    stages: list[Transformer] = []
-    column = "features"
+    """Linear one-against-rest machines, on cosine features or as they are, with calibrated probabilities."""
     if kernel == "rbf":
-        first = vector_to_array(F.col("features"))
-        cells = train.select(F.explode(first).alias("cell"))
-        variance = cells.agg(F.var_pop("cell")).first()[0] or 1.0
-        width = _width(train)
-        mapper = FourierFeatures(
-            inputCol="features", outputCol="mapped", gamma=1.0 / (width * variance), dimensions=width, seed=seed
-        )
-        stages.append(mapper)
-        train = mapper.transform(train)
-        column = "mapped"
-    train = train.select("label_code", column).persist()
+        return _fit_kernel_svm(train, rows, seed)
+    train = train.select("label_code", "features").persist()
     machine = LinearSVC(
-        featuresCol=column,
+        featuresCol="features",
         labelCol="label_code",
         maxIter=SVM_ITERATIONS,
         tol=SVM_TOLERANCE,
@@ -144,19 +203,14 @@ def _fit_svm(train: DataFrame, rows: int, kernel: str, seed: int) -> PipelineMod
         standardization=False,
     )
     rest = OneVsRest(
-        classifier=machine, featuresCol=column, labelCol="label_code", rawPredictionCol="rawPrediction", parallelism=4
+        classifier=machine, featuresCol="features", labelCol="label_code", rawPredictionCol="rawPrediction", parallelism=4
     )
     model = rest.fit(train)
-    margins = model.transform(train).select("label_code", vector_to_array(F.col("rawPrediction")).alias("m")).persist()
-    slopes, shifts = [], []
-    for k in range(len(model.models)):
-        one = margins.select((F.col("label_code") == k).cast("double").alias("y"), array_to_vector(F.array(F.col("m")[k])).alias("x"))
-        sigmoid = LogisticRegression(featuresCol="x", labelCol="y", maxIter=100).fit(one)
-        slopes.append(float(sigmoid.coefficients[0]))
-        shifts.append(float(sigmoid.intercept))
-    margins.unpersist()
+    scored = model.transform(train).select("label_code", vector_to_array(F.col("rawPrediction")).alias("m")).persist()
+    slopes, shifts = _fit_sigmoids(scored, "label_code", range(len(model.models)))
+    scored.unpersist()
     train.unpersist()
-    return PipelineModel([*stages, model, MarginCalibrator(slopes=slopes, shifts=shifts)])
+    return PipelineModel([model, MarginCalibrator(slopes=slopes, shifts=shifts)])
 
 
 def make_classifier(algorithm: str, rows: int, depth: int = TREE_DEPTH, seed: int = SEED):
@@ -266,14 +320,16 @@ def cross_validate(
 def feature_importance(spark: SparkSession, model: Model | PipelineModel, features: Sequence[str]) -> DataFrame:
     """Importance per feature: impurity-based for trees, absolute weight for linear models, null where there is none."""
     if isinstance(model, PipelineModel):
-        model = next(s for s in model.stages if hasattr(s, "models"))
-    if hasattr(model, "featureImportances"):
+        model = next((s for s in model.stages if hasattr(s, "models")), None)
+    if model is None:  # weights of cosine features name no input
+        values = [None] * len(features)
+    elif hasattr(model, "featureImportances"):
         values = model.featureImportances.toArray()
     elif hasattr(model, "coefficientMatrix"):
         values = np.abs(model.coefficientMatrix.toArray()[0])
     else:
         values = np.abs(model.models[0].coefficients.toArray())
-        if len(values) != len(features):  # weights of cosine features name no input
+        if len(values) != len(features):
             values = [None] * len(features)
     return _rows(
         spark, [(f, None if v is None else float(v)) for f, v in zip(features, values)], "feature string, importance double"

@@ -1,9 +1,12 @@
+import threading
+
 import numpy as np
 import pytest
+from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from tablewright.operators import anomaly, evaluate, models
+from tablewright.operators import anomaly, evaluate, margins, models
 from tablewright.plans import training
 from tablewright.session import scratch_path
 
@@ -127,3 +130,60 @@ def test_folds_and_forests_get_more_tasks_with_the_table(spark, monkeypatch):
     monkeypatch.setattr(models, "fit_layout", seen)
     got = models.cross_validate(df, "random_forest", "id", 600, folds=2).first()
     assert dealt == [10] and got["cv_mean"] > 0.99
+
+
+@pytest.fixture(scope="module")
+def points(spark):
+    """Three classes that overlap."""
+    rng = np.random.default_rng(7)
+    rows = [(float(i % 3), rng.normal((i % 3) * 2.0, 1.0, 2).tolist()) for i in range(4000)]
+    df = spark.createDataFrame(rows, "label_code double, cells array<double>")
+    return df.select("label_code", "cells", array_to_vector("cells").alias("features")).repartition(4).persist()
+
+
+def test_kernel_machines_keep_no_cosines(spark, points):
+    n, kept, stop = points.count(), [0], threading.Event()
+    store = spark.sparkContext._jsc.sc()
+    before = sum(i.memSize() + i.diskSize() for i in store.getRDDStorageInfo())
+
+    def watch():
+        while not stop.wait(0.02):
+            kept.append(sum(i.memSize() + i.diskSize() for i in store.getRDDStorageInfo()) - before)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    model = models.fit_classifier(points, "svm", n)
+    stop.set()
+    watcher.join()
+    assert 0 < max(kept) < 200 * n  # a hundred cosine features take 800 bytes a row
+    scored = model.transform(points)
+    assert scored.where("prediction = label_code").count() > 0.8 * n
+
+
+def test_kernel_machines_are_those_of_linear_svc(points, monkeypatch):
+    few = points.limit(600).coalesce(2).persist()
+    mapped = models.FourierFeatures(inputCol="features", outputCol="mapped", gamma=0.3, dimensions=2, seed=1).transform(few)
+    data = margins.pack(few.select(F.col("label_code").cast("int").alias("label"), "cells"), 2).persist()
+    weights, shift = margins.cosine_weights(0.3, 2, 100, 1)
+    slopes, intercepts = margins.fit_machines(data, range(3), weights, shift, 1 / 600, 25, 1e-3)
+    one = mapped.select((F.col("label_code") == 1).cast("double").alias("label"), "mapped").persist()
+    machine = LinearSVC(featuresCol="mapped", maxIter=25, tol=1e-3, regParam=1 / 600, standardization=False).fit(one)
+    assert np.allclose(slopes[1], machine.coefficients.toArray(), rtol=1e-6, atol=1e-9)
+    assert abs(intercepts[1] - machine.intercept) < 1e-6
+    # sums by groups of tasks and of machines are the same
+    monkeypatch.setattr(margins, "SUM_ROWS", 1)
+    monkeypatch.setattr(margins, "AT_ONCE", 2)
+    again, _ = margins.fit_machines(data, range(3), weights, shift, 1 / 600, 25, 1e-3)
+    assert np.allclose(again, slopes, rtol=1e-6, atol=1e-9)
+
+
+def test_moments_of_cosines(spark):
+    weights, shift = margins.cosine_weights(0.5, 3, 20, 1)
+    cells = np.random.default_rng(3).normal(size=(500, 3))
+    df = spark.createDataFrame([(i % 2, row.tolist()) for i, row in enumerate(cells)], "label int, cells array<double>")
+    mapped = margins.cosines(cells, weights, shift)
+    for parts in (3, 900):  # the latter with empty ones, added up by tasks first
+        n, means, spread = margins.moments(margins.pack(df.repartition(parts), 3), parts + 200, weights, shift)
+        assert n == 500 and np.allclose(means, mapped.mean(axis=0)) and np.allclose(spread, mapped.std(axis=0, ddof=1))
+    equal = margins.pack(df.select("label", F.array(*[F.lit(0.1)] * 3).alias("cells")), 3)
+    assert (margins.moments(equal, 1, weights, shift)[2] == 0).all()
